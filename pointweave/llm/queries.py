@@ -7,7 +7,14 @@ from pyspark.sql import functions as F
 
 from .base import table
 from .mixing import mix
+from .packing import pack
+from .quality_rules import apply_rules, train
 from .sharding import shard
+from .token_store import round_trip
+
+
+def op3_cutting_stock_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
 
 
 def op4_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,5 +26,14 @@ def op5_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot")
 
 
-QUERIES = {f.__name__: f for f in (op4_pivotal_mixing, op5_virtual_slots)}
+def op7_plane_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "documents"))
+
+
+def op8_boosted_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return apply_rules(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
+QUERIES = {f.__name__: f for f in (op3_cutting_stock_packing, op4_pivotal_mixing, op5_virtual_slots, op7_plane_store, op8_boosted_rules)}
 ORACLE_SQL: dict[str, str] = {}
