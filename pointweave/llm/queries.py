@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import language_id, quality_classifier, quality_rules
 from .base import table
 from .mixing import mix
 from .packing import pack
-from .quality_rules import apply_rules, train
 from .sharding import shard
 from .token_store import round_trip
 
@@ -26,14 +26,24 @@ def op5_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot")
 
 
+def op6_viterbi_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_id.identify(docs, language_id.train(docs))
+
+
 def op7_plane_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"))
 
 
 def op8_boosted_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return apply_rules(docs, train(docs, table(spark, sf_dir, "labels")))
+    return quality_rules.apply_rules(docs, quality_rules.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op9_compression_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_classifier.classify(docs, quality_classifier.train(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op3_cutting_stock_packing, op4_pivotal_mixing, op5_virtual_slots, op7_plane_store, op8_boosted_rules)}
+QUERIES = {f.__name__: f for f in (op3_cutting_stock_packing, op4_pivotal_mixing, op5_virtual_slots, op6_viterbi_language_id, op7_plane_store, op8_boosted_rules, op9_compression_classifier)}
 ORACLE_SQL: dict[str, str] = {}
