@@ -166,10 +166,11 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     # Equal (doc_id, source, size) rows share a sum of copies; the k-th of them takes what copy_no k was given.
     per = plan.groupBy("__d", "__s", "__z").agg(F.sum("copies").alias("__sum"), F.count(F.lit(1)).alias("__n"))
     on = F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & F.col("source").eqNullSafe(F.col("__s")) & (size == F.col("__z"))
-    base = F.floor(F.col("__sum") / F.col("__n"))
-    extra = F.col("__sum") - base * F.col("__n")
-    nth = F.when(F.col("__n") == 1, F.lit(1)).otherwise(F.row_number().over(Window.partitionBy("doc_id", "source", size).orderBy(F.xxhash64("text"))))
-    joined = docs.join(per, on, "inner")
-    single = joined.where("__n = 1").withColumn("__c", F.col("__sum"))
-    many = joined.where("__n > 1").withColumn("__c", base + F.when(nth <= extra, 1).otherwise(0))
-    return single.unionByName(many).where("__c > 0").withColumn("__k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__c").cast("long")))).select(*docs.columns)
+    per = materialize(per.where("__sum > 0"), "mix-copies")
+    taken = docs.join(per.where("__n = 1"), on).withColumn("__c", F.col("__sum"))
+    if not (repeated := per.where("__n > 1")).isEmpty():
+        base = F.floor(F.col("__sum") / F.col("__n"))
+        nth = F.row_number().over(Window.partitionBy("__d", "__s", "__z").orderBy(F.xxhash64("text")))
+        many = docs.join(repeated, on).withColumn("__nth", nth).withColumn("__c", base + F.when(F.col("__nth") <= F.col("__sum") - base * F.col("__n"), 1).otherwise(0)).drop("__nth")
+        taken = taken.unionByName(many)
+    return taken.where("__c > 0").withColumn("__k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__c").cast("long")))).select(*docs.columns)

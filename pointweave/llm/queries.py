@@ -8,11 +8,22 @@ from pyspark.sql import functions as F
 from . import language_id, quality_classifier, quality_rules
 from .base import table
 from .mixing import mix
+from .near_duplicates import classes
+from .nearest import search
 from .packing import pack
 from .sharding import shard
+from .token_counts import count_tokens
 from .token_store import round_trip
 
 
+def op1_trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"))
+
+
+def op2_dart_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
+
+
 def op3_cutting_stock_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
@@ -45,5 +56,23 @@ def op9_compression_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(docs, quality_classifier.train(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op3_cutting_stock_packing, op4_pivotal_mixing, op5_virtual_slots, op6_viterbi_language_id, op7_plane_store, op8_boosted_rules, op9_compression_classifier)}
+def op10_collision_counting_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_trie_token_counts,
+        op2_dart_near_duplicates,
+        op3_cutting_stock_packing,
+        op4_pivotal_mixing,
+        op5_virtual_slots,
+        op6_viterbi_language_id,
+        op7_plane_store,
+        op8_boosted_rules,
+        op9_compression_classifier,
+        op10_collision_counting_search,
+    )
+}
 ORACLE_SQL: dict[str, str] = {}
