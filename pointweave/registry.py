@@ -1,10 +1,354 @@
-"""Queries by name, and the SQL that gives the same rows."""
+"""Queries by name, and the SQL that gives the same rows. Measures are rounded to six decimals."""
 
 from __future__ import annotations
 
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions.planar import affine, cover_radius_triangle, directed_angle, distance, round_half_up
+from .operators import banks, fields, hulls, pairs, sets, skeleton
+from .settings import PALETTE
+from .sources import points as src
+
+THETA = repr(skeleton.angle_limit())
+PTS = "pts AS (SELECT vec_id AS point_id, label AS type, 1000 * CAST(embedding[1] AS DOUBLE) AS x, 1000 * CAST(embedding[2] AS DOUBLE) AS y FROM embeddings)"
+DS = PTS + ", ds AS (SELECT point_id % 10 AS dataset_id, * FROM pts)"
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def r6(c) -> F.Column:
+    """Rounded; -0.0 is 0.0."""
+    return F.round(F.col(c) if isinstance(c, str) else c, 6) + F.lit(0.0)
+
+
+@query(f"WITH {PTS} SELECT point_id, type, x, y FROM pts")
+def points_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return src.pts(spark, sf)
+
+
+def _sql_decimal(v: str) -> str:
+    k = f"CAST(floor({v} * 1000 + 0.5) AS BIGINT)"
+    return f"(CASE WHEN {k} < 0 THEN '-' ELSE '' END || CAST(abs({k}) // 1000 AS VARCHAR) || '.' || lpad(CAST(abs({k}) % 1000 AS VARCHAR), 3, '0'))"
+
+
+@query(f"WITH {PTS} SELECT point_id, CAST(type AS VARCHAR) || ' ' || {_sql_decimal('x')} || ' ' || {_sql_decimal('y')} AS line FROM pts")
+def points_format(spark: SparkSession, sf: str) -> DataFrame:
+    return src.format_points(src.pts(spark, sf))
+
+
+@query(f"WITH {PTS} SELECT point_id, type, floor(x * 1000 + 0.5) / 1000 AS x, floor(y * 1000 + 0.5) / 1000 AS y FROM pts")
+def points_parse(spark: SparkSession, sf: str) -> DataFrame:
+    return src.parse_points(src.format_points(src.pts(spark, sf)))
+
+
+@query("""WITH m AS (SELECT c_custkey AS point_id, CASE c_nationkey % 4 WHEN 0 THEN 'CB light red' WHEN 1 THEN 'CART 9' ELSE c_mktsegment END AS fill FROM customer),
+f AS (SELECT fill, min(point_id) AS first FROM m WHERE fill NOT IN ('CB light red', 'CART 9') GROUP BY fill), n AS (SELECT fill, row_number() OVER (ORDER BY first) + 6 AS t FROM f)
+SELECT point_id, m.fill, CAST(CASE m.fill WHEN 'CB light red' THEN 1 WHEN 'CART 9' THEN 8 ELSE t END AS INTEGER) AS type FROM m LEFT JOIN n ON m.fill = n.fill""")
+def category_map(spark: SparkSession, sf: str) -> DataFrame:
+    c = src.table(spark, sf, "customer")
+    fill = F.when(F.col("c_nationkey") % 4 == 0, "CB light red").when(F.col("c_nationkey") % 4 == 1, "CART 9").otherwise(F.col("c_mktsegment"))
+    return src.category_types(c.select(F.col("c_custkey").alias("point_id"), fill.alias("fill")))
+
+
+@query(f"WITH {PTS} SELECT point_id, type, round(0.5 * x - 1.5 * y + 10, 6) + 0.0 AS x, round(2 * x + 0.25 * y - 3, 6) + 0.0 AS y FROM pts")
+def affine_transform(spark: SparkSession, sf: str) -> DataFrame:
+    x, y = affine(F.col("x"), F.col("y"), (0.5, 2.0, -1.5, 0.25, 10.0, -3.0))
+    return src.pts(spark, sf).select("point_id", "type", r6(x).alias("x"), r6(y).alias("y"))
+
+
+@query("SELECT event_type AS type, min(value) AS x0, max(value) AS x1, min(hour(ts)) * 1.0::DOUBLE AS y0, max(hour(ts)) * 1.0::DOUBLE AS y1, count(*) AS n FROM events GROUP BY 1")
+def bounds_by_type(spark: SparkSession, sf: str) -> DataFrame:
+    return hulls.spread(src.event_pts(spark, sf), "type")
+
+
+@query(f"""WITH {PTS}, b AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM pts), s AS (SELECT *, least(760 / (x1 - x0), 760 / (y1 - y0)) AS k FROM b)
+SELECT point_id, round((x - (x0 + x1) / 2) * k + 400, 6) + 0.0 AS x, round((y - (y0 + y1) / 2) * k + 400, 6) + 0.0 AS y FROM pts, s""")
+def fit_to_box(spark: SparkSession, sf: str) -> DataFrame:
+    """Scaled into an 800 x 800 box with margin 20, centre to centre."""
+    p = src.pts(spark, sf)
+    b = p.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
+    s = p.join(F.broadcast(b))  # one row
+    k = F.least(F.try_divide(F.lit(760.0), F.col("x1") - F.col("x0")), F.try_divide(F.lit(760.0), F.col("y1") - F.col("y0")))
+    return s.select("point_id", r6((F.col("x") - (F.col("x0") + F.col("x1")) / 2) * k + 400).alias("x"), r6((F.col("y") - (F.col("y0") + F.col("y1")) / 2) * k + 400).alias("y"))
+
+
+@query(f"WITH {PTS} SELECT point_id, type, x, 800 - y AS y FROM pts")
+def y_flip(spark: SparkSession, sf: str) -> DataFrame:
+    return src.pts(spark, sf).select("point_id", "type", "x", (800 - F.col("y")).alias("y"))
+
+
+@query(f"""WITH {PTS} SELECT CASE WHEN point_id = 3 THEN 1.5 ELSE x END AS x, CASE WHEN point_id = 3 THEN 2.251 ELSE y END AS y, point_id, type FROM pts WHERE point_id <> 5
+UNION ALL SELECT 1.0, 2.0, (SELECT max(point_id) + 1 FROM pts WHERE point_id <> 5), 0""")
+def edited_points(spark: SparkSession, sf: str) -> DataFrame:
+    """One point moved, one removed, one placed."""
+    p = src.remove(src.move(src.pts(spark, sf), 3, 1.5, 2.2505), 5)
+    new = spark.createDataFrame([(0, 0, 1.0, 2.0)], "point_id long, type int, x double, y double")
+    return src.place(p, new.select(*p.columns)).select("x", "y", "point_id", "type")
+
+
+_ANGLE = "acos(greatest(-1.0, least(1.0, ((x1 - x) * (x2 - x1) + (y1 - y) * (y2 - y1)) / (sqrt((x1 - x) * (x1 - x) + (y1 - y) * (y1 - y)) * sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1))))))"
+TURNS = f"""{DS}, w AS (SELECT dataset_id, type, point_id, x, y, lead(x) OVER o AS x1, lead(y) OVER o AS y1, lead(x, 2) OVER o AS x2, lead(y, 2) OVER o AS y2, row_number() OVER o - 1 AS k FROM ds WINDOW o AS (PARTITION BY dataset_id, type ORDER BY point_id)),
+c AS (SELECT *, (x1 - x) * (y2 - y) - (y1 - y) * (x2 - x) AS d FROM w WHERE x2 IS NOT NULL),
+t AS (SELECT dataset_id, type, point_id, k, CASE WHEN abs(d) <= 1e-9 THEN 'STRAIGHT' WHEN d > 0 THEN 'LEFT' ELSE 'RIGHT' END AS orientation, {_ANGLE} AS angle FROM c)"""
+
+
+@query(f"WITH {TURNS} SELECT dataset_id, type, point_id, k, orientation, round(angle, 6) AS angle FROM t")
+def orientation_triples(spark: SparkSession, sf: str) -> DataFrame:
+    return banks.turns(src.pts_ds(spark, sf)).withColumn("angle", r6("angle"))
+
+
+@query(f"WITH {PTS} SELECT a.point_id AS i, b.point_id AS j, round(atan2(-(a.x * b.y - a.y * b.x), -(a.x * b.x + a.y * b.y)) + pi(), 6) AS angle FROM pts a JOIN pts b ON b.point_id = a.point_id + 1")
+def directed_angles(spark: SparkSession, sf: str) -> DataFrame:
+    p = src.pts(spark, sf)
+    q = p.select((F.col("point_id") - 1).alias("i"), F.col("point_id").alias("j"), F.col("x").alias("qx"), F.col("y").alias("qy"))
+    return p.join(q, F.col("point_id") == F.col("i")).select("i", "j", r6(directed_angle(F.col("x"), F.col("y"), F.col("qx"), F.col("qy"))).alias("angle"))
+
+
+@query(f"""WITH {DS}, h AS (SELECT dataset_id, type, sqrt(power(x - lead(x) OVER o, 2) + power(y - lead(y) OVER o, 2)) AS hop FROM ds WINDOW o AS (PARTITION BY dataset_id, type ORDER BY point_id))
+SELECT dataset_id, type, round(coalesce(max(hop), 0) / 2, 6) AS cover_radius, count(*) AS n_points FROM h GROUP BY 1, 2""")
+def bank_cover_radius(spark: SparkSession, sf: str) -> DataFrame:
+    return banks.cover_radius(src.pts_ds(spark, sf)).withColumn("cover_radius", r6("cover_radius"))
+
+
+BENDS = f"""{TURNS}, b AS (SELECT *, lag(orientation) OVER (PARTITION BY dataset_id, type ORDER BY k) AS before FROM t),
+s AS (SELECT *, sum(CASE WHEN before = CASE orientation WHEN 'LEFT' THEN 'RIGHT' WHEN 'RIGHT' THEN 'LEFT' ELSE 'STRAIGHT' END THEN 1 ELSE 0 END) OVER (PARTITION BY dataset_id, type ORDER BY k) AS bend FROM b),
+g AS (SELECT dataset_id, type, CAST(bend AS BIGINT) AS bend, arg_min(orientation, k) AS orientation, max(angle) AS max_angle, sum(angle) AS total_angle, min(k) AS start_index, count(*) AS n_turns FROM s GROUP BY 1, 2, 3)"""
+
+
+@query(f"WITH {BENDS} SELECT dataset_id, type, bend, orientation, round(max_angle, 6) AS max_angle, round(total_angle, 6) AS total_angle, start_index, n_turns FROM g")
+def bank_bends(spark: SparkSession, sf: str) -> DataFrame:
+    return banks.bends(src.pts_ds(spark, sf)).withColumn("max_angle", r6("max_angle")).withColumn("total_angle", r6("total_angle"))
+
+
+@query(f"""WITH {BENDS}, v AS (SELECT dataset_id, type, count(*) AS n, max(max_angle) AS m, sum(total_angle) AS t FROM g GROUP BY 1, 2)
+SELECT k.dataset_id, k.type, coalesce(n, 0) AS n_bends, coalesce(n, 0) <= 2 AND coalesce(m, 0) <= radians(170) AND coalesce(t, 0) <= radians(720) AS is_valid FROM (SELECT DISTINCT dataset_id, type FROM ds) k LEFT JOIN v ON k.dataset_id = v.dataset_id AND k.type = v.type""")
+def bank_valid(spark: SparkSession, sf: str) -> DataFrame:
+    return banks.valid(src.pts_ds(spark, sf), max_turning=170.0, max_bend=720.0)
+
+
+PAIRS = f"{PTS}, pairs AS (SELECT a.type, a.point_id AS i, b.point_id AS j, a.x AS ix, a.y AS iy, b.x AS jx, b.y AS jy, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d FROM pts a JOIN pts b ON a.type = b.type AND a.point_id < b.point_id)"
+RADIUS, CLEAR = 96.0, 0.6
+_SEG = "sqrt(power(r.x - (p.ix + greatest(0, least(1, coalesce(((r.x - p.ix) * (p.jx - p.ix) + (r.y - p.iy) * (p.jy - p.iy)) / nullif(power(p.jx - p.ix, 2) + power(p.jy - p.iy, 2), 0), 0))) * (p.jx - p.ix)), 2) + power(r.y - (p.iy + greatest(0, least(1, coalesce(((r.x - p.ix) * (p.jx - p.ix) + (r.y - p.iy) * (p.jy - p.iy)) / nullif(power(p.jx - p.ix, 2) + power(p.jy - p.iy, 2), 0), 0))) * (p.jy - p.iy)), 2))"
+_OTHER = "NOT (r.type = p.type AND ((r.x = p.ix AND r.y = p.iy) OR (r.x = p.jx AND r.y = p.jy)))"
+
+
+@query(f"WITH {PAIRS} SELECT type, i, j, round(d / 2, 6) AS time FROM pairs WHERE d <= {RADIUS}")
+def matching_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    return pairs.near_pairs(src.pts(spark, sf), RADIUS).select("type", "i", "j", r6(F.col("d") / 2).alias("time"))
+
+
+@query(f"WITH {PAIRS} SELECT type, i, j, round(d / 2, 6) AS time FROM pairs p WHERE d <= {RADIUS} AND NOT EXISTS (SELECT 1 FROM pts r WHERE {_OTHER} AND {_SEG} < {CLEAR * 10})")
+def matching_clear(spark: SparkSession, sf: str) -> DataFrame:
+    p = src.pts(spark, sf)
+    return pairs.clear_pairs(pairs.near_pairs(p, RADIUS), p, CLEAR * 10).select("type", "i", "j", r6(F.col("d") / 2).alias("time"))
+
+
+_SEES = "acos(greatest(-1.0, least(1.0, ((p.ix - r.x) * (p.jx - r.x) + (p.iy - r.y) * (p.jy - r.y)) / (sqrt(power(p.ix - r.x, 2) + power(p.iy - r.y, 2)) * sqrt(power(p.jx - r.x, 2) + power(p.jy - r.y, 2))))))"
+SKELETON = f"{PAIRS}, sk AS (SELECT * FROM pairs p WHERE NOT EXISTS (SELECT 1 FROM pts r WHERE {_OTHER} AND (p.ix - r.x) * (p.jx - r.x) + (p.iy - r.y) * (p.jy - r.y) <= 0 AND {_SEES} > {THETA}))"
+
+
+@query(f"WITH {SKELETON} SELECT type, i, j, round(d, 6) AS length FROM sk")
+def beta_skeleton(spark: SparkSession, sf: str) -> DataFrame:
+    return skeleton.beta_skeleton(src.pts(spark, sf)).select("type", "i", "j", r6("length").alias("length"))
+
+
+@query(f"WITH {SKELETON} SELECT type, count(*) AS n_edges, round(sum(d), 6) AS total_length, round(max(d), 6) AS longest FROM sk GROUP BY type")
+def skeleton_summary(spark: SparkSession, sf: str) -> DataFrame:
+    e = skeleton.beta_skeleton(src.pts(spark, sf))
+    return e.groupBy("type").agg(F.count(F.lit(1)).alias("n_edges"), r6(F.sum("length")).alias("total_length"), r6(F.max("length")).alias("longest"))
+
+
+def flagship(spark: SparkSession, sf: str) -> DataFrame:
+    return skeleton_summary(spark, sf)
+
+
+_T = "((c.ix - a.ix) * (c.jy - c.iy) - (c.iy - a.iy) * (c.jx - c.ix)) / nullif((a.jx - a.ix) * (c.jy - c.iy) - (a.jy - a.iy) * (c.jx - c.ix), 0)"
+_U = "((c.ix - a.ix) * (a.jy - a.iy) - (c.iy - a.iy) * (a.jx - a.ix)) / nullif((a.jx - a.ix) * (c.jy - c.iy) - (a.jy - a.iy) * (c.jx - c.ix), 0)"
+CROSS = f"{SKELETON}, cr AS (SELECT a.i AS i1, a.j AS j1, c.i AS i2, c.j AS j2, a.type AS type1, c.type AS type2 FROM sk a JOIN sk c ON (a.i < c.i OR (a.i = c.i AND a.j < c.j)) WHERE {_T} > 0.01 AND {_T} < 0.99 AND {_U} > 0.01 AND {_U} < 0.99)"
+
+
+@query(f"WITH {CROSS} SELECT * FROM cr")
+def skeleton_crossings(spark: SparkSession, sf: str) -> DataFrame:
+    return skeleton.crossings(skeleton.beta_skeleton(src.pts(spark, sf)))
+
+
+@query(f"WITH {CROSS}, m AS (SELECT i1 AS i, j1 AS j FROM cr UNION ALL SELECT i2, j2 FROM cr), n AS (SELECT i, j, count(*) AS n_crossings FROM m GROUP BY 1, 2) SELECT i, j, n_crossings FROM n ORDER BY n_crossings DESC, i, j LIMIT 20")
+def most_crossed_top20(spark: SparkSession, sf: str) -> DataFrame:
+    c = skeleton.crossings(skeleton.beta_skeleton(src.pts(spark, sf)))
+    ends = c.select(F.col("i1").alias("i"), F.col("j1").alias("j")).unionByName(c.select(F.col("i2").alias("i"), F.col("j2").alias("j")))
+    return ends.groupBy("i", "j").agg(F.count(F.lit(1)).alias("n_crossings")).orderBy(F.desc("n_crossings"), "i", "j").limit(20)
+
+
+@query(f"""WITH RECURSIVE {SKELETON}, e AS (SELECT i AS a, j AS b FROM sk UNION ALL SELECT j, i FROM sk),
+walk AS (SELECT point_id AS n, point_id AS c FROM pts UNION SELECT e.b, walk.c FROM walk JOIN e ON walk.n = e.a WHERE e.b > walk.c) SELECT n AS point_id, min(c) AS component FROM walk GROUP BY n""")
+def skeleton_components(spark: SparkSession, sf: str) -> DataFrame:
+    p = src.pts(spark, sf)
+    return skeleton.components(p, skeleton.beta_skeleton(p))
+
+
+_HULL = "(SELECT 1 FROM pts r WHERE r.type = a.type AND ((b.x - a.x) * (r.y - a.y) - (b.y - a.y) * (r.x - a.x) > 1e-9 OR (abs((b.x - a.x) * (r.y - a.y) - (b.y - a.y) * (r.x - a.x)) <= 1e-9 AND r.point_id <> a.point_id AND r.point_id <> b.point_id AND (r.x - a.x) * (r.x - b.x) + (r.y - a.y) * (r.y - b.y) > 0)))"
+HULL = f"{PTS}, he AS (SELECT a.type, a.point_id AS p, b.point_id AS q, a.x AS px, a.y AS py, b.x AS qx, b.y AS qy FROM pts a JOIN pts b ON a.type = b.type AND a.point_id <> b.point_id WHERE NOT EXISTS {_HULL}), hm AS (SELECT type, count(*) AS n_corners, abs(sum(px * qy - qx * py)) / 2 AS area, sum(sqrt(power(px - qx, 2) + power(py - qy, 2))) AS perimeter FROM he GROUP BY type)"
+
+
+@query(f"WITH {HULL} SELECT type, p, q FROM he")
+def hull_edges(spark: SparkSession, sf: str) -> DataFrame:
+    return hulls.hull_edges(hulls.hulls(src.pts(spark, sf)))
+
+
+@query(f"WITH {HULL} SELECT type, n_corners, round(area, 6) AS area, round(perimeter, 6) AS perimeter FROM hm")
+def hull_measures(spark: SparkSession, sf: str) -> DataFrame:
+    return hulls.hull_measures(hulls.hulls(src.pts(spark, sf))).withColumn("area", r6("area")).withColumn("perimeter", r6("perimeter"))
+
+
+@query(f"WITH {HULL}, ins AS (SELECT p.point_id, e.type AS hull FROM pts p JOIN he e ON TRUE GROUP BY 1, 2 HAVING bool_and((e.qx - e.px) * (p.y - e.py) - (e.qy - e.py) * (p.x - e.px) <= 1e-9)) SELECT point_id, hull FROM ins")
+def point_in_hull(spark: SparkSession, sf: str) -> DataFrame:
+    p = src.pts(spark, sf)
+    return hulls.points_in_hulls(p, hulls.hulls(p))
+
+
+@query(f"WITH {HULL}, ins AS (SELECT p.point_id, e.type AS hull FROM pts p JOIN he e ON TRUE GROUP BY 1, 2 HAVING bool_and((e.qx - e.px) * (p.y - e.py) - (e.qy - e.py) * (p.x - e.px) <= 1e-9)) SELECT point_id FROM pts WHERE point_id NOT IN (SELECT i.point_id FROM ins i JOIN pts o ON o.point_id = i.point_id WHERE o.type <> i.hull)")
+def points_in_own_hull_only(spark: SparkSession, sf: str) -> DataFrame:
+    p = src.pts(spark, sf)
+    foreign = hulls.points_in_hulls(p, hulls.hulls(p)).join(p.select("point_id", "type"), "point_id").where("type != hull").select("point_id").distinct()
+    return pairs.isolated(p, foreign).select("point_id")
+
+
+_TRI = "l1 * l2 * l3 / sqrt((l1 + l2 + l3) * (l2 + l3 - l1) * (l3 + l1 - l2) * (l1 + l2 - l3))"
+
+
+@query(f"""WITH {DS}, w AS (SELECT dataset_id, point_id, x, y, row_number() OVER o AS k, lead(x) OVER o AS x1, lead(y) OVER o AS y1, lead(x, 2) OVER o AS x2, lead(y, 2) OVER o AS y2 FROM ds WINDOW o AS (PARTITION BY dataset_id ORDER BY point_id)),
+s AS (SELECT dataset_id, point_id, list_sort([sqrt(power(x - x1, 2) + power(y - y1, 2)), sqrt(power(x1 - x2, 2) + power(y1 - y2, 2)), sqrt(power(x - x2, 2) + power(y - y2, 2))]) AS l FROM w WHERE x2 IS NOT NULL), t AS (SELECT *, l[1] AS l1, l[2] AS l2, l[3] AS l3 FROM s)
+SELECT dataset_id, point_id, round(CASE WHEN l3 * l3 <= l1 * l1 + l2 * l2 THEN {_TRI} ELSE l2 / (2 * ((l2 * l2 + l3 * l3 - l1 * l1) / (2 * l2 * l3))) END, 6) AS cover_radius FROM t""")
+def triangle_cover_radius(spark: SparkSession, sf: str) -> DataFrame:
+    o = Window.partitionBy("dataset_id").orderBy("point_id")
+    w = src.pts_ds(spark, sf).select("dataset_id", "point_id", "x", "y", *[F.lead(c, n).over(o).alias(f"{c}{n}") for n in (1, 2) for c in "xy"]).where("x2 is not null")
+    d = lambda a, b: distance(F.col(f"x{a}"), F.col(f"y{a}"), F.col(f"x{b}"), F.col(f"y{b}"))
+    return w.select("dataset_id", "point_id", r6(cover_radius_triangle(d("", "1"), d("1", "2"), d("", "2"))).alias("cover_radius"))
+
+
+@query(f"WITH {PTS}, j AS (SELECT a.point_id, b.point_id AS other_id, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d, row_number() OVER (PARTITION BY a.point_id ORDER BY (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y), b.point_id) AS k FROM pts a JOIN pts b ON a.type <> b.type) SELECT point_id, other_id, round(d, 6) AS d FROM j WHERE k = 1")
+def nearest_other_type(spark: SparkSession, sf: str) -> DataFrame:
+    return pairs.nearest_other_type(src.pts(spark, sf)).withColumn("d", r6("d"))
+
+
+_RGB = "(SELECT p_partkey AS mark_id, (p_size % 17) / 16.0 AS r, (p_partkey % 23) / 22.0 AS g, (p_partkey % 29) / 28.0 AS b FROM part)"
+_COLORS = " UNION ALL ".join(f"SELECT {i} AS i, {r!r}::DOUBLE AS cr, {g!r}::DOUBLE AS cg, {b!r}::DOUBLE AS cb" for i, (r, g, b) in enumerate(PALETTE))
+
+
+@query(f"WITH m AS {_RGB}, c AS ({_COLORS}), j AS (SELECT mark_id, i, row_number() OVER (PARTITION BY mark_id ORDER BY (r - cr) * (r - cr) + (g - cg) * (g - cg) + (b - cb) * (b - cb), i) AS k FROM m, c) SELECT mark_id, CAST(i AS INTEGER) AS type FROM j WHERE k = 1")
+def nearest_color(spark: SparkSession, sf: str) -> DataFrame:
+    p = src.table(spark, sf, "part")
+    marks = p.select(F.col("p_partkey").alias("mark_id"), ((F.col("p_size") % 17) / 16.0).alias("r"), ((F.col("p_partkey") % 23) / 22.0).alias("g"), ((F.col("p_partkey") % 29) / 28.0).alias("b"))
+    return pairs.nearest_color(marks, PALETTE).select("mark_id", "type")
+
+
+GRID = 20.0
+_M, _T0 = fields.constants()
+INFLUENCE = f"""{PTS}, nodes AS (SELECT point_id, type, x, y, unnest(range(CAST(ceil((x - 60) / {GRID}) AS BIGINT), CAST(floor((x + 60) / {GRID}) AS BIGINT) + 1)) AS ix FROM pts),
+near AS (SELECT *, unnest(range(CAST(ceil((y - 60) / {GRID}) AS BIGINT), CAST(floor((y + 60) / {GRID}) AS BIGINT) + 1)) AS iy FROM nodes),
+inf AS (SELECT type, ix, iy, sum(1 / (power(ix * {GRID} - x, 2) + power(iy * {GRID} - y, 2)) - {_M!r}) AS influence FROM near WHERE power(ix * {GRID} - x, 2) + power(iy * {GRID} - y, 2) < {1 / _M!r} GROUP BY 1, 2, 3),
+pot AS (SELECT type, ix, iy, 2 * influence - sum(influence) OVER (PARTITION BY ix, iy) - {_T0!r} AS potential FROM inf)"""
+
+
+@query(f"WITH {INFLUENCE} SELECT type, ix, iy, round(influence, 6) AS influence FROM inf")
+def influence_grid(spark: SparkSession, sf: str) -> DataFrame:
+    return fields.influence_grid(src.pts(spark, sf), GRID).withColumn("influence", r6("influence"))
+
+
+@query(f"WITH {INFLUENCE} SELECT type, ix, iy, round(potential, 6) + 0.0 AS potential FROM pot")
+def potential_grid(spark: SparkSession, sf: str) -> DataFrame:
+    return fields.potential_grid(src.pts(spark, sf), GRID).withColumn("potential", r6("potential"))
+
+
+@query(f"WITH {INFLUENCE}, up AS (SELECT * FROM pot WHERE potential > 0), c AS (SELECT type, ix, iy, 1 AS bit FROM up UNION ALL SELECT type, ix - 1, iy, 2 FROM up UNION ALL SELECT type, ix, iy - 1, 4 FROM up UNION ALL SELECT type, ix - 1, iy - 1, 8 FROM up) SELECT type, ix, iy, CAST(sum(bit) AS BIGINT) AS mask FROM c GROUP BY 1, 2, 3 HAVING sum(bit) < 15")
+def potential_sign_cells(spark: SparkSession, sf: str) -> DataFrame:
+    return fields.sign_cells(fields.potential_grid(src.pts(spark, sf), GRID))
+
+
+@query(f"WITH {PTS} SELECT t.a AS type1, t.b AS type2, round(min(sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y))) / 2, 6) AS first_touch FROM (SELECT DISTINCT a.type AS a, b.type AS b FROM pts a JOIN pts b ON a.type < b.type) t JOIN pts p ON p.type = t.a JOIN pts q ON q.type = t.b GROUP BY 1, 2")
+def two_color_first_touch(spark: SparkSession, sf: str) -> DataFrame:
+    """When growing discs of two types touch for the first time."""
+    p = src.pts(spark, sf)
+    a, b = p.select(F.col("type").alias("type1"), F.col("x").alias("ax"), F.col("y").alias("ay")), p.select(F.col("type").alias("type2"), F.col("x").alias("bx"), F.col("y").alias("by"))
+    return a.join(b, F.col("type1") < F.col("type2")).groupBy("type1", "type2").agg(r6(F.min(distance(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))) / 2).alias("first_touch"))
+
+
+@query(f"WITH {PTS}, u AS (SELECT CAST(type AS VARCHAR) AS type FROM pts UNION ALL SELECT event_type FROM events UNION ALL SELECT CAST(c_nationkey AS VARCHAR) FROM customer) SELECT type, count(*) AS n, round(count(*) * 1.0 / sum(count(*)) OVER (), 6) AS share FROM u GROUP BY type")
+def type_histogram(spark: SparkSession, sf: str) -> DataFrame:
+    """Points of three sources by type."""
+    every = src.pts(spark, sf).select(F.col("type").cast("string"))
+    for more in (src.event_pts(spark, sf), src.account_pts(spark, sf)):
+        every = every.unionByName(more.select(F.col("type").cast("string")))
+    n = every.groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+    return n.withColumn("share", r6(F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0)))))
+
+
+@query(f"WITH {HULL}, n AS (SELECT type, count(*) AS n FROM pts GROUP BY type), s AS (SELECT abs(coalesce(area, 0) / sum(coalesce(area, 0)) OVER () - n / sum(n) OVER ()) AS gap FROM n LEFT JOIN hm USING (type)) SELECT round(100 * avg(gap), 6) AS mean_percent, round(100 * max(gap), 6) AS max_percent FROM s")
+def density_distortion_hull(spark: SparkSession, sf: str) -> DataFrame:
+    p = src.pts(spark, sf)
+    d = sets.density_distortion(hulls.hull_measures(hulls.hulls(p)).select("type", "area"), p)
+    return d.select(r6("mean_percent").alias("mean_percent"), r6("max_percent").alias("max_percent"))
+
+
+HISTORY = "h AS (SELECT user_id % 20 AS dataset_id, event_id AS seq, value AS time FROM events)"
+
+
+@query(f"WITH {HISTORY}, l AS (SELECT *, max(CASE WHEN time >= 90 THEN 1 ELSE 0 END) OVER (PARTITION BY dataset_id ORDER BY seq) AS late FROM h) SELECT dataset_id, max(seq) AS seq, arg_max(time, seq) AS time FROM l WHERE late = 0 GROUP BY 1")
+def history_cut(spark: SparkSession, sf: str) -> DataFrame:
+    e = src.table(spark, sf, "events").select((F.col("user_id") % 20).alias("dataset_id"), F.col("event_id").alias("seq"), F.col("value").alias("time"))
+    return sets.history_cut(e, 90.0)
+
+
+HYPER = "he AS (SELECT l_orderkey AS edge_id, list_sort(list_distinct(list(CAST(l_suppkey % 12 AS INTEGER)))) AS origins FROM lineitem WHERE l_orderkey % 10 = 0 GROUP BY 1 HAVING count(DISTINCT l_suppkey % 12) > 1)"
+
+
+@query(f"WITH {HYPER}, d AS (SELECT DISTINCT origins FROM he) SELECT edge_id, CAST(origins AS VARCHAR) AS origins FROM he s WHERE NOT EXISTS (SELECT 1 FROM d b WHERE len(b.origins) = len(s.origins) + 1 AND list_has_all(b.origins, s.origins))")
+def hyperedge_prune(spark: SparkSession, sf: str) -> DataFrame:
+    l = src.table(spark, sf, "lineitem").where("l_orderkey % 10 = 0")
+    edges = l.groupBy(F.col("l_orderkey").alias("edge_id")).agg(F.array_sort(F.collect_set((F.col("l_suppkey") % 12).cast("int"))).alias("origins")).where(F.size("origins") > 1)
+    return sets.prune_hyperedges(edges).select("edge_id", F.concat(F.lit("["), F.array_join("origins", ", "), F.lit("]")).alias("origins"))
+
+
+PREF = "r AS (SELECT o_orderkey AS component_id, o_custkey % 4 AS left_discs, o_orderkey % 4 AS right_discs, o_custkey % 3 = 0 AS left_straight, o_orderkey % 5 = 0 AS right_straight, o_custkey % 2 = 0 AS can_indent FROM orders)"
+
+
+@query(f"WITH {PREF} SELECT component_id, CASE WHEN left_discs < right_discs THEN 'LT' WHEN left_discs > right_discs THEN 'GT' WHEN left_straight AND NOT right_straight THEN 'LT' WHEN right_straight AND NOT left_straight THEN 'GT' ELSE 'EQ' END AS preference FROM r")
+def preference_resolve(spark: SparkSession, sf: str) -> DataFrame:
+    o, c, k = src.table(spark, sf, "orders"), F.col("o_custkey"), F.col("o_orderkey")
+    r = o.select(k.alias("component_id"), (c % 4).alias("left_discs"), (k % 4).alias("right_discs"), (c % 3 == 0).alias("left_straight"), (k % 5 == 0).alias("right_straight"), (c % 2 == 0).alias("can_indent"))
+    return sets.resolve_preference(r).select("component_id", "preference")
+
+
+@query(f"WITH {PTS} SELECT point_id, CASE WHEN type IN (2, 5) THEN 99 ELSE type END AS pattern_id FROM pts WHERE type <> (SELECT type FROM pts WHERE point_id = 7) OR type IN (2, 5) AND (SELECT type FROM pts WHERE point_id = 7) NOT IN (2, 5) UNION ALL SELECT point_id, -1 - point_id FROM pts WHERE point_id <> 7 AND CASE WHEN type IN (2, 5) THEN 99 ELSE type END = (SELECT CASE WHEN type IN (2, 5) THEN 99 ELSE type END FROM pts WHERE point_id = 7)")
+def partition_edit(spark: SparkSession, sf: str) -> DataFrame:
+    """Patterns 2 and 5 merged, then the pattern of point 7 broken up and the point removed."""
+    m = src.pts(spark, sf).select("point_id", F.col("type").cast("long").alias("pattern_id"))
+    return sets.break_pattern(sets.merge_patterns(m, 2, 5, 99), 7)
+
+
+@query(f"""WITH {PTS} SELECT point_id, '<circle cx="' || {_sql_decimal('x')} || '" cy="' || {_sql_decimal('y')} || '" r="2.0"/>' AS svg FROM pts""")
+def svg_points(spark: SparkSession, sf: str) -> DataFrame:
+    from .sources.drawing import circle_tag
+
+    return src.pts(spark, sf).select("point_id", circle_tag(F.col("x"), F.col("y"), 2.0).alias("svg"))
+
+
+@query(f"WITH {PTS} SELECT point_id, floor(x / 5 + 0.5) * 5 AS gx, floor(y / 5 + 0.5) * 5 AS gy, floor(x * 10 + 0.5) / 10 AS rx FROM pts")
+def grid_snap(spark: SparkSession, sf: str) -> DataFrame:
+    p = src.pts(spark, sf)
+    return p.select("point_id", (round_half_up(F.col("x") / 5, 0) * 5).alias("gx"), (round_half_up(F.col("y") / 5, 0) * 5).alias("gy"), round_half_up(F.col("x"), 1).alias("rx"))
+
+
