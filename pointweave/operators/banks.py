@@ -29,7 +29,7 @@ def cover_radius(points: DataFrame, keys=BANK) -> DataFrame:
 def turns(points: DataFrame, keys=BANK) -> DataFrame:
     """For every three points in a row: index (from 0), orientation and turning angle in radians."""
     w = _order(keys)
-    t = points.select(*keys, "point_id", "x", "y", F.lead("x").over(w).alias("x1"), F.lead("y").over(w).alias("y1"), F.lead("x", 2).over(w).alias("x2"), F.lead("y", 2).over(w).alias("y2"), (F.row_number().over(w) - 1).alias("k")).where("x2 is not null")
+    t = points.select(*keys, "point_id", "x", "y", F.lead("x").over(w).alias("x1"), F.lead("y").over(w).alias("y1"), F.lead("x", 2).over(w).alias("x2"), F.lead("y", 2).over(w).alias("y2"), (F.row_number().over(w) - 1).cast("long").alias("k")).where("x2 is not null")
     c = [F.col(n) for n in ("x", "y", "x1", "y1", "x2", "y2")]
     angle = angle_between(c[2] - c[0], c[3] - c[1], c[4] - c[2], c[5] - c[3])
     return t.withColumn("orientation", orientation(cross(*c))).withColumn("angle", F.coalesce(angle, F.lit(0.0))).select(*keys, "point_id", "k", "orientation", "angle")

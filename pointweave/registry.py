@@ -352,3 +352,95 @@ def grid_snap(spark: SparkSession, sf: str) -> DataFrame:
     return p.select("point_id", (round_half_up(F.col("x") / 5, 0) * 5).alias("gx"), (round_half_up(F.col("y") / 5, 0) * 5).alias("gy"), round_half_up(F.col("x"), 1).alias("rx"))
 
 
+
+
+# Kernels: sequential or geometric loops that SQL can't express; the tests hold them against closed forms and properties.
+
+SMALL = {"p_size": 4.0, "cover": 4.0}
+
+
+def _settings(**more):
+    from .settings import Settings
+
+    return Settings(**SMALL, **more)
+
+
+@query()
+def grow_history(spark: SparkSession, sf: str) -> DataFrame:
+    from .operators.growth import grow
+
+    return grow(src.pts_ds(spark, sf), _settings(postpone_intersections=False))
+
+
+@query()
+def grow_cut(spark: SparkSession, sf: str) -> DataFrame:
+    from .operators.growth import cut, grow
+
+    s = _settings(postpone_intersections=False)
+    return cut(grow(src.pts_ds(spark, sf), s), s.cover * s.expand_radius)
+
+
+def _drawing(spark: SparkSession, sf: str):
+    from .plans.lifecycle import Drawing
+
+    return Drawing(src.pts_ds(spark, sf), _settings(postpone_intersections=False)).compute()
+
+
+@query()
+def dilate_area(spark: SparkSession, sf: str) -> DataFrame:
+    from .operators.metrics import dilated_areas
+
+    d = _drawing(spark, sf)
+    return dilated_areas(d.patterns, d.points, d.settings)
+
+
+@query()
+def metrics_report(spark: SparkSession, sf: str) -> DataFrame:
+    return _drawing(spark, sf).report()
+
+
+@query()
+def stacking_order(spark: SparkSession, sf: str) -> DataFrame:
+    return _drawing(spark, sf).order().drop("ring")
+
+
+@query()
+def stacking_relations(spark: SparkSession, sf: str) -> DataFrame:
+    return _drawing(spark, sf).relations()
+
+
+@query()
+def svg_drawing(spark: SparkSession, sf: str) -> DataFrame:
+    return _drawing(spark, sf).draw()
+
+
+@query()
+def greedy_forest(spark: SparkSession, sf: str) -> DataFrame:
+    return skeleton.forest(skeleton.beta_skeleton(src.pts_ds(spark, sf), keys=("dataset_id",)))
+
+
+@query()
+def augmented_forest(spark: SparkSession, sf: str) -> DataFrame:
+    return skeleton.forest(skeleton.beta_skeleton(src.pts_ds(spark, sf), keys=("dataset_id",)), augment=True)
+
+
+@query()
+def two_color_discs(spark: SparkSession, sf: str) -> DataFrame:
+    from .operators.circles import grow_discs
+
+    return grow_discs(src.pts_ds(spark, sf), 0, 1, 30.0, 20.0)
+
+
+@query()
+def potential_contours(spark: SparkSession, sf: str) -> DataFrame:
+    from .operators.contours import zero_contours
+
+    return zero_contours(src.pts(spark, sf), step=10.0).select("type", "contour_id", F.size("ring").alias("n_corners"), "area")
+
+
+@query()
+def potential_members(spark: SparkSession, sf: str) -> DataFrame:
+    from .operators.contours import contour_members, zero_contours
+
+    p = src.pts(spark, sf)
+    return contour_members(p, zero_contours(p, step=10.0))
