@@ -162,15 +162,15 @@ def _settle(rounded: DataFrame, seed: int, most: int = 256) -> DataFrame:
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each document's row as often as it is taken, columns as in docs."""
     size = word_count(F.col("text"))
-    plan = mix(docs, **options).select(F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("size").alias("__z"), "copy_no", "copies")
+    plan = mix(docs, **options).select(F.col("doc_id").alias("__mix__d"), F.col("source").alias("__mix__s"), F.col("size").alias("__mix__z"), "copy_no", "copies")
     # Equal (doc_id, source, size) rows share a sum of copies; the k-th of them takes what copy_no k was given.
-    per = plan.groupBy("__d", "__s", "__z").agg(F.sum("copies").alias("__sum"), F.count(F.lit(1)).alias("__n"))
-    on = F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & F.col("source").eqNullSafe(F.col("__s")) & (size == F.col("__z"))
-    per = materialize(per.where("__sum > 0"), "mix-copies")
-    taken = docs.join(per.where("__n = 1"), on).withColumn("__c", F.col("__sum"))
-    if not (repeated := per.where("__n > 1")).isEmpty():
-        base = F.floor(F.col("__sum") / F.col("__n"))
-        nth = F.row_number().over(Window.partitionBy("__d", "__s", "__z").orderBy(F.xxhash64("text")))
-        many = docs.join(repeated, on).withColumn("__nth", nth).withColumn("__c", base + F.when(F.col("__nth") <= F.col("__sum") - base * F.col("__n"), 1).otherwise(0)).drop("__nth")
+    per = plan.groupBy("__mix__d", "__mix__s", "__mix__z").agg(F.sum("copies").alias("__mix__sum"), F.count(F.lit(1)).alias("__mix__n"))
+    on = F.col("doc_id").cast("long").eqNullSafe(F.col("__mix__d")) & F.col("source").eqNullSafe(F.col("__mix__s")) & (size == F.col("__mix__z"))
+    per = materialize(per.where("__mix__sum > 0"), "mix-copies")
+    taken = docs.join(per.where("__mix__n = 1"), on).withColumn("__mix__c", F.col("__mix__sum"))
+    if not (repeated := per.where("__mix__n > 1")).isEmpty():
+        base = F.floor(F.col("__mix__sum") / F.col("__mix__n"))
+        nth = F.row_number().over(Window.partitionBy("__mix__d", "__mix__s", "__mix__z").orderBy(F.xxhash64("text")))
+        many = docs.join(repeated, on).withColumn("__mix__nth", nth).withColumn("__mix__c", base + F.when(F.col("__mix__nth") <= F.col("__mix__sum") - base * F.col("__mix__n"), 1).otherwise(0)).drop("__mix__nth")
         taken = taken.unionByName(many)
-    return taken.where("__c > 0").withColumn("__k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__c").cast("long")))).select(*docs.columns)
+    return taken.where("__mix__c > 0").withColumn("__mix__k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__mix__c").cast("long")))).select(*docs.columns)
