@@ -69,3 +69,14 @@ def test_regrow_stream(spark, tmp_path):
     q.awaitTermination(60)
     h = regrow.current(spark, str(tmp_path / "history"))
     assert h.where("seq = 0").count() == 6 and h.where("seq > 0").count() == 4
+
+
+def test_svg_shapes(spark):
+    svg = '<svg><path d="M0,0 L10,0 L10,10 L0,10 Z" fill="#a6ceff" stroke="#000000" stroke-width="1.5"/><path d="M4,4 L6,4 L6,6 L4,6 Z" fill="#ffffff" stroke="#000000"/><path d="M1,1 L1.5,1 L1.5,1.5 Z" fill="#fb9a99" stroke="#000000"/></svg>'
+    s = drawing.classify_shapes(drawing.svg_shapes(spark.createDataFrame([(svg,)], "value string")), 0.5, check_holes=True)
+    rows = s.orderBy("shape_id").collect()
+    assert [(r["role"], r["type"], r["stroke_width"]) for r in rows] == [("region", 7, 1.5), ("hole", 10, None), ("point", 1, None)]
+    p = spark.createDataFrame([(0, 1.0, 1.0), (1, 5.0, 5.0), (2, 20.0, 1.0)], "point_id long, x double, y double")
+    assert [tuple(r) for r in drawing.region_members(s, p).collect()] == [(0, 0)]
+    m = spark.createDataFrame([(0, 1), (0, 2), (1, 1), (2, 1), (2, 2)], "shape_id long, point_id long")
+    assert [r[0] for r in drawing.drop_contained(m).collect()] == [0]
