@@ -51,6 +51,12 @@ def _tokenizer(path: str):
     return t
 
 
+@lru_cache(maxsize=2)
+def encoder(path: str, kind: str) -> Encoder:
+    """A Python worker's encoder: it lives on from task to task, and with it what it knows."""
+    return Encoder(path, kind)
+
+
 class Encoder:
     """encode(texts) -> (ids of all texts in a row, each text's number of ids).
 

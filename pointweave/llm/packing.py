@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .base import materialize
-from .encode import Encoder
+from .encode import encoder as worker_encoder
 from .textscan import slices
 
 LENGTH = 2048
@@ -35,7 +35,7 @@ def cut_documents(docs: DataFrame, path: str, kind: str = "space", length: int =
     fields = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, cls int, part int, rank_in_part long" + ", ids array<int>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path, kind)
+        encoder = worker_encoder(path, kind)
         part = TaskContext.get().partitionId()
         seen = np.zeros(length // unit + 1, np.int64)
         for batch in batches:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .base import new_path
-from .encode import Encoder
+from .encode import encoder as worker_encoder
 from .textscan import slices
 
 MAGIC = b"PWPLANE1"
@@ -78,7 +78,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, kind:
     tokenizer = tokenizer or str(public_tokenizers.path(TOKENIZER))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer, kind)
+        encoder = worker_encoder(tokenizer, kind)
         part, chunks, start = TaskContext.get().partitionId(), 0, 0
         held: list[np.ndarray] = []
         doc_ids: list = []
