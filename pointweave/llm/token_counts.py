@@ -101,6 +101,12 @@ class TrieCounter:
         return sizes, tokens[bounds[1:]] - tokens[bounds[:-1]], score
 
 
+@lru_cache(maxsize=1)
+def worker_counter(path: str) -> TrieCounter:
+    """A Python worker's trie: it lives on from task to task."""
+    return TrieCounter(path)
+
+
 def count_tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
     """For each row: doc_id, n_pretokens, n_tokens, score (the best segmentation's log-probability).
 
@@ -110,7 +116,7 @@ def count_tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
     path = path or str(public_tokenizers.path(VOCABULARY))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = TrieCounter(path)
+        counter = worker_counter(path)
         for batch in batches:
             for lo, hi in slices(batch.column(1)):
                 n, tokens, score = counter.texts(batch.column(1).slice(lo, hi - lo).fill_null("").to_pylist())
