@@ -11,7 +11,7 @@ AWKWARD = [
     (5, LONG, "en", "b"),
     (6, "the quick brown fox jumps over the lazy dog and runs away from it all", "en", None),
     (6, "the quick brown fox jumps over the lazy dog and runs away from it all", "en", None),
-    (7, "***", "fr", "c"),
+    (7, "*** 12 \u00b2 _", "fr", "c"),
     (8, "é́ \U0001f600 日本語 <|endoftext|>\x00\x1c", "fr", "c"),
 ]
 SCHEMA = "doc_id long, text string, lang string, source string"
