@@ -7,9 +7,11 @@ of their weighted Jaccard similarity. As all shingles of a document share its k
 below a rank bound are needed, whatever the number of shingles; documents with an empty coordinate raise their bound.
 
 Joining. Equal texts are one node. Nodes that agree on a band of coordinates share a bucket. Every node is checked
-with its bucket's least node (no pairs within a bucket), exactly, on the whole texts' shingles. Links make components.
-What is left are pairs of a bucket whose nodes are in different components: those are checked too, a large bucket's
-in tiles. So every pair that shares a bucket is checked, or its nodes are in one component already.
+with its bucket's least node (no pairs within a bucket), exactly, on the whole texts' shingles. Links make components;
+nodes connected by buckets alone make a cluster. Where a cluster has several components, the nodes outside its largest
+one are compared with all of the cluster, exactly, in tiles of bounded size that give only the links that connect
+components. So every pair that shares a bucket is checked, or its nodes are in one component already, and no step has
+a row for each pair.
 """
 
 from __future__ import annotations
@@ -27,9 +29,10 @@ from .textscan import Scan, mix64, slices
 
 WORDS = 5
 SIMILARITY = 0.8
-BANDS = 24
-ROWS = 4
+BANDS = 32
+ROWS = 6
 TILE = 512
+TILE_SHINGLES = 400_000
 #: How many darts fall on a unit of area: the distribution with mean 1, cumulated.
 _POISSON = np.cumsum(np.exp(-1.0) / np.array([math.factorial(i) for i in range(18)], float))
 
@@ -111,7 +114,14 @@ def signatures(column: pa.Array, words: int = WORDS, bands: int = BANDS, rows: i
         weights = n.astype(float)
     else:
         weights = np.ones(len(h))
-    sig = dart_minhash(h, text, weights, scan.n, bands * rows).reshape(scan.n, bands, rows)
+    order = np.argsort(text, kind="stable")
+    text, h, weights = text[order], h[order], weights[order]
+    sig = np.zeros((scan.n, bands * rows), np.uint64)
+    for lo in range(0, scan.n, 256):  # a set throws some thousand darts
+        a, b = np.searchsorted(text, (lo, lo + 256))
+        n = min(256, scan.n - lo)
+        sig[lo : lo + n] = dart_minhash(h[a:b], text[a:b] - lo, weights[a:b], n, bands * rows)
+    sig = sig.reshape(scan.n, bands, rows)
     with np.errstate(over="ignore"):
         out = np.arange(1, bands + 1, dtype=np.uint64)[None, :] * np.uint64(0xD6E8FEB86659FD93)
         for r in range(rows):
@@ -175,6 +185,77 @@ def _check(pairs: DataFrame, texts: DataFrame, words: int, least: float, weighti
     return pairs.join(of_a, "a").join(of_b, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary")
 
 
+def cross_links(first: pa.Array, second: pa.Array, comp_a: list, comp_b: list, words: int, least: float, weighting: str) -> list[tuple[int, int]]:
+    """(place in first, place in second) of similar texts that connect different components; only as many as connect.
+
+    Similarities are exact: shingles that both sides have are columns of two matrices, whose product counts them.
+    """
+    (ta, ha, na), (tb, hb, nb) = (_counted(*shingles(Scan(x), words)) for x in (first, second))
+    if weighting != "count":
+        na, nb = np.ones(len(ta), np.int64), np.ones(len(tb), np.int64)
+    size_a, size_b = np.bincount(ta, na, len(first)), np.bincount(tb, nb, len(second))
+    common = np.intersect1d(ha, hb)
+    both = np.zeros((len(first), len(second)))
+    keep_a, keep_b = np.isin(ha, common), np.isin(hb, common)
+    ca, cb = np.searchsorted(common, ha[keep_a]), np.searchsorted(common, hb[keep_b])
+    ra, rb, wa, wb = ta[keep_a], tb[keep_b], na[keep_a], nb[keep_b]
+    for lo in range(0, len(common), 4096):
+        ma, mb = ((c >= lo) & (c < lo + 4096) for c in (ca, cb))
+        top = int(max(wa[ma].max(initial=1), wb[mb].max(initial=1)))
+        for level in range(1, top + 1):  # the sum over levels of "has at least so many" products is the sum of minima
+            x, y = np.zeros((len(first), 4096), np.float32), np.zeros((len(second), 4096), np.float32)
+            x[ra[ma], ca[ma] - lo] = wa[ma] >= level
+            y[rb[mb], cb[mb] - lo] = wb[mb] >= level
+            both += x @ y.T
+    union = size_a[:, None] + size_b[None, :] - both
+    hits = np.argwhere((both >= (least - 1e-12) * union) & (union > 0))
+    parent: dict = {}
+
+    def root(v):
+        while parent.setdefault(v, v) != v:
+            parent[v] = parent[parent[v]]
+            v = parent[v]
+        return v
+
+    out = []
+    for i, j in hits:
+        a, b = root(comp_a[i]), root(comp_b[j])
+        if a != b:
+            parent[a] = b
+            out.append((int(i), int(j)))
+    return out
+
+
+def _tiled_links(shared: DataFrame, found: DataFrame, texts: DataFrame, words: int, least: float, weighting: str) -> DataFrame:
+    """Links (a, b) within clusters beyond those found: nodes outside a cluster's largest component against all of it."""
+    ties = shared.where("key != leader").select(F.col("key").alias("a"), F.col("leader").alias("b"))
+    cluster = components(ties)
+    # Texts of a cluster are counted in words, about; that bounds what a tile holds.
+    node = texts.select("key", (F.length("text") / 4).cast("long").alias("weight")).join(cluster, F.col("key") == F.col("node"), "left").select("key", "weight", F.coalesce("component", "key").alias("s"))
+    node = node.join(found, F.col("key") == F.col("node"), "left").select("key", "weight", "s", F.coalesce("component", "key").alias("c"))
+    node = materialize(node, "dup-members")
+    per = node.groupBy("s", "c").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w"))
+    whole = per.groupBy("s").agg(F.count(F.lit(1)).alias("parts"), F.max_by("c", F.struct("n", "c")).alias("main"), F.sum("n").alias("n"), F.sum("w").alias("w"), F.max("n").alias("main_n"), F.max_by("w", F.struct("n", "c")).alias("main_w")).where("parts > 1")
+    tiles = lambda n, w: F.greatest(F.ceil(n / TILE), F.ceil(w / TILE_SHINGLES), F.lit(1)).cast("int")
+    whole = whole.select("s", "main", tiles(F.col("n"), F.col("w")).alias("all_tiles"), tiles(F.col("n") - F.col("main_n"), F.col("w") - F.col("main_w")).alias("out_tiles"))
+    member = node.join(whole, "s")
+    spread = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = member.where("c != main").select("s", spread("out_tiles").alias("i"), every("all_tiles").alias("j"), F.lit(True).alias("out"), "key", "c")
+    right = member.select("s", every("out_tiles").alias("i"), spread("all_tiles").alias("j"), F.lit(False).alias("out"), "key", "c")
+    rows = left.unionByName(right).join(texts, "key").select("s", "i", "j", "out", "key", "c", "text")
+
+    def run(group: pa.Table) -> pa.Table:
+        out = group.column("out").to_numpy()
+        one, two = group.filter(pa.array(out)).combine_chunks(), group.filter(pa.array(~out)).combine_chunks()
+        flat = lambda t: pa.concat_arrays(t.column("text").chunks) if t.num_rows else pa.array([], pa.string())
+        links = cross_links(flat(one), flat(two), one.column("c").to_pylist(), two.column("c").to_pylist(), words, least, weighting) if one.num_rows and two.num_rows else []
+        a, b = one.column("key").to_pylist(), two.column("key").to_pylist()
+        return pa.table({"a": pa.array([a[i] for i, _ in links], pa.binary()), "b": pa.array([b[j] for _, j in links], pa.binary())})
+
+    return rows.groupBy("s", "i", "j").applyInArrow(run, "a binary, b binary")
+
+
 def classes(docs: DataFrame, words: int = WORDS, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, weighting: str = "set") -> DataFrame:
     """One row for each row of docs: doc_id, key (of its text), class_key, class_id, class_size.
 
@@ -186,7 +267,7 @@ def classes(docs: DataFrame, words: int = WORDS, least: float = SIMILARITY, band
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi in slices(batch.column(2)):
+            for lo, hi in slices(batch.column(2), 1 << 20):
                 part = batch.slice(lo, hi - lo)
                 sig = signatures(part.column(2), words, bands, rows, weighting).view(np.int64)
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(0, sig.size + 1, bands), pa.int32()), pa.array(sig.ravel()))
@@ -196,27 +277,19 @@ def classes(docs: DataFrame, words: int = WORDS, least: float = SIMILARITY, band
     signed = materialize(keyed.mapInArrow(sign, "doc_id long, key binary, bands array<long>"), "dup-signatures")
     nodes = materialize(signed.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")), "dup-nodes")
     banded = nodes.select("key", F.explode("bands").alias("h")).where("h != 0")
-    buckets = materialize(banded.groupBy("h").agg(F.min("key").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1"), "dup-buckets")
-    shared = materialize(banded.join(buckets, "h"), "dup-shared")
-    first = shared.where("key != leader").select(F.col("key").alias("a"), F.col("leader").alias("b")).distinct()
+    buckets = materialize(banded.groupBy("h").agg(F.min("key").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "leader"), "dup-buckets")
+    # A row for each node and leader, not for each bucket that they share.
+    shared = materialize(banded.join(buckets, "h").select("key", "leader").distinct(), "dup-shared")
+    first = shared.where("key != leader").select(F.col("key").alias("a"), F.col("leader").alias("b"))
     wanted = shared.select("key").distinct().join(nodes.select("key", "doc_id"), "key").select("key", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")).alias("id"))
     texts = keyed.select("key", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")).alias("id"), F.coalesce("text", F.lit("")).alias("text")).join(wanted, ["key", "id"], "left_semi")
     texts = materialize(texts.groupBy("key").agg(F.first("text").alias("text")), "dup-texts")
     links = materialize(_check(first, texts, words, least, weighting), "dup-links")
     found = components(links)
-    at = shared.join(found, F.col("key") == F.col("node"), "left").select("h", "key", "leader", "n", F.coalesce("component", "key").alias("c"))
-    at = materialize(at, "dup-members")
-    mixed = at.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("h")
-    # The leader has met all; the others of a bucket with several components meet where components differ.
-    rest = at.where("key != leader").join(mixed, "h").withColumn("tiles", F.ceil(F.col("n") / TILE).cast("int"))
-    tile = F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
-    left = rest.select("h", tile.alias("i"), every.alias("j"), F.col("key").alias("a"), F.col("c").alias("ca"))
-    right = rest.select("h", every.alias("i"), tile.alias("j"), F.col("key").alias("b"), F.col("c").alias("cb"))
-    second = left.join(right, ["h", "i", "j"]).where("ca != cb and a < b").select("a", "b").distinct()
-    more = materialize(_check(second, texts, words, least, weighting), "dup-links2")
+    more = materialize(_tiled_links(shared, found, texts, words, least, weighting), "dup-links2")
     if not more.isEmpty():
-        found = components(links.unionByName(more))
+        # Components, not nodes, are connected now: found ones stand for their links.
+        found = components(more.unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b"))))
     whole = nodes.select("key", "doc_id").join(found, F.col("key") == F.col("node"), "left").select("key", F.coalesce("component", "key").alias("class_key"), "doc_id")
     whole = materialize(whole, "dup-classes")
     per_class = whole.groupBy("class_key").agg(F.min("doc_id").alias("class_id"))
