@@ -263,3 +263,50 @@ def test_pipeline(spark, sf_dir):
         before = after
     pieces = corpus_pipeline.run(spark, sf_dir).toPandas()
     assert pieces["length"].max() <= 2048 and set(pieces["doc_id"]) == {r["doc_id"] for r in before.select("doc_id").collect()}
+
+
+@pytest.mark.parametrize("weighting", ["set", "count"])
+def test_exact_similarities_and_tile_links(weighting):
+    import pyarrow as pa
+
+    r = np.random.default_rng(9)
+    base = [f"w{i}" for i in r.integers(0, 12, 60)]
+    texts = []
+    for _ in range(24):
+        own = list(base)
+        for k in r.integers(0, 60, r.integers(0, 6)):
+            own[k] = f"x{r.integers(0, 5)}"
+        texts.append(" ".join(own))
+    texts += ["", " ", "one two", "one two three four five", "one two"]
+
+    def bag(t):
+        w = WORD.findall(t)
+        c = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) > 4 else Counter([tuple(w)] if w else [])
+        return c if weighting == "count" else Counter(set(c))
+
+    def alike(a, b):
+        x, y = bag(a), bag(b)
+        return (x & y).total() / (x | y).total() if (x | y) else 1.0
+
+    i, j = (np.array(v) for v in zip(*[(a, b) for a in range(len(texts)) for b in range(len(texts))], strict=True))
+    found = near_duplicates.similarities(pa.array([texts[k] for k in i]), pa.array([texts[k] for k in j]), weighting=weighting)
+    assert np.allclose(found, [alike(texts[a], texts[b]) for a, b in zip(i, j, strict=True)])
+    one, two = texts[:12], texts[12:]
+    links = near_duplicates.cross_links(pa.array(one), pa.array(two), list(range(12)), list(range(12, len(texts))), 5, 0.8, weighting)
+    assert all(alike(one[a], two[b]) >= 0.8 for a, b in links)
+    parent = list(range(len(texts)))
+
+    def groups(pairs):
+        root = list(range(len(texts)))
+
+        def up(v):
+            while root[v] != v:
+                v = root[v]
+            return v
+
+        for a, b in pairs:
+            root[up(a)] = up(b)
+        return sorted(map(sorted, {up(v): [w for w in parent if up(w) == up(v)] for v in parent}.values()))
+
+    want = [(a, 12 + b) for a in range(12) for b in range(len(two)) if bag(one[a]) and bag(two[b]) and alike(one[a], two[b]) >= 0.8]
+    assert groups((a, 12 + b) for a, b in links) == groups(want)
