@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -37,6 +38,23 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_kept: dict = {}
+
+
+def worker_memory(name: tuple, make=None):
+    """What a Python worker keeps from task to task: one operator's at a time, as a worker serves stage after stage.
+
+    Without `make`, what others kept is dropped.
+    """
+    if name not in _kept:
+        if _kept:
+            _kept.clear()
+            gc.collect()
+        if make is not None:
+            _kept[name] = make()
+    return _kept.get(name)
+
+
 def distinct_rows(df: DataFrame, keys: list[str], copy: str = "copy_no") -> DataFrame:
     """The rows' keys, and a number that tells equal rows apart (0, 1, ...).
 

@@ -19,12 +19,16 @@ from itertools import repeat
 
 import numpy as np
 
-_BLANK = re.compile(r"\s\s|\A\s|\s\Z|[^\S \n]")
+from .base import worker_memory
+
+_RARE_SPACE = re.compile(r"[^\S \n]")
 _ODD = re.compile("[\x1c-\x1f]")
 _CUT = re.compile(r" (?=\S)")
 _AS_IS = "\n "
 #: Latin words are one unit for either splitter; such a word goes to the merging model itself.
 _LATIN = re.compile("[A-Za-zß-öø-ÿ]+")
+#: One such mark after a word is a unit of its own for either splitter.
+_MARKS = ".,;:!?"
 
 
 def _byte_chars() -> dict[int, str]:
@@ -51,10 +55,9 @@ def _tokenizer(path: str):
     return t
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str, kind: str) -> Encoder:
     """A Python worker's encoder: it lives on from task to task, and with it what it knows."""
-    return Encoder(path, kind)
+    return worker_memory(("encoder", path, kind), lambda: Encoder(path, kind))
 
 
 class Encoder:
@@ -64,7 +67,7 @@ class Encoder:
     but changes nothing.
     """
 
-    def __init__(self, path: str, kind: str, memory: int = 400_000, longest: int = 64):
+    def __init__(self, path: str, kind: str, memory: int = 300_000, longest: int = 64):
         self.tokenizer, self.kind, self.memory, self.longest = _tokenizer(path), kind, memory, longest
         self._forget()
 
@@ -92,10 +95,11 @@ class Encoder:
         if self.kind == "word":
             return text.split() if not _ODD.search(text) else text.split(" ")
         # A piece stands for a space and itself; after the mark, or with its line end, for just itself. Quick pieces hold no space.
-        if not _BLANK.search(text):
+        if not _RARE_SPACE.search(text):
             pieces = text.replace("\n", " \n").split(" ")
-            pieces[0] = _AS_IS + pieces[0]
-            return pieces
+            if "" not in pieces and "\n" not in pieces:  # else white space stands together, or at an end
+                pieces[0] = _AS_IS + pieces[0]
+                return pieces
         parts = _CUT.split(text)
         return [_AS_IS + parts[0], *[_AS_IS + " " + p for p in parts[1:]]]
 
@@ -106,26 +110,39 @@ class Encoder:
             return piece[len(_AS_IS) :]
         return piece if piece[:1] == "\n" else " " + piece
 
-    def _rows(self, plain: list[str]) -> list[list[int]]:
-        """Ids of new pieces: Latin words by the tokenizer's merging model, all others by the whole tokenizer."""
-        merge, latin, space = self.tokenizer.model.tokenize, _LATIN.fullmatch, self.kind == "space"
+    def _merged(self, chars: str) -> list[int]:
+        return [t.id for t in self.tokenizer.model.tokenize(chars)]
+
+    def _rows(self, pieces: list[str], plain: list[str]) -> list[list[int]]:
+        """Ids of new pieces: Latin words, also with a mark after them, by the tokenizer's merging model, all others by
+        the whole tokenizer.
+        """
+        latin, space, known = _LATIN.fullmatch, self.kind == "space", self.known
+        marks = {m: self._merged(m) for m in _MARKS}
         rows: list[list[int]] = []
         rest = []
-        for i, piece in enumerate(plain):
-            word = piece[1:] if space and piece[:1] == " " else piece
-            if latin(word):
-                chars = (piece if space else word.lower()).encode().decode("latin-1").translate(_BYTE_CHARS)
-                rows.append([t.id for t in merge(chars)])
-            else:
+        for i, text in enumerate(plain):
+            mark = text[-1:] if text[-1:] in marks else ""
+            body = text[:-1] if mark else text
+            word = body[1:] if space and body[:1] == " " else body
+            if not latin(word):
                 rows.append([])
                 rest.append(i)
+                continue
+            if mark and (k := known.get(pieces[i][:-1])) is not None:
+                ids = self.flat[self.begin[k] : self.begin[k] + self.size[k]].tolist()
+            elif word.isascii():
+                ids = self._merged(word.lower() if not space else word if body is word else _BYTE_CHARS[32] + word)
+            else:
+                ids = self._merged((body if space else word.lower()).encode().decode("latin-1").translate(_BYTE_CHARS))
+            rows.append(ids + marks[mark] if mark else ids)
         if rest:
             for i, e in zip(rest, self.tokenizer.encode_batch_fast([plain[i] for i in rest], add_special_tokens=False), strict=True):
                 rows[i] = e.ids
         return rows
 
     def _add(self, pieces: list[str], plain: list[str]) -> None:
-        rows = self._rows(plain)
+        rows = self._rows(pieces, plain)
         sizes = np.fromiter(map(len, rows), np.int32, len(rows))
         self._store(pieces, sizes, np.fromiter((i for r in rows for i in r), np.int32, int(sizes.sum())))
 

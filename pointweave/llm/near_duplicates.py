@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import materialize
+from .base import materialize, worker_memory
 from .textscan import Scan, mix64, slices
 
 WORDS = 5
@@ -175,6 +175,7 @@ def _check(pairs: DataFrame, texts: DataFrame, words: int, least: float, weighti
     """Those pairs (a, b) whose texts are similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_memory(())
         for batch in batches:
             for lo, hi in slices(batch.column(2), 1 << 20):
                 part = batch.slice(lo, hi - lo)
@@ -246,6 +247,7 @@ def _tiled_links(shared: DataFrame, found: DataFrame, texts: DataFrame, words: i
     rows = left.unionByName(right).join(texts, "key").select("s", "i", "j", "out", "key", "c", "text")
 
     def run(group: pa.Table) -> pa.Table:
+        worker_memory(())
         out = group.column("out").to_numpy()
         one, two = group.filter(pa.array(out)).combine_chunks(), group.filter(pa.array(~out)).combine_chunks()
         flat = lambda t: pa.concat_arrays(t.column("text").chunks) if t.num_rows else pa.array([], pa.string())
@@ -266,6 +268,7 @@ def classes(docs: DataFrame, words: int = WORDS, least: float = SIMILARITY, band
     """
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_memory(())
         for batch in batches:
             for lo, hi in slices(batch.column(2), 1 << 20):
                 part = batch.slice(lo, hi - lo)

@@ -18,6 +18,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .base import worker_memory
 from .textscan import slices
 
 PIECE = 1024
@@ -128,6 +129,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 1500, pieces: int
 
 def _features(docs: DataFrame, model: Classifier) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_memory(())
         opened = model.open()
         for batch in batches:
             rows = [model.features(t.as_buffer().to_pybytes() if t.is_valid else b"", opened) for t in batch.column(1)]
@@ -146,6 +148,7 @@ def classify(docs: DataFrame, model: Classifier, threshold: float = THRESHOLD, c
     text_at = names.index("text") if columns else 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_memory(())
         opened = model.open()
         for batch in batches:
             for lo, hi in slices(batch.column(text_at)):

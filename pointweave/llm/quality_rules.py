@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .base import worker_memory
 from .textscan import Scan, repeated, slices
 
 #: Fixed values of the base rules.
@@ -193,6 +194,7 @@ def document_statistics(docs: DataFrame) -> DataFrame:
     """One row for each row of docs: doc_id, the base statistics, and the features as an array."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_memory(())
         for batch in batches:
             for lo, hi in slices(batch.column(1)):
                 st = statistics(batch.column(1).slice(lo, hi - lo))
@@ -227,6 +229,7 @@ def apply_rules(docs: DataFrame, model: Trees, keep_at: float = 0.5, columns: bo
     text_at = names.index("text")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_memory(())
         for batch in batches:
             for lo, hi in slices(batch.column(text_at)):
                 part = batch.slice(lo, hi - lo)

@@ -20,6 +20,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .base import worker_memory
 from .textscan import slices
 
 VOCABULARY = "piece_bpe_32k.model"
@@ -101,10 +102,9 @@ class TrieCounter:
         return sizes, tokens[bounds[1:]] - tokens[bounds[:-1]], score
 
 
-@lru_cache(maxsize=1)
 def worker_counter(path: str) -> TrieCounter:
     """A Python worker's trie: it lives on from task to task."""
-    return TrieCounter(path)
+    return worker_memory(("trie", path), lambda: TrieCounter(path))
 
 
 def count_tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
