@@ -52,7 +52,7 @@ def zero_contours(points: DataFrame, step: float = 2.5, influence: float = 60.0,
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         values = dict(zip(zip(pdf["ix"], pdf["iy"], strict=True), pdf["potential"], strict=True))
         rings = [r for r in march(values, step, -t) if len(r) > 2]
-        return pd.DataFrame({"type": pdf["type"].iloc[0], "contour_id": range(len(rings)), "ring": [[{"x": float(x), "y": float(y)} for x, y in r] for r in rings]})
+        return pd.DataFrame({"type": pdf["type"].iloc[0], "contour_id": range(len(rings)), "ring": pd.Series([[{"x": float(x), "y": float(y)} for x, y in r] for r in rings], dtype=object)})
 
     found = potential_grid(points, step, influence, vertex).groupBy("type").applyInPandas(run, "type int, contour_id int, ring array<struct<x:double,y:double>>")
     found = found.withColumn("area", F.abs(ring_area(F.col("ring"))))

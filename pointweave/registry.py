@@ -255,7 +255,7 @@ def nearest_color(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.nearest_color(marks, PALETTE).select("mark_id", "type")
 
 
-GRID = 20.0
+GRID = fields.STEP
 _M, _T0 = fields.constants()
 INFLUENCE = f"""{PTS}, nodes AS (SELECT point_id, type, x, y, unnest(range(CAST(ceil((x - 60) / {GRID}) AS BIGINT), CAST(floor((x + 60) / {GRID}) AS BIGINT) + 1)) AS ix FROM pts),
 near AS (SELECT *, unnest(range(CAST(ceil((y - 60) / {GRID}) AS BIGINT), CAST(floor((y + 60) / {GRID}) AS BIGINT) + 1)) AS iy FROM nodes),
@@ -435,7 +435,7 @@ def two_color_discs(spark: SparkSession, sf: str) -> DataFrame:
 def potential_contours(spark: SparkSession, sf: str) -> DataFrame:
     from .operators.contours import zero_contours
 
-    return zero_contours(src.pts(spark, sf), step=10.0).select("type", "contour_id", F.size("ring").alias("n_corners"), "area")
+    return zero_contours(src.pts(spark, sf), step=fields.STEP).select("type", "contour_id", F.size("ring").alias("n_corners"), "area")
 
 
 @query()
@@ -443,4 +443,4 @@ def potential_members(spark: SparkSession, sf: str) -> DataFrame:
     from .operators.contours import contour_members, zero_contours
 
     p = src.pts(spark, sf)
-    return contour_members(p, zero_contours(p, step=10.0))
+    return contour_members(p, zero_contours(p, step=fields.STEP))
