@@ -28,11 +28,14 @@ def break_pattern(membership: DataFrame, point_id: int) -> DataFrame:
 def prune_hyperedges(edges: DataFrame) -> DataFrame:
     """(edge_id, origins): drop edges whose origins are all in an edge with exactly one more.
 
-    Joined on a member (the least of the smaller edge), so only edges that share it meet.
+    Each different set of origins gives its subsets with one less; an edge is dropped if it is among them. So rows
+    grow with the sets, not with pairs of edges.
     """
-    small = edges.select("edge_id", "origins", F.array_min("origins").alias("m"), F.size("origins").alias("n"))
-    big = edges.select(F.col("origins").alias("big"), F.explode("origins").alias("bm"), (F.size("origins") - 1).alias("bn"))
-    return small.join(big, (F.col("m") == F.col("bm")) & (F.col("n") == F.col("bn")) & (F.size(F.array_except("origins", "big")) == 0), "left_anti").select("edge_id", "origins")
+    key = F.array_sort(F.array_distinct("origins"))
+    sets = edges.select(key.alias("big")).distinct()
+    subset = lambda i: F.filter(F.col("big"), lambda _, k: k != i)
+    small = sets.select(F.explode(F.transform("big", lambda _, i: subset(i))).alias("small")).distinct()
+    return edges.withColumn("__key", key).join(small, F.col("__key") == F.col("small"), "left_anti").select("edge_id", "origins")
 
 
 def resolve_preference(components: DataFrame) -> DataFrame:

@@ -312,12 +312,12 @@ def history_cut(spark: SparkSession, sf: str) -> DataFrame:
     return sets.history_cut(e, 90.0)
 
 
-HYPER = "he AS (SELECT l_orderkey AS edge_id, list_sort(list_distinct(list(CAST(l_suppkey % 12 AS INTEGER)))) AS origins FROM lineitem WHERE l_orderkey % 10 = 0 GROUP BY 1 HAVING count(DISTINCT l_suppkey % 12) > 1)"
+HYPER = "he AS (SELECT l_orderkey AS edge_id, list_sort(list_distinct(list(CAST(l_suppkey % 12 AS INTEGER)))) AS origins FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_suppkey % 12) > 1)"
 
 
 @query(f"WITH {HYPER}, d AS (SELECT DISTINCT origins FROM he) SELECT edge_id, CAST(origins AS VARCHAR) AS origins FROM he s WHERE NOT EXISTS (SELECT 1 FROM d b WHERE len(b.origins) = len(s.origins) + 1 AND list_has_all(b.origins, s.origins))")
 def hyperedge_prune(spark: SparkSession, sf: str) -> DataFrame:
-    l = src.table(spark, sf, "lineitem").where("l_orderkey % 10 = 0")
+    l = src.table(spark, sf, "lineitem")
     edges = l.groupBy(F.col("l_orderkey").alias("edge_id")).agg(F.array_sort(F.collect_set((F.col("l_suppkey") % 12).cast("int"))).alias("origins")).where(F.size("origins") > 1)
     return sets.prune_hyperedges(edges).select("edge_id", F.concat(F.lit("["), F.array_join("origins", ", "), F.lit("]")).alias("origins"))
 
