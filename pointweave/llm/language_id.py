@@ -1,7 +1,8 @@
 """Language identification of mixed-language text.
 
-Each word's script (by code point ranges) narrows its candidate languages; character n-grams score the candidates;
-and Viterbi over a text's words with a penalty for every switch labels spans of one language. The text's language is
+Words are cut into steps: runs of letters of one script, long runs into pieces. A step's script (by code point ranges)
+narrows its candidate languages; character n-grams score the candidates; and Viterbi over a text's steps with a
+penalty for every switch labels spans of one language. The text's language is
 the one that labels most of its letters.
 
 Viterbi is exact for texts of any length: texts are cut into blocks, all blocks of a batch advance together for every
@@ -11,9 +12,12 @@ possible state before them, and the blocks of a text are then chained, forward f
 from __future__ import annotations
 
 import re
+import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,34 +43,75 @@ SCRIPTS = {
 UNKNOWN = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
 _EDGES = sorted((lo, hi, name) for name, ranges in SCRIPTS.items() for lo, hi in ranges)
-_LOW = np.array([lo for lo, _, _ in _EDGES])
+_LOW = [lo for lo, _, _ in _EDGES]
 NO_WAY = -1e4
+#: Longer runs of letters are cut into pieces of at most so many.
+PIECE = 32
 
 
 def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
 
+@lru_cache(1 << 16)
 def script_of(char: str) -> str:
     if "a" <= char <= "z":
         return "latin"
-    i = int(np.searchsorted(_LOW, ord(char), "right")) - 1
+    i = bisect_right(_LOW, ord(char)) - 1
     return _EDGES[i][2] if i >= 0 and ord(char) <= _EDGES[i][1] else "other"
 
 
-def letters_of(word: str) -> str:
-    """The runs of letters of a word in lower case, one space between them."""
+def runs_of(word: str) -> list[tuple[str, str]]:
+    """(script, letters) of the runs of letters of a word in lower case.
+
+    A run ends where the script changes. Letters of no listed script and combining marks don't end it.
+    """
     if word.isascii():
-        return " ".join(_LETTERS.findall(word.lower()))
-    return " ".join("".join(c if c.isalpha() else " " for c in word.lower()).split())
+        return [("latin", r) for r in _LETTERS.findall(word.lower())]
+    out: list[tuple[str, str]] = []
+    run, script = [], "other"
+    for c in [*word.lower(), " "]:
+        if c.isalpha():
+            own = script_of(c)
+            if own != "other" and script not in (own, "other"):
+                out.append((script, "".join(run)))
+                run = []
+            script = script if own == "other" else own
+            run.append(c)
+        elif run and unicodedata.category(c)[0] == "M":
+            run.append(c)
+        elif run:
+            out.append((script, "".join(run)))
+            run, script = [], "other"
+    return out
 
 
 def grams_of(letters: str) -> list[str]:
-    """The n-grams of a word's letters: pairs and triples with its edges, and the word itself."""
+    """The n-grams of a run of letters: pairs and triples with its edges, and the run itself."""
     w = f"^{letters}$"
     return [w[i : i + 2] for i in range(len(w) - 1)] + [w[i : i + 3] for i in range(len(w) - 2)] + [f"={letters}"]
 
 
+def steps_of(word: str) -> list[tuple[str, int, list[str]]]:
+    """(script, number of letters, n-grams) of each step of a word.
+
+    A long run's pairs and triples belong to the piece in which they begin, so none is lost between two pieces.
+    """
+    steps = []
+    for script, letters in runs_of(word):
+        count = len if letters.isalpha() else lambda x: sum(c.isalpha() for c in x)
+        n = len(letters)
+        if n <= PIECE:
+            steps.append((script, count(letters), grams_of(letters)))
+            continue
+        w, pieces = f"^{letters}$", -(-n // PIECE)
+        for k in range(pieces):
+            lo, hi = k * n // pieces, (k + 1) * n // pieces
+            end = n + 1 if hi == n else hi
+            steps.append((script, count(letters[lo:hi]), [w[i : i + 2] for i in range(lo, end)] + [w[i : i + 3] for i in range(lo, min(end, n))]))
+    return steps
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -78,7 +123,9 @@ class Model:
     _known: dict[str, int] = field(default_factory=dict)
     _rows: list[np.ndarray] = field(default_factory=list)
     _weights: list[np.ndarray] = field(default_factory=list)
-    _n: int = 0
+    _firsts: list[np.ndarray] = field(default_factory=list)  # each word's first step
+    _sizes: list[np.ndarray] = field(default_factory=list)  # each word's number of steps
+    _n: int = 0  # steps
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if not k.startswith("_")}
@@ -88,30 +135,34 @@ class Model:
         self._forget()
 
     def _forget(self) -> None:
-        self._known, self._rows, self._weights, self._n = {}, [], [], 0
+        self._known, self._rows, self._weights, self._firsts, self._sizes, self._n = {}, [], [], [], [], 0
 
     def _learn(self, words: list[str]) -> None:
-        """Scores and letters of new words."""
-        index, starts, weights, masks = [], [], [], []
+        """Scores and letters of the steps of new words; a word without letters is one step."""
+        index, starts, weights, masks, sizes = [], [], [], [], []
         everyone = np.ones(len(self.languages), bool)
         unknown, get = len(self.scores) - 1, self.grams.get
         for w in words:
-            letters = letters_of(w)
-            starts.append(len(index))
-            weights.append(len(letters.replace(" ", "")))
-            masks.append(self.allowed.get(script_of(letters[0]), everyone) if letters else everyone)
-            index += [get(g, unknown) for g in grams_of(letters[:64])] if letters else [unknown]
+            steps = steps_of(w) or [("other", 0, [""])]
+            sizes.append(len(steps))
+            for script, n, grams in steps:
+                starts.append(len(index))
+                weights.append(n)
+                masks.append(self.allowed.get(script, everyone) if n else everyone)
+                index += [get(g, unknown) for g in grams]
         rows = np.add.reduceat(self.scores[index], starts, axis=0) if words else np.zeros((0, len(self.languages)), np.float32)
-        weights = np.array(weights, np.int32)
+        weights, sizes = np.array(weights, np.int32), np.array(sizes, np.int64)
         rows[weights == 0] = 0
         rows[~np.array(masks, bool).reshape(rows.shape)] += NO_WAY
-        self._known.update(zip(words, range(self._n, self._n + len(words)), strict=True))
+        self._known.update(zip(words, range(len(self._known), len(self._known) + len(words)), strict=True))
         self._rows.append(rows.astype(np.float32))
         self._weights.append(weights)
-        self._n += len(words)
+        self._firsts.append(self._n + np.cumsum(sizes) - sizes)
+        self._sizes.append(sizes)
+        self._n += len(weights)
 
-    def words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Word scores, word letters, and each text's number of words."""
+    def steps(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Step scores, step letters, each text's number of steps, and each word's number of steps."""
         if self._n > self.memory:
             self._forget()
         every, counts = [], np.zeros(len(texts), np.int64)
@@ -125,15 +176,19 @@ class Model:
             self._learn(list(dict.fromkeys([every[i] for i in new])))
             where[new] = np.fromiter((get(every[i]) for i in new), np.int64, len(new))
         if len(self._rows) > 1:
-            self._rows, self._weights = [np.concatenate(self._rows)], [np.concatenate(self._weights)]
+            self._rows, self._weights, self._firsts, self._sizes = ([np.concatenate(x)] for x in (self._rows, self._weights, self._firsts, self._sizes))
         if not self._rows:
-            return np.zeros((0, len(self.languages)), np.float32), np.zeros(0, np.int32), counts
-        return self._rows[0][where], self._weights[0][where], counts
+            return np.zeros((0, len(self.languages)), np.float32), np.zeros(0, np.int32), counts, np.zeros(0, np.int64)
+        sizes = self._sizes[0][where]
+        ends = np.cumsum(sizes)
+        step = np.repeat(self._firsts[0][where] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+        last = np.concatenate([[0], ends])[np.cumsum(counts)]
+        return self._rows[0][step], self._weights[0][step], np.diff(last, prepend=0), sizes
 
-    def label(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The language (index) of every word of the texts, the words' letters, and each text's number of words."""
-        scores, weights, counts = self.words(texts)
-        return viterbi(scores, counts, self.penalty), weights, counts
+    def label(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The language (index) of every step of the texts, the steps' letters, each text's number of steps, and each word's."""
+        scores, weights, counts, sizes = self.steps(texts)
+        return viterbi(scores, counts, self.penalty), weights, counts, sizes
 
 
 def viterbi(scores: np.ndarray, counts: np.ndarray, penalty: float, block: int = 256) -> np.ndarray:
@@ -211,10 +266,10 @@ def train(docs: DataFrame, sample: int = 4000, most_grams: int = 60_000, held=he
                 grams: Counter = Counter()
                 words: Counter = Counter((lang, w) for lang, text in zip(batch.column(0).slice(lo, hi - lo).to_pylist(), batch.column(1).slice(lo, hi - lo).to_pylist(), strict=True) for w in text.split())
                 for (lang, w), n in words.items():
-                    if letters := letters_of(w):
-                        for g in grams_of(letters[:64]):
+                    for script, _, own in steps_of(w):
+                        for g in own:
                             grams[lang, g] += n
-                        grams[lang, f"#{script_of(letters[0])}"] += n
+                        grams[lang, f"#{script}"] += n
                 keys = list(grams)
                 yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([grams[k] for k in keys], pa.int64())], names=["lang", "gram", "n"])
 
@@ -240,7 +295,7 @@ def train(docs: DataFrame, sample: int = 4000, most_grams: int = 60_000, held=he
 
 def identify(docs: DataFrame, model: Model, spans: bool = False) -> DataFrame:
     """For each row: doc_id, held_out, lang_pred, score (the share of letters in that language); with spans=True also
-    spans, an array of (lang, first word, words).
+    spans, an array of (lang, first, words, letters): the word in which it begins, the words that begin in it, its letters.
 
     Null texts and texts without a letter are `und` with score 0. Where nothing was learnt all are `und`. Only the
     text is an input. Rows with equal or null ids are judged one by one.
@@ -254,26 +309,28 @@ def identify(docs: DataFrame, model: Model, spans: bool = False) -> DataFrame:
             for lo, hi in slices(batch.column(1)):
                 texts = batch.column(1).slice(lo, hi - lo).fill_null("").to_pylist()
                 if width:
-                    labels, weights, counts = model.label(texts)
+                    labels, weights, counts, sizes = model.label(texts)
                     of = np.repeat(np.arange(len(texts)), counts)
                     share = np.bincount(of * width + labels, weights, len(texts) * width).reshape(-1, width)
                 else:
-                    labels, counts, share = np.zeros(0, np.int8), np.zeros(len(texts), np.int64), np.zeros((len(texts), 1))
+                    labels, weights, counts, sizes, share = np.zeros(0, np.int8), np.zeros(0, np.int32), np.zeros(len(texts), np.int64), np.zeros(0, np.int64), np.zeros((len(texts), 1))
                 total = share.sum(axis=1)
                 best = np.where(total > 0, share.argmax(axis=1), width)
                 out = [batch.column(0).slice(lo, hi - lo), pa.array(names[best], pa.string()), pa.array(share.max(axis=1) / np.maximum(total, 1))]
                 fields = ["doc_id", "lang_pred", "score"]
                 if spans:
+                    begins = np.zeros(len(labels), np.int64)  # 1 where a step is its word's first
+                    begins[np.cumsum(sizes) - sizes] = 1
                     ends = np.cumsum(counts)
                     rows = []
                     for e, c in zip(ends, counts, strict=True):
-                        own = labels[e - c : e]
+                        own, words, n = labels[e - c : e], np.concatenate([[0], np.cumsum(begins[e - c : e])]), weights[e - c : e]
                         cuts = np.flatnonzero(np.diff(own, prepend=-1)) if c else own
-                        rows.append([{"lang": model.languages[own[a]], "first": int(a), "words": int(b - a)} for a, b in zip(cuts, [*cuts[1:], c], strict=True)] if c else [])
-                    out.append(pa.array(rows, pa.list_(pa.struct([("lang", pa.string()), ("first", pa.int32()), ("words", pa.int32())]))))
+                        rows.append([{"lang": model.languages[own[a]], "first": int(words[a + 1] - 1), "words": int(words[b] - words[a]), "letters": int(n[a:b].sum())} for a, b in zip(cuts, [*cuts[1:], c], strict=True)] if c else [])
+                    out.append(pa.array(rows, pa.list_(pa.struct([("lang", pa.string()), ("first", pa.int32()), ("words", pa.int32()), ("letters", pa.int32())]))))
                     fields.append("spans")
                 yield pa.RecordBatch.from_arrays(out, names=fields)
 
-    schema = "doc_id long, lang_pred string, score double" + ", spans array<struct<lang:string,first:int,words:int>>" * spans
+    schema = "doc_id long, lang_pred string, score double" + ", spans array<struct<lang:string,first:int,words:int,letters:int>>" * spans
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
     return found.withColumn("held_out", F.coalesce(held_out(F.col("doc_id")), F.lit(False))).select("doc_id", "held_out", "lang_pred", "score", *["spans"] * spans)
