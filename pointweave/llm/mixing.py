@@ -6,7 +6,8 @@ from the source stay the same) until one of the two has a whole number of copies
 The direction of each exchange is random, with the chances that keep every document's expected copies at f.
 Blocks of documents are folded independently; the one undecided document of each block goes to the next level of a
 tree of blocks, until a source has one undecided document left, which is rounded at random. The words taken from a
-source then miss its target by less than one document; a last step turns over some short documents for the rest.
+source then miss its target by less than one document; a last step turns over short documents for the rest, chosen by
+running sums over all of the source.
 """
 
 from __future__ import annotations
@@ -133,20 +134,49 @@ def mix(docs: DataFrame, source: str = "source", weights: tuple[float, ...] = WE
     return rounded.join(flips, on, "left").select("doc_id", "source", "copy_no", "size", "source_size", "target", copies.cast("long").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
 
 
-def _settle(rounded: DataFrame, seed: int, most: int = 256) -> DataFrame:
+def _settle(rounded: DataFrame, seed: int, rounds: int = 3, most: int = 256) -> DataFrame:
     """The documents whose last roundings are turned over, so that a source's words meet its target.
 
-    What the tree leaves is less than one document, but that document may be long. So from `most` documents of the
-    source, none longer than the miss, the longest that fit into the miss are turned, one after the other. The number
-    is the size of this last correction, not a limit on the data.
+    What the tree leaves is less than one document, but that document may be long. Each round looks at all documents
+    of a source that are no longer than the miss: counts by size class give the shortest classes that hold twice the
+    miss, and of those, documents are turned in random order as long as their running sum fits. What is left is less
+    than one of them, so the next round has shorter ones. At last the longest that fit of `most` more are turned.
     """
     miss = rounded.groupBy("source").agg((F.sum((F.col("base") + F.coalesce(F.col("take"), F.lit(0))) * F.col("size")) - F.first("target")).alias("miss"))
-    miss = miss.select(F.col("source").alias("__g"), "miss")
-    wanted = F.when(F.col("miss") > 0, 1).otherwise(0)
-    some = rounded.where("take is not null and size > 0").join(miss, F.col("source").eqNullSafe(F.col("__g"))).where((F.col("size") <= F.abs("miss")) & (F.col("take") == wanted))
-    some = some.withColumn("id", F.struct("doc_id", "size", "copy_no")).withColumn("__u", uniform(seed - 2, F.col("id")))
+    left = miss.select(F.col("source").alias("__g"), F.when(F.col("miss") > 0, 1).otherwise(0).alias("__wanted"), F.abs("miss").alias("__left"))
+    left = materialize(left, "mix-miss")
+    id_ = F.struct("doc_id", "size", "copy_no")
+    open_ = rounded.where("take is not null and size > 0").select("source", "take", "size", id_.alias("id"), uniform(seed - 2, id_).alias("__u"), F.floor(F.log2("size")).alias("__class"), F.lit(False).alias("__turned"))
+
+    def fitting(docs: DataFrame, left: DataFrame) -> DataFrame:
+        same = F.col("source").eqNullSafe(F.col("__g")) & (F.col("take") == F.col("__wanted")) & (F.col("size") <= F.col("__left"))
+        return docs.where(~F.col("__turned")).join(left, same)
+
+    def cut(docs: DataFrame, left: DataFrame, k: int) -> DataFrame:
+        """(__g, __wanted, __left, __top, __cut): documents up to class __top and below __cut in random order are turned."""
+        every = Window.partitionBy("source").orderBy("__class")
+        classes = fitting(docs, left).groupBy("source", "__left", "__class").agg(F.sum("size").alias("n")).withColumn("sum", F.sum("n").over(every))
+        top = classes.groupBy("source").agg(F.coalesce(F.min(F.when(F.col("sum") >= 2 * F.col("__left"), F.col("__class"))), F.max("__class")).alias("__top"))
+        top = materialize(left.join(top, F.col("__g").eqNullSafe(F.col("source"))).drop("source"), f"mix-class{k}")
+        pool = fitting(docs, top).where("__class <= __top").withColumn("__b", F.floor(F.col("__u") * 4096))
+        # Sums by bucket of the random order first; only the bucket in which the miss is reached is sorted.
+        buckets = pool.groupBy("source", "__left", "__b").agg(F.sum("size").alias("n")).withColumn("sum", F.sum("n").over(Window.partitionBy("source").orderBy("__b")))
+        here = buckets.groupBy("source").agg(F.min(F.when(F.col("sum") > F.col("__left"), F.struct("__b", (F.col("sum") - F.col("n")).alias("before")))).alias("c"), F.max("sum").alias("all"))
+        here = materialize(here.select(F.col("source").alias("__h"), F.col("c.__b").alias("__hb"), F.col("c.before").alias("before"), "all"), f"mix-bucket{k}")
+        inside = pool.join(here, F.col("source").eqNullSafe(F.col("__h")) & (F.col("__b") == F.col("__hb"))).withColumn("sum", F.col("before") + F.sum("size").over(Window.partitionBy("source").orderBy("__u", "id")))
+        end = inside.groupBy("source").agg(F.min(F.when(F.col("sum") > F.col("__left"), F.struct("__u", (F.col("sum") - F.col("size")).alias("used")))).alias("e"))
+        found = here.join(end, F.col("__h").eqNullSafe(F.col("source")), "left").select("__h", F.coalesce("e.__u", F.lit(2.0)).alias("__cut"), F.coalesce("e.used", "all").alias("used"))
+        return materialize(top.join(found, F.col("__g").eqNullSafe(F.col("__h"))).drop("__h"), f"mix-cut{k}")
+
+    for k in range(rounds):
+        c = cut(open_, left, k)
+        limits = c.select(F.col("__g").alias("__c"), F.col("__wanted").alias("__cw"), F.col("__left").alias("__cl"), "__top", "__cut")
+        now = (F.col("take") == F.col("__cw")) & (F.col("size") <= F.col("__cl")) & (F.col("__class") <= F.col("__top")) & (F.col("__u") < F.col("__cut"))
+        open_ = open_.join(limits, F.col("source").eqNullSafe(F.col("__c")), "left").withColumn("__turned", F.col("__turned") | F.coalesce(now, F.lit(False))).drop(*limits.columns)
+        used = c.select(F.col("__g").alias("__c"), "used")
+        left = materialize(left.join(used, F.col("__g").eqNullSafe(F.col("__c")), "left").select("__g", "__wanted", (F.col("__left") - F.coalesce("used", F.lit(0))).alias("__left")), f"mix-left{k}")
     first = Window.partitionBy("source").orderBy("__u", "id")
-    some = some.withColumn("__i", F.row_number().over(first)).where(F.col("__i") <= most)
+    some = fitting(open_, left).withColumn("__i", F.row_number().over(first)).where(F.col("__i") <= most)
     ordered = F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("neg"), "__u", "id")))
     kind = "array<struct<doc_id:bigint,size:bigint,copy_no:bigint>>"
 
@@ -154,9 +184,9 @@ def _settle(rounded: DataFrame, seed: int, most: int = 256) -> DataFrame:
         fits = acc["left"] >= -x["neg"]
         return F.struct((acc["left"] + F.when(fits, x["neg"]).otherwise(F.lit(0))).alias("left"), F.concat(acc["ids"], F.filter(F.array(x["id"]), lambda _: fits)).cast(kind).alias("ids"))
 
-    folded = some.groupBy("source").agg(ordered.alias("a"), F.abs(F.first("miss")).alias("left"))
+    folded = some.groupBy("source").agg(ordered.alias("a"), F.first("__left").alias("left"))
     turned = F.aggregate("a", F.struct(F.col("left").cast("double").alias("left"), F.array().cast(kind).alias("ids")), fit)["ids"]
-    return folded.select("source", F.explode(turned).alias("id"))
+    return open_.where("__turned").select("source", "id").unionByName(folded.select("source", F.explode(turned).alias("id")))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
