@@ -1,7 +1,8 @@
 """Token counts under a unigram vocabulary, by dynamic programming over a trie of distinct pre-tokens.
 
 The best segmentation of a prefix doesn't depend on what follows it, so its forward score is computed once for each
-node of a trie of the pre-tokens: words that share a prefix share its scores. A word's end stores its count and score;
+node of a trie of the pre-tokens that are new in a slice of texts: of those, words that share a prefix share its scores.
+Only the words' counts and scores are kept for later slices;
 a text's count is the sum over its words.
 
 The vocabulary is a public one with ranked pieces; a piece's score is its logarithmic share under Zipf's law for its
@@ -41,7 +42,7 @@ def vocabulary(path: str) -> tuple[dict[str, float], float, int]:
 
 
 class TrieCounter:
-    """Counts of words, kept in a trie up to a number of nodes; beyond it the trie starts anew, which only costs time."""
+    """Counts and scores of words, kept in a flat table until walks made a number of nodes; then it starts anew, which only costs time."""
 
     def __init__(self, path: str, nodes: int = 1_500_000):
         self.scores, self.byte_score, self.longest = vocabulary(path)
