@@ -8,7 +8,8 @@ A piece kind says where cuts are safe:
   non-space follows, and around single line ends.
 - "word": white space is dropped. Cut at white space.
 
-A text in which the quick cut isn't safe (runs of white space, rare space characters) is cut by a pattern instead.
+A text in which the quick cut isn't safe (runs of white space, rare space characters) is cut by a pattern instead. A
+text that holds a special token's literal, which the library finds before it splits, goes to the library whole.
 """
 
 from __future__ import annotations
@@ -49,7 +50,6 @@ def _tokenizer(path: str):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     t.no_truncation()
     t.no_padding()
     return t
@@ -69,6 +69,7 @@ class Encoder:
 
     def __init__(self, path: str, kind: str, memory: int = 300_000, longest: int = 64):
         self.tokenizer, self.kind, self.memory, self.longest = _tokenizer(path), kind, memory, longest
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self._forget()
 
     def _forget(self) -> None:
@@ -92,6 +93,8 @@ class Encoder:
             self._store(list(kept), size[at], flat[np.repeat(begin[at] - np.cumsum(size[at]) + size[at], size[at]) + np.arange(size[at].sum())])
 
     def _pieces(self, text: str) -> list[str]:
+        if any(s in text for s in self.special):
+            return [text if self.kind == "word" else _AS_IS + text]
         if self.kind == "word":
             return text.split() if not _ODD.search(text) else text.split(" ")
         # A piece stands for a space and itself; after the mark, or with its line end, for just itself. Quick pieces hold no space.

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 
 from pointweave.llm import language_id, packing, quality_classifier, quality_rules, token_counts, token_store
-from pointweave.llm.encode import Encoder, _tokenizer
+from pointweave.llm.encode import Encoder
 from pointweave.llm.queries import QUERIES
 
 from .helpers import AWKWARD, awkward, empty, labels, no_labels
@@ -19,9 +19,15 @@ public_tokenizers = pytest.importorskip("public_tokenizers")
 ALPHABET = "ab \n\té#1' 　\x1c\x85\0ß́!İ"
 
 
-def random_texts(n, longest=60, seed=1):
+def plain_library(path):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
+def random_texts(n, longest=60, seed=1, more=()):
     r = random.Random(seed)
-    return ["".join(r.choice(ALPHABET) for _ in range(r.randrange(longest))) for _ in range(n)]
+    return ["".join(r.choice([*ALPHABET, *more]) for _ in range(r.randrange(longest))) for _ in range(n)]
 
 
 def texts_of(sf_dir):
@@ -34,8 +40,8 @@ def texts_of(sf_dir):
 @pytest.mark.parametrize(("name", "kind"), [("byte_bpe_50k.json", "space"), ("word_bpe_49k.json", "word")])
 def test_encoder_equals_the_library(sf_dir, name, kind):
     path = str(public_tokenizers.path(name))
-    texts = random_texts(2500) + list(texts_of(sf_dir).values())[:60] + ["", " ", "\n\n", "a\n\n\nb c", "a  b", "a \nb", "a\n b", "don't 's <|endoftext|>", "\n x"]
-    encoder, library = Encoder(path, kind, memory=500), _tokenizer(path)
+    texts = random_texts(2500) + random_texts(1500, 30, 2, ["<|endoftext|>", " <|startoftext|>", "<|ENDOFTEXT|>", "  "]) + list(texts_of(sf_dir).values())[:60] + ["", " ", "\n\n", "a\n\n\nb c", "a  b", "a \nb", "a\n b", "don't 's <|endoftext|>", "\n x"]
+    encoder, library = Encoder(path, kind, memory=500), plain_library(path)
     for lo in range(0, len(texts), 100):
         some = texts[lo : lo + 100]
         ids, sizes = encoder.encode(some)
@@ -65,7 +71,7 @@ def test_token_counts_against_viterbi(spark, sf_dir):
 
 
 def test_token_store_round_trip(spark, sf_dir):
-    library = _tokenizer(str(public_tokenizers.path(token_store.TOKENIZER)))
+    library = plain_library(str(public_tokenizers.path(token_store.TOKENIZER)))
     rows = {r["doc_id"]: r for r in QUERIES["op7_plane_store"](spark, sf_dir).collect()}
     start = 0
     for i, text in sorted(texts_of(sf_dir).items()):
@@ -87,7 +93,7 @@ def test_container(n):
 
 
 def check_packing(rows, texts):
-    library = _tokenizer(str(public_tokenizers.path(packing.TOKENIZER)))
+    library = plain_library(str(public_tokenizers.path(packing.TOKENIZER)))
     by_doc, by_seq = {}, {}
     for r in rows:
         by_doc.setdefault(r["doc_id"], []).append(r)
