@@ -7,11 +7,14 @@ of their weighted Jaccard similarity. As all shingles of a document share its k
 below a rank bound are needed, whatever the number of shingles; documents with an empty coordinate raise their bound.
 
 Joining. Equal texts are one node. Nodes that agree on a band of coordinates share a bucket. Every node is checked
-with its bucket's least node (no pairs within a bucket), exactly, on the whole texts' shingles. Links make components;
-nodes connected by buckets alone make a cluster. Where a cluster has several components, the nodes outside its largest
-one are compared with all of the cluster, exactly, in tiles of bounded size that give only the links that connect
-components. So every pair that shares a bucket is checked, or its nodes are in one component already, and no step has
-a row for each pair.
+with its buckets' least nodes (no pairs within a bucket), exactly, on the whole texts' shingles. Links make components.
+All nodes that have a bucket with the same least node make its group; so a group is what shares a bucket with one node,
+never a chain of buckets. Where a group has several components, the nodes outside its largest one are compared with all
+of the group, exactly, in tiles of bounded size that give only the links that connect components. So every pair that
+shares a bucket is checked, or its nodes are in one component already, and no step has a row for each pair.
+
+Hot keys. Rows are counted by key before joins that could be skewed; the few keys that hold more than a thousandth of
+the rows each are joined by broadcast, as there are at most a thousand.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import materialize, worker_memory
+from .base import Scratch, worker_memory
 from .textscan import Scan, mix64, slices
 
 WORDS = 5
@@ -32,7 +35,11 @@ SIMILARITY = 0.8
 BANDS = 32
 ROWS = 6
 TILE = 512
-TILE_SHINGLES = 400_000
+TILE_SHINGLES = 200_000
+#: Cells of the dart board that are looked at once.
+CELLS = 1 << 18
+#: A key is hot if it holds more than one in so many rows.
+HOT = 1000
 #: How many darts fall on a unit of area: the distribution with mean 1, cumulated.
 _POISSON = np.cumsum(np.exp(-1.0) / np.array([math.factorial(i) for i in range(18)], float))
 
@@ -60,24 +67,30 @@ def dart_minhash(elements: np.ndarray, owner: np.ndarray, weights: np.ndarray, n
             columns = np.maximum(np.ceil(weight), 1).astype(np.int64)
             strips = np.ceil(bound[own]).astype(np.int64)
             cells = columns * strips
-            at = np.repeat(np.arange(len(key)), cells)
-            number = np.arange(len(at)) - np.repeat(np.cumsum(cells) - cells, cells)
-            column, strip = number // strips[at], number % strips[at]
-            cell = mix64(key[at] + mix64((column * 0x1F123BB5 + strip * 0x2545F491 + seed).astype(np.uint64)))
-            darts = np.searchsorted(_POISSON, _unit(cell), "right")
-            of = np.repeat(np.arange(len(at)), darts)
-            nth = np.arange(len(of)) - np.repeat(np.cumsum(darts) - darts, darts)
-            dart = mix64(cell[of] + (nth + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-            rank = strip[of] + _unit(dart)
-            height = column[of] + _unit(mix64(dart ^ np.uint64(0x5851F42D4C957F2D)))
-            hit = (rank < bound[own[at[of]]]) & (height < weight[at[of]])
-            dart, rank, mine_of = dart[hit], rank[hit], own[at[of[hit]]]
-            slot = mine_of * k + (mix64(dart + np.uint64(0x632BE59BD9B4E019)) % np.uint64(k)).astype(np.int64)
-            order = np.lexsort((dart, rank, slot))
-            slot, dart = slot[order], dart[order]
-            first = np.flatnonzero(np.diff(slot, prepend=-1))
-            out.reshape(-1)[slot[first]] = dart[first]
-            full = np.bincount(slot[first] // k, minlength=n) == k
+            ends = np.cumsum(cells)
+            best = (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.uint64))  # slot, rank and dart, by slot
+            for lo in range(0, int(ends[-1]), CELLS):
+                index = np.arange(lo, min(lo + CELLS, int(ends[-1])))
+                at = np.searchsorted(ends, index, "right")
+                number = index - (ends[at] - cells[at])
+                column, strip = number // strips[at], number % strips[at]
+                cell = mix64(key[at] + mix64((column * 0x1F123BB5 + strip * 0x2545F491 + seed).astype(np.uint64)))
+                darts = np.searchsorted(_POISSON, _unit(cell), "right")
+                of = np.repeat(np.arange(len(at)), darts)
+                nth = np.arange(len(of)) - np.repeat(np.cumsum(darts) - darts, darts)
+                dart = mix64(cell[of] + (nth + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                rank = strip[of] + _unit(dart)
+                height = column[of] + _unit(mix64(dart ^ np.uint64(0x5851F42D4C957F2D)))
+                hit = (rank < bound[own[at[of]]]) & (height < weight[at[of]])
+                dart, rank, mine_of = dart[hit], rank[hit], own[at[of[hit]]]
+                slot = mine_of * k + (mix64(dart + np.uint64(0x632BE59BD9B4E019)) % np.uint64(k)).astype(np.int64)
+                slot, rank, dart = (np.concatenate(x) for x in zip(best, (slot, rank, dart), strict=True))
+                order = np.lexsort((dart, rank, slot))
+                order = order[np.flatnonzero(np.diff(slot[order], prepend=-1))]
+                best = slot[order], rank[order], dart[order]
+            slot, _, dart = best
+            out.reshape(-1)[slot] = dart
+            full = np.bincount(slot // k, minlength=n) == k
             todo = todo[~full[todo]]
             bound[todo] *= 2
     return out
@@ -117,9 +130,9 @@ def signatures(column: pa.Array, words: int = WORDS, bands: int = BANDS, rows: i
     order = np.argsort(text, kind="stable")
     text, h, weights = text[order], h[order], weights[order]
     sig = np.zeros((scan.n, bands * rows), np.uint64)
-    for lo in range(0, scan.n, 256):  # a set throws some thousand darts
-        a, b = np.searchsorted(text, (lo, lo + 256))
-        n = min(256, scan.n - lo)
+    for lo in range(0, scan.n, 128):  # a set throws some thousand darts
+        a, b = np.searchsorted(text, (lo, lo + 128))
+        n = min(128, scan.n - lo)
         sig[lo : lo + n] = dart_minhash(h[a:b], text[a:b] - lo, weights[a:b], n, bands * rows)
     sig = sig.reshape(scan.n, bands, rows)
     with np.errstate(over="ignore"):
@@ -146,29 +159,39 @@ def content_key(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
+def lookup(rows: DataFrame, facts: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """rows with the columns that facts, one row for each key, has for their key; hot keys go by broadcast."""
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
+    total = counts.agg(F.sum("__n").alias("__all"))
+    hot = F.broadcast(counts.join(F.broadcast(total)).where(F.col("__n") > F.greatest(F.col("__all") / HOT, F.lit(HOT))).select(key))
+    few = rows.join(hot, key, "left_semi").join(F.broadcast(facts.join(hot, key, "left_semi")), key, how)
+    return rows.join(hot, key, "left_anti").join(facts, key, how).unionByName(few)
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the least node that each node of an edge is connected with.
 
     Large and small stars in turn: every node's greater neighbours, then its lesser ones, are tied to its least
-    neighbour, until nothing changes. Nothing is collected; each round is written to the shared folder.
+    neighbour, until nothing changes; labels only fall, so that comes to an end. Nothing is collected; each round is
+    written to the shared folder and the one before deleted. A hub's edges are one key of a plain join, which adaptive
+    execution splits, and are counted or reduced to a minimum before they are shuffled otherwise.
     """
-    e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct()
-    before = None
-    for _ in range(rounds):
+    scratch = Scratch(edges.sparkSession)
+    e, before, last = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct(), None, None
+    while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         # Small star: all edges run from the greater to the lesser node here.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u != v").distinct()
-        e = materialize(small, "components")
+        e = scratch.write(small, "components")
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if last is not None:
+            scratch.drop(last)
         if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError("components did not settle")
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
+        before, last = now, e
 
 
 def _check(pairs: DataFrame, texts: DataFrame, words: int, least: float, weighting: str) -> DataFrame:
@@ -227,19 +250,16 @@ def cross_links(first: pa.Array, second: pa.Array, comp_a: list, comp_b: list, w
     return out
 
 
-def _tiled_links(shared: DataFrame, found: DataFrame, texts: DataFrame, words: int, least: float, weighting: str) -> DataFrame:
-    """Links (a, b) within clusters beyond those found: nodes outside a cluster's largest component against all of it."""
-    ties = shared.where("key != leader").select(F.col("key").alias("a"), F.col("leader").alias("b"))
-    cluster = components(ties)
-    # Texts of a cluster are counted in words, about; that bounds what a tile holds.
-    node = texts.select("key", (F.length("text") / 4).cast("long").alias("weight")).join(cluster, F.col("key") == F.col("node"), "left").select("key", "weight", F.coalesce("component", "key").alias("s"))
-    node = node.join(found, F.col("key") == F.col("node"), "left").select("key", "weight", "s", F.coalesce("component", "key").alias("c"))
-    node = materialize(node, "dup-members")
+def _tiled_links(shared: DataFrame, found: DataFrame, texts: DataFrame, words: int, least: float, weighting: str, scratch: Scratch) -> DataFrame:
+    """Links (a, b) within groups beyond those found: nodes outside a group's largest component against all of it."""
+    # Texts of a group are counted in words, about; that bounds what a tile holds.
+    node = texts.select("key", (F.length("text") / 4).cast("long").alias("weight")).join(found.select(F.col("node").alias("key"), "component"), "key", "left").select("key", "weight", F.coalesce("component", "key").alias("c"))
+    node = scratch.write(shared.select("key", F.col("leader").alias("s")).join(node, "key"), "dup-members")
     per = node.groupBy("s", "c").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w"))
     whole = per.groupBy("s").agg(F.count(F.lit(1)).alias("parts"), F.max_by("c", F.struct("n", "c")).alias("main"), F.sum("n").alias("n"), F.sum("w").alias("w"), F.max("n").alias("main_n"), F.max_by("w", F.struct("n", "c")).alias("main_w")).where("parts > 1")
     tiles = lambda n, w: F.greatest(F.ceil(n / TILE), F.ceil(w / TILE_SHINGLES), F.lit(1)).cast("int")
-    whole = whole.select("s", "main", tiles(F.col("n"), F.col("w")).alias("all_tiles"), tiles(F.col("n") - F.col("main_n"), F.col("w") - F.col("main_w")).alias("out_tiles"))
-    member = node.join(whole, "s")
+    whole = scratch.write(whole.select("s", "main", tiles(F.col("n"), F.col("w")).alias("all_tiles"), tiles(F.col("n") - F.col("main_n"), F.col("w") - F.col("main_w")).alias("out_tiles")), "dup-groups")
+    member = lookup(node, whole, "s")
     spread = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = member.where("c != main").select("s", spread("out_tiles").alias("i"), every("all_tiles").alias("j"), F.lit(True).alias("out"), "key", "c")
@@ -255,7 +275,9 @@ def _tiled_links(shared: DataFrame, found: DataFrame, texts: DataFrame, words: i
         a, b = one.column("key").to_pylist(), two.column("key").to_pylist()
         return pa.table({"a": pa.array([a[i] for i, _ in links], pa.binary()), "b": pa.array([b[j] for _, j in links], pa.binary())})
 
-    return rows.groupBy("s", "i", "j").applyInArrow(run, "a binary, b binary")
+    links = scratch.write(rows.groupBy("s", "i", "j").applyInArrow(run, "a binary, b binary"), "dup-links2")
+    scratch.drop(node, whole)
+    return links
 
 
 def classes(docs: DataFrame, words: int = WORDS, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, weighting: str = "set") -> DataFrame:
@@ -263,51 +285,56 @@ def classes(docs: DataFrame, words: int = WORDS, least: float = SIMILARITY, band
 
     class_id is the least doc_id of the documents connected by links of the similarity; null only if all their ids
     are. Null texts count as empty; empty texts are one class, other texts without words are classes by equal text.
-    Whole texts count. Repeated rows and ids are rows of their own; other columns are ignored; an empty table gives an
-    empty result.
+    Whole texts count, whatever their length. Repeated rows and ids are rows of their own; other columns are ignored;
+    an empty table gives an empty result.
     """
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_memory(())
         for batch in batches:
-            for lo, hi in slices(batch.column(2), 1 << 20):
+            for lo, hi in slices(batch.column(2), 1 << 19):
                 part = batch.slice(lo, hi - lo)
                 sig = signatures(part.column(2), words, bands, rows, weighting).view(np.int64)
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(0, sig.size + 1, bands), pa.int32()), pa.array(sig.ravel()))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), flat], names=["doc_id", "key", "bands"])
 
+    scratch = Scratch(docs.sparkSession)
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), content_key(F.col("text")).alias("key"), "text")
-    signed = materialize(keyed.mapInArrow(sign, "doc_id long, key binary, bands array<long>"), "dup-signatures")
-    nodes = materialize(signed.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")), "dup-nodes")
+    signed = scratch.write(keyed.mapInArrow(sign, "doc_id long, key binary, bands array<long>"), "dup-signatures")
+    nodes = scratch.write(signed.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("n")), "dup-nodes")
     banded = nodes.select("key", F.explode("bands").alias("h")).where("h != 0")
-    buckets = materialize(banded.groupBy("h").agg(F.min("key").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "leader"), "dup-buckets")
+    buckets = scratch.write(banded.groupBy("h").agg(F.min("key").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "leader"), "dup-buckets")
     # A row for each node and leader, not for each bucket that they share.
-    shared = materialize(banded.join(buckets, "h").select("key", "leader").distinct(), "dup-shared")
+    shared = scratch.write(lookup(banded, buckets, "h").select("key", "leader").distinct(), "dup-shared")
     first = shared.where("key != leader").select(F.col("key").alias("a"), F.col("leader").alias("b"))
-    wanted = shared.select("key").distinct().join(nodes.select("key", "doc_id"), "key").select("key", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")).alias("id"))
-    texts = keyed.select("key", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")).alias("id"), F.coalesce("text", F.lit("")).alias("text")).join(wanted, ["key", "id"], "left_semi")
-    texts = materialize(texts.groupBy("key").agg(F.first("text").alias("text")), "dup-texts")
-    links = materialize(_check(first, texts, words, least, weighting), "dup-links")
+    # Equal texts are one row before the shuffle.
+    texts = keyed.select("key", F.coalesce("text", F.lit("")).alias("text")).groupBy("key").agg(F.first("text").alias("text"))
+    texts = scratch.write(texts.join(shared.select("key").distinct(), "key", "left_semi"), "dup-texts")
+    links = scratch.write(_check(first, texts, words, least, weighting), "dup-links")
     found = components(links)
-    more = materialize(_tiled_links(shared, found, texts, words, least, weighting), "dup-links2")
+    more = _tiled_links(shared, found, texts, words, least, weighting, scratch)
     if not more.isEmpty():
         # Components, not nodes, are connected now: found ones stand for their links.
         found = components(more.unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b"))))
-    whole = nodes.select("key", "doc_id").join(found, F.col("key") == F.col("node"), "left").select("key", F.coalesce("component", "key").alias("class_key"), "doc_id")
-    whole = materialize(whole, "dup-classes")
-    per_class = whole.groupBy("class_key").agg(F.min("doc_id").alias("class_id"))
-    of_key = whole.select("key", "class_key").join(per_class, "class_key")
-    rows_ = signed.select("doc_id", "key").join(of_key, "key")
-    sizes = rows_.groupBy("class_key").agg(F.count(F.lit(1)).alias("class_size"))
-    return rows_.join(sizes, "class_key").select("doc_id", "key", "class_key", "class_id", "class_size")
+    whole = nodes.select("key", "doc_id", "n").join(found, F.col("key") == F.col("node"), "left").select("key", F.coalesce("component", "key").alias("class_key"), "doc_id", "n")
+    whole = scratch.write(whole, "dup-classes")
+    per_class = scratch.write(whole.groupBy("class_key").agg(F.min("doc_id").alias("class_id"), F.sum("n").alias("class_size")), "dup-sizes")
+    scratch.drop(buckets, shared, texts, links, more, nodes)
+    of_key = scratch.write(lookup(whole.select("key", "class_key"), per_class, "class_key"), "dup-keys")
+    scratch.drop(whole, per_class)
+    return lookup(signed.select("doc_id", "key"), of_key, "key").select("doc_id", "key", "class_key", "class_id", "class_size")
 
 
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
-    """One row of each class, with docs' columns: that of the least doc_id (null ids last, then by text and order)."""
+    """One row of each class, with docs' columns: that of the least doc_id (null ids last, then by text).
+
+    Of repeated rows of that id and text the one with the least hash of its columns stays. What holds for classes()
+    holds here: null texts are empty, an empty table gives an empty one, and columns of any name stay as they are.
+    """
     member = classes(docs, **options)
     choice = member.groupBy("class_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "key")).alias("m"))
-    keep = choice.select(F.coalesce(F.col("m.doc_id").cast("string"), F.lit("-")).alias("__id"), F.col("m.key").alias("__key"))
-    keyed = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))).withColumn("__key", content_key(F.col("text")))
-    chosen = keyed.join(keep, ["__id", "__key"], "left_semi")
-    one = Window.partitionBy("__id", "__key").orderBy(F.lit(0))
-    return chosen.withColumn("__i", F.row_number().over(one)).where("__i = 1").select(*docs.columns)
+    keep = choice.select(F.coalesce(F.col("m.doc_id").cast("string"), F.lit("-")).alias("id"), F.col("m.key").alias("key"))
+    plain = [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")).alias("id"), content_key(F.col("text")).alias("key"), F.struct(*docs.columns).alias("row"), F.xxhash64(*plain).alias("order"))
+    one = keyed.groupBy("id", "key").agg(F.min_by("row", "order").alias("row"))  # repeated rows are one before the shuffle
+    return one.join(keep, ["id", "key"], "left_semi").select("row.*")

@@ -108,10 +108,35 @@ def test_deduplicate(spark):
     assert kept.columns == docs.columns
     # 1 and 6 are alike; the empty ones are; the rows without id are one text; white space alone is its own text
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(["1", "2", "None", "4", "5", "7", "8"])
+    before = {tuple(r) for r in docs.collect()}
+    assert all(tuple(r) in before for r in kept.collect())  # every column as it was, whatever its name
     assert near_duplicates.deduplicate(empty(spark)).count() == 0
     assert near_duplicates.classes(docs).count() == docs.count()
 
 
+def test_groups_that_share_buckets_but_no_component(spark):
+    """Many versions of one text around the similarity: buckets are shared, few pairs are alike."""
+    r = np.random.default_rng(11)
+    base = [f"w{i}" for i in range(300)]
+    rows = []
+    for k in range(120):
+        own = list(base)
+        for j in r.choice(300, int(r.integers(6, 16)), replace=False):
+            own[j] = f"x{k}_{j}"
+        rows.append((k, " ".join(own)))
+    rows += [(1000 + k, rows[k % 7][1]) for k in range(50)]
+    found = near_duplicates.classes(spark.createDataFrame(rows, "doc_id long, text string"), bands=64, rows=3).collect()
+    assert found_classes(found) == plain_classes(*zip(*rows, strict=True))
+
+
+def test_repeated_rows_are_numbered_in_blocks(spark):
+    from pointweave.llm.base import distinct_rows
+
+    df = spark.createDataFrame([(1,)] * 10 + [(2,)] + [(None,)] * 7, "a long")
+    got = sorted((r["a"] or 0, r["copy_no"]) for r in distinct_rows(df, ["a"], most=3).collect())
+    assert got == [(0, k) for k in range(7)] + [(1, k) for k in range(10)] + [(2, 0)]
+
+
 def plain_targets(sizes, weights=(5, 2, 1), share=1.5, most=2.0):
     names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
     w = {s: weights[i % 3] for i, s in enumerate(names)}
