@@ -91,7 +91,7 @@ def _fold(items: Column, seed: int) -> Column:
 
 
 def mix(docs: DataFrame, source: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: int = 7, block: int = BLOCK) -> DataFrame:
-    """One row for each document: doc_id, source, copy_no, size, source_size, target, copies, taken.
+    """One row for each document: doc_id, size, source_size, target, taken, source, copy_no, copies.
 
     Null text has size 0; null source is a source of its own, last in order; null or repeated doc_id and repeated rows
     count as rows (copy_no tells equal ones apart). A document without words gets the whole part of its fraction.
@@ -131,7 +131,7 @@ def mix(docs: DataFrame, source: str = "source", weights: tuple[float, ...] = WE
     rounded = materialize(rounded, "mix-rounded")
     flips = _settle(rounded, seed).select(F.col("source").alias("__ts"), F.col("id.doc_id").alias("__td"), F.col("id.size").alias("__tz"), F.col("id.copy_no").alias("__tc"), F.lit(True).alias("flip"))
     copies = F.col("base") + F.when(F.col("flip"), 1 - F.col("take")).otherwise(F.coalesce(F.col("take"), F.lit(0)))
-    return rounded.join(flips, on, "left").select("doc_id", "source", "copy_no", "size", "source_size", "target", copies.cast("long").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+    return rounded.join(flips, on, "left").select("doc_id", "size", "source_size", "target", (copies * F.col("size")).cast("long").alias("taken"), "source", "copy_no", copies.cast("long").alias("copies"))
 
 
 def _settle(rounded: DataFrame, seed: int, rounds: int = 3, most: int = 256) -> DataFrame:
