@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .base import worker_memory
@@ -84,40 +84,33 @@ def _dictionary(samples: list[bytes], size: int) -> bytes:
     try:
         return zstandard.train_dictionary(size, samples).as_bytes()
     except zstandard.ZstdError:  # too few samples to choose from: their text is the dictionary
-        return b"".join(samples)[-size:]
+        return b"".join(samples)
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 1500, pieces: int = 8, piece: int = PIECE, dictionary: int = DICTIONARY, held=held_out, seed: int = 5) -> Classifier:
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 1500, most_bytes: int = 8 << 20, piece: int = PIECE, dictionary: int = DICTIONARY, held=held_out, seed: int = 5) -> Classifier:
     """Fit on at most per_class documents of each label, chosen by hash among those that aren't held out.
 
-    Half of them give dictionary text (at most `pieces` evenly spaced pieces of each; lines that several of them share
-    are left out, as boilerplate says nothing about a label), the other half, whole, gives the curve. Rows with null
-    label or id take no part. If a class is missing its dictionary is empty.
+    Half of them give dictionary text: whole texts, in hash order as long as a label's have at most `most_bytes` in all;
+    lines that several of them share are left out, as boilerplate says nothing about a label. The other half, whole,
+    gives the curve. Rows with null label or id take no part; of several texts of one id the least counts. If a class is
+    missing its dictionary is empty.
     """
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality")).where(~held(F.col("doc_id")))
     order = [F.xxhash64(F.lit(seed), "doc_id"), F.col("doc_id")]
     chosen = known.where("quality = 1").orderBy(*order).limit(per_class).unionByName(known.where("quality = 0").orderBy(*order).limit(per_class))
     chosen = chosen.withColumn("half", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.lit(2)).cast("int"))
-    picked = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, qualities, out = [], [], []
-            for i, text, q in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "quality")), strict=True):
-                raw = text.encode()
-                starts = range(0, len(raw), piece)
-                for k in starts if len(starts) <= pieces else np.linspace(0, len(raw) - piece, pieces).astype(int):
-                    ids.append(i), qualities.append(q), out.append(raw[k : k + piece])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(qualities, pa.int32()), pa.array(out, pa.binary())], names=["doc_id", "quality", "piece"])
-
-    rows = picked.where("half = 0").mapInArrow(cut, "doc_id long, quality int, piece binary").orderBy("doc_id", "piece").collect()
-    seen = Counter(line for lines in ({(r["doc_id"], x) for r in rows for x in bytes(r["piece"]).split(b"\n")},) for _, line in lines)
+    picked = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality", "half").agg(F.min("text").alias("text"))
+    sizes = picked.where("half = 0").select("doc_id", "quality", F.octet_length("text").alias("size"))
+    # At most per_class rows a label.
+    fits = sizes.withColumn("sum", F.sum("size").over(Window.partitionBy("quality").orderBy(*order))).where(F.col("sum") <= most_bytes)
+    rows = picked.join(F.broadcast(fits.select("doc_id")), "doc_id", "left_semi").select("doc_id", "quality", "text").orderBy("doc_id").collect()
+    seen = Counter(line for r in rows for line in set(r["text"].split("\n")))
     samples: dict[int, list[bytes]] = {0: [], 1: []}
     for r in rows:
-        if text := b"\n".join(x for x in bytes(r["piece"]).split(b"\n") if seen[x] == 1):
-            samples[r["quality"]].append(text)
+        own = "\n".join(x for x in r["text"].split("\n") if seen[x] == 1).encode()
+        samples[r["quality"]] += [own[i : i + piece] for i in range(0, len(own), piece)]
     model = Classifier(_dictionary(samples[1], dictionary), _dictionary(samples[0], dictionary), np.zeros(5), piece)
-    fit = _features(picked.where("half = 1").select("doc_id", "text"), model).join(chosen.select("doc_id", "quality"), "doc_id").orderBy("doc_id").toPandas()
+    fit = _features(picked.where("half = 1").select("doc_id", "text"), model).join(F.broadcast(chosen.select("doc_id", "quality")), "doc_id").orderBy("doc_id").toPandas()
     if len(fit):
         # Classes count as they do among all labels, so that a text that says nothing gets their share as its score.
         of = {r["quality"]: r["count"] for r in known.groupBy("quality").count().collect()}
