@@ -8,8 +8,9 @@ below a rank bound are needed, whatever the number of shingles; documents with a
 
 Joining. Equal texts are one node. Nodes that agree on a band of coordinates share a bucket. Every node is checked
 with its buckets' least nodes (no pairs within a bucket), exactly, on the whole texts' shingles. Links make components.
-All nodes that have a bucket with the same least node make its group; so a group is what shares a bucket with one node,
-never a chain of buckets. Where a group has several components, the nodes outside its largest one are compared with all
+Nodes that buckets connect make a cluster; a cluster that fits in a tile is a group. Of a larger one, which may be a long
+chain of buckets, all nodes that have a bucket with the same least node make a group, which is never such a chain.
+Where a group has several components, the nodes outside its largest one are compared with all
 of the group, exactly, in tiles of bounded size that give only the links that connect components. So every pair that
 shares a bucket is checked, or its nodes are in one component already, and no step has a row for each pair.
 
@@ -252,9 +253,18 @@ def cross_links(first: pa.Array, second: pa.Array, comp_a: list, comp_b: list, w
 
 def _tiled_links(shared: DataFrame, found: DataFrame, texts: DataFrame, words: int, least: float, weighting: str, scratch: Scratch) -> DataFrame:
     """Links (a, b) within groups beyond those found: nodes outside a group's largest component against all of it."""
+    ties = shared.where("key != leader").select(F.col("key").alias("a"), F.col("leader").alias("b"))
+    cluster = components(ties).select(F.col("node").alias("key"), F.col("component").alias("s"))
     # Texts of a group are counted in words, about; that bounds what a tile holds.
     node = texts.select("key", (F.length("text") / 4).cast("long").alias("weight")).join(found.select(F.col("node").alias("key"), "component"), "key", "left").select("key", "weight", F.coalesce("component", "key").alias("c"))
-    node = scratch.write(shared.select("key", F.col("leader").alias("s")).join(node, "key"), "dup-members")
+    node = scratch.write(node.join(cluster, "key", "left").select("key", "weight", "c", F.coalesce("s", "key").alias("cluster")), "dup-clusters")
+    size = node.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w"), F.min("c").alias("least"), F.max("c").alias("most"))
+    size = scratch.write(size.where("least != most").select("cluster", ((F.col("n") <= TILE) & (F.col("w") <= TILE_SHINGLES)).alias("small")), "dup-sizes-of-clusters")
+    open_ = scratch.write(lookup(node, size, "cluster"), "dup-open")
+    large = shared.join(open_.where("not small").select("key", "weight", "c"), "key").select("key", F.col("leader").alias("s"), "weight", "c")
+    every_member = scratch.write(open_.where("small").select("key", F.col("cluster").alias("s"), "weight", "c").unionByName(large), "dup-members")
+    scratch.drop(node, size, open_)
+    node = every_member
     per = node.groupBy("s", "c").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w"))
     whole = per.groupBy("s").agg(F.count(F.lit(1)).alias("parts"), F.max_by("c", F.struct("n", "c")).alias("main"), F.sum("n").alias("n"), F.sum("w").alias("w"), F.max("n").alias("main_n"), F.max_by("w", F.struct("n", "c")).alias("main_w")).where("parts > 1")
     tiles = lambda n, w: F.greatest(F.ceil(n / TILE), F.ceil(w / TILE_SHINGLES), F.lit(1)).cast("int")

@@ -30,12 +30,23 @@ END_ID = 1
 TOKENIZER = "byte_bpe_50k.json"
 
 
+def id_type(vocabulary: int) -> str:
+    """How packed ids are written: little-endian, in 16 bits where the vocabulary fits, else in 32."""
+    return "<u2" if vocabulary <= 1 << 16 else "<u4"
+
+
+def unpack(ids: bytes, length: int) -> np.ndarray:
+    """The ids of a piece of that length."""
+    return np.frombuffer(ids, "<u2" if len(ids) == 2 * length else "<u4")
+
+
 def cut_documents(docs: DataFrame, path: str, kind: str = "space", length: int = LENGTH, unit: int = UNIT, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
-    """Pieces of all documents: doc_id, start, length, ids_crc32, doc_tokens, cls, part, rank_in_part (and ids)."""
-    fields = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, cls int, part int, rank_in_part long" + ", ids array<int>" * with_ids
+    """Pieces of all documents: doc_id, start, length, ids_crc32, doc_tokens, cls, part, rank_in_part (and ids: packed)."""
+    fields = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, cls int, part int, rank_in_part long" + ", ids binary" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(path, kind)
+        kind_of_id = id_type(max(encoder.vocabulary, end_id + 1))
         part = TaskContext.get().partitionId()
         seen = np.zeros(length // unit + 1, np.int64)
         for batch in batches:
@@ -50,7 +61,7 @@ def cut_documents(docs: DataFrame, path: str, kind: str = "space", length: int =
                         piece = own[at : at + length]
                         row.append(i), start.append(at), size.append(len(piece)), crc.append(zlib.crc32(piece)), total.append(len(own))
                         if with_ids:
-                            kept.append(piece.astype(np.int32))
+                            kept.append(piece.astype(kind_of_id).tobytes())
                 cls = -(-np.array(size) // unit)
                 order = np.argsort(cls, kind="stable")
                 counts = np.bincount(cls, minlength=len(seen))
@@ -61,7 +72,7 @@ def cut_documents(docs: DataFrame, path: str, kind: str = "space", length: int =
                 columns = [doc_ids.take(pa.array(row, pa.int32())), *[pa.array(x, pa.int64()) for x in (start, size, crc, total)], pa.array(cls, pa.int32()), pa.array(np.full(len(cls), part), pa.int32()), pa.array(rank)]
                 names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "cls", "part", "rank_in_part"]
                 if with_ids:
-                    columns.append(pa.array(kept, pa.list_(pa.int32())))
+                    columns.append(pa.array(kept, pa.binary()))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
@@ -189,7 +200,8 @@ def slots_of(plan: list[tuple[dict[int, int], int]]) -> dict[str, np.ndarray]:
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, kind: str = "space", length: int = LENGTH, unit: int = UNIT, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
-    """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ids if wanted.
+    """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ids if wanted, packed
+    as id_type() says (see unpack()).
 
     Null text is empty; every document has at least its end id, so each row of docs, repeated ones too, has a piece.
     Texts of any length are cut at multiples of the sequence length. Null and repeated ids are kept as they are; other
@@ -216,4 +228,4 @@ def pack(docs: DataFrame, tokenizer: str | None = None, kind: str = "space", len
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ranked.schema if f.name in kept) + ", sequence_id long, slot long"
     placed = ranked.mapInArrow(place, schema)
     offset = F.coalesce(F.sum("length").over(Window.partitionBy("sequence_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return placed.withColumn("offset", offset).drop("slot")
+    return placed.withColumn("offset", offset).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *["ids"] * with_ids)

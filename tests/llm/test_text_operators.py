@@ -102,6 +102,7 @@ def check_packing(rows, texts):
         ids, at = np.array([*library.encode(text or "", add_special_tokens=False).ids, 1], "<u4"), 0
         for r in sorted(by_doc[i], key=lambda r: r["start"]):
             assert (r["start"], r["doc_tokens"], r["ids_crc32"]) == (at, len(ids), zlib.crc32(ids[at : at + r["length"]]))
+            assert "ids" not in r or packing.unpack(r["ids"], r["length"]).tolist() == ids[at : at + r["length"]].tolist()
             at += r["length"]
         assert at == len(ids)
     for pieces in by_seq.values():
@@ -115,6 +116,8 @@ def check_packing(rows, texts):
 
 
 def test_packing(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(40)
+    assert check_packing([r.asDict() for r in packing.pack(docs, with_ids=True).collect()], {r["doc_id"]: r["text"] for r in docs.collect()}) < 1
     assert check_packing(QUERIES["op3_cutting_stock_packing"](spark, sf_dir).collect(), texts_of(sf_dir)) < 0.05
 
 
