@@ -5,10 +5,12 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.planar import angle_between, distance, segments_cross
+from ..plans.storage import cut_lineage, side_by_side
+from .grids import Levels, cell, cells_along, level_of, levels_of
 
 BETA = 0.534
 
@@ -17,50 +19,119 @@ def angle_limit(beta: float = BETA) -> float:
     return math.pi - math.asin(beta) if beta <= 1 else math.asin(1 / beta)
 
 
+def _probes(points: DataFrame, keys: tuple[str, ...], level: int | Column, levels: Levels) -> DataFrame:
+    """(keys, mx, my, probes): a point from each of the nine half cells around a half cell."""
+    half = levels.side_of(level) / 2
+    more = ["level"] if isinstance(level, Column) else []
+    one = points.groupBy(*more, *keys, cell(F.col("x"), half).alias("hx"), cell(F.col("y"), half).alias("hy")).agg(F.min(F.struct("x", "y", "type")).alias("p"))
+    near = lambda c: F.explode(F.sequence(F.col(c) - 1, F.col(c) + 1))
+    return one.withColumn("mx", near("hx")).withColumn("my", near("hy")).groupBy(*more, *keys, "mx", "my").agg(F.collect_list("p").alias("probes"))
+
+
+def _sees_all(px: Column, py: Column, qx: Column, qy: Column, far: float, theta: float):
+    """Does a point see all points within `far` of p and of q at more than theta from each other?"""
+
+    def sees(r: Column) -> Column:
+        dp, dq = distance(r["x"], r["y"], px, py), distance(r["x"], r["y"], qx, qy)
+        angle = angle_between(px - r["x"], py - r["y"], qx - r["x"], qy - r["y"])
+        return (dp > far) & (dq > far) & (angle - F.asin(F.try_divide(F.lit(far), dp)) - F.asin(F.try_divide(F.lit(far), dq)) > theta + 1e-9)
+
+    return sees
+
+
+def _cell_pairs(points: DataFrame, theta: float, keys: tuple[str, ...], levels: Levels) -> DataFrame:
+    """(keys, type, ax, ay, bx, by): pairs of finest cells that hold points of a type, less those that one point near
+    their middle excludes for all points in them. Coarse pairs are excluded first; only what is left is refined.
+    """
+    by = [*keys, "type"]
+    cells = lambda k, c: points.select(*by, cell(F.col("x"), levels.side_of(k)).alias(f"{c}x"), cell(F.col("y"), levels.side_of(k)).alias(f"{c}y")).distinct()
+    pairs = cells(levels.top, "a").join(cells(levels.top, "b"), by).where("struct(ax, ay) <= struct(bx, by)")
+    for k in range(levels.top, -1, -1):
+        s = levels.side_of(k)
+        px, py, qx, qy = ((F.col(c) + 0.5) * s for c in ("ax", "ay", "bx", "by"))
+        middle = pairs.withColumn("mx", cell((px + qx) / 2, s / 2)).withColumn("my", cell((py + qy) / 2, s / 2))
+
+        # A corner of a cell is so far from its middle; that turns the sight of it by an arc sine at most.
+        far = s * math.sqrt(0.5) * (1 + 1e-9)
+        blocked = F.exists("probes", _sees_all(px, py, qx, qy, far, theta))
+        seen = middle.join(_probes(points, keys, k, levels), [*keys, "mx", "my"], "left")
+        pairs = seen.where(~F.coalesce(blocked, F.lit(False))).select(*by, "ax", "ay", "bx", "by")
+        if k:
+            parts = lambda c, k=k: cells(k - 1, "f").select(*by, F.shiftright("fx", 1).alias(f"{c}x"), F.shiftright("fy", 1).alias(f"{c}y"), F.col("fx").alias(f"f{c}x"), F.col("fy").alias(f"f{c}y"))
+            fine = pairs.join(parts("a"), [*by, "ax", "ay"]).join(parts("b"), [*by, "bx", "by"])
+            same = (F.col("ax") == F.col("bx")) & (F.col("ay") == F.col("by"))
+            fine = fine.where(~same | F.expr("struct(fax, fay) <= struct(fbx, fby)"))
+            pairs = fine.select(*by, F.col("fax").alias("ax"), F.col("fay").alias("ay"), F.col("fbx").alias("bx"), F.col("fby").alias("by"))
+    return pairs
+
+
 def beta_skeleton(points: DataFrame, beta: float = BETA, keys: tuple[str, ...] = ()) -> DataFrame:
     """Pairs i < j of one type such that every other point sees them at an angle of at most the limit.
 
-    Points equal in x, y and type to an end don't count; coincident points of another type exclude the pair. For
-    beta <= 1 a point that excludes a pair lies in the disc over the pair, so the anti join tests the disc's box first.
+    Points equal in x, y and type to an end don't count; coincident points of another type exclude the pair. Pairs of
+    cells are excluded from coarse to fine, then pairs of points by points near their middle; for what is left, all
+    points in reach are looked up by cell. All joins have equal keys, and rows grow with the points in all but sparse
+    plains, where few points stand.
     """
     theta = angle_limit(beta)
-    a = points.select(*keys, "type", F.col("point_id").alias("i"), F.col("x").alias("ix"), F.col("y").alias("iy"))
-    b = points.select(*keys, "type", F.col("point_id").alias("j"), F.col("x").alias("jx"), F.col("y").alias("jy"))
-    pairs = a.join(b, [*keys, "type"]).where("i < j")
-    r = points.select(*[F.col(k).alias(f"r_{k}") for k in keys], F.col("type").alias("rt"), F.col("x").alias("rx"), F.col("y").alias("ry"))
-    angle = angle_between(F.col("ix") - F.col("rx"), F.col("iy") - F.col("ry"), F.col("jx") - F.col("rx"), F.col("jy") - F.col("ry"))
-    same = lambda e: (F.col("rt") == F.col("type")) & (F.col("rx") == F.col(f"{e}x")) & (F.col("ry") == F.col(f"{e}y"))
-    sees = ~same("i") & ~same("j") & F.coalesce(angle > theta, F.lit(True))
-    if beta <= 1:
-        mid_x, mid_y = (F.col("ix") + F.col("jx")) / 2, (F.col("iy") + F.col("jy")) / 2
-        half = distance(F.col("ix"), F.col("iy"), F.col("jx"), F.col("jy")) / 2 * (1 + 1e-9)
-        sees = F.col("rx").between(mid_x - half, mid_x + half) & F.col("ry").between(mid_y - half, mid_y + half) & sees
-    for k in keys:
-        sees = (F.col(k) == F.col(f"r_{k}")) & sees
-    kept = pairs.join(r, sees, "left_anti")
-    return kept.withColumn("length", distance(F.col("ix"), F.col("iy"), F.col("jx"), F.col("jy")))
+    levels = levels_of(points, (*keys, "type"))
+    by, s = [*keys, "type"], levels.side
+    end = lambda n, c: points.select(*by, cell(F.col("x"), s).alias(f"{c}x"), cell(F.col("y"), s).alias(f"{c}y"), F.col("point_id").alias(n), F.col("x").alias(f"{n}x"), F.col("y").alias(f"{n}y"))
+    met = _cell_pairs(points, theta, keys, levels).join(end("p", "a"), [*by, "ax", "ay"]).join(end("q", "b"), [*by, "bx", "by"])
+    met = met.where("(ax != bx or ay != by) or p < q")
+    up = F.col("p") < F.col("q")
+    turn = lambda one, two, name: F.when(up, F.col(one)).otherwise(F.col(two)).alias(name)
+    pairs = met.select(*by, turn("p", "q", "i"), turn("q", "p", "j"), turn("px", "qx", "ix"), turn("py", "qy", "iy"), turn("qx", "px", "jx"), turn("qy", "py", "jy"))
+    pairs = pairs.withColumn("length", distance(F.col("ix"), F.col("iy"), F.col("jx"), F.col("jy")))
+    # All points that see a pair at more than the limit are so near to its segment.
+    reach = F.col("length") / 2 / math.tan(theta / 2) * (1 + 1e-9)
+
+    def sees(r: Column) -> Column:
+        same = lambda e: (r["type"] == F.col("type")) & (r["x"] == F.col(f"{e}x")) & (r["y"] == F.col(f"{e}y"))
+        angle = angle_between(F.col("ix") - r["x"], F.col("iy") - r["y"], F.col("jx") - r["x"], F.col("jy") - r["y"])
+        return ~same("i") & ~same("j") & F.coalesce(angle > theta, F.lit(True))
+
+    every = F.explode(F.sequence(F.lit(0), F.lit(levels.top + 3))).alias("level")
+    layered = points.select(*keys, "type", "x", "y", every)
+    # First the points around the middle, then all in reach.
+    half = levels.side_of(F.col("level")) / 2
+    pairs = pairs.withColumn("level", level_of(2 * reach / 1.5, levels)).withColumn("mx", cell((F.col("ix") + F.col("jx")) / 2, half)).withColumn("my", cell((F.col("iy") + F.col("jy")) / 2, half))
+    pairs = pairs.join(_probes(layered, keys, F.col("level"), levels), ["level", *keys, "mx", "my"], "left").where(~F.coalesce(F.exists("probes", sees), F.lit(False))).drop("probes", "mx", "my", "level")
+    wide = cells_along(pairs.withColumn("level", level_of(reach, levels)), reach, levels.side_of(F.col("level")))
+    side = levels.side_of(F.col("level"))
+    third = layered.groupBy("level", *keys, cell(F.col("x"), side).alias("__cx"), cell(F.col("y"), side).alias("__cy"), "x", "y", "type").agg(F.lit(1).alias("one")).select("level", *keys, "__cx", "__cy", F.struct("x", "y", "type").alias("r"))
+    hit = wide.join(third, ["level", *keys, "__cx", "__cy"], "left").groupBy(*by, "i", "j", "ix", "iy", "jx", "jy", "length").agg(F.coalesce(F.bool_or(sees(F.col("r"))), F.lit(False)).alias("hit"))
+    return hit.where("not hit").drop("hit")
 
 
 def crossings(edges: DataFrame) -> DataFrame:
-    """Pairs of edges that cross inside both: (i1, j1) < (i2, j2). Boxes are compared before the crossing test."""
-    side = lambda n: edges.select(*[F.col(c).alias(f"{c}{n}") for c in ("type", "i", "j", "ix", "iy", "jx", "jy")])
-    box = (F.greatest("ix1", "jx1") >= F.least("ix2", "jx2")) & (F.greatest("ix2", "jx2") >= F.least("ix1", "jx1")) & (F.greatest("iy1", "jy1") >= F.least("iy2", "jy2")) & (F.greatest("iy2", "jy2") >= F.least("iy1", "jy1"))
+    """Pairs of edges that cross inside both: (i1, j1) < (i2, j2).
+
+    The edges are written once, dealt to the cells that they pass, and meet where they share a cell; a crossing counts
+    in the cell in which it lies.
+    """
+    edges = cut_lineage(edges)
+    side = max(float(edges.agg(F.avg(distance(F.col("ix"), F.col("iy"), F.col("jx"), F.col("jy")))).first()[0] or 1.0), 1e-9)
+    dealt = cells_along(edges, 1e-6 * side, side)
+    part = lambda n: dealt.select("__cx", "__cy", *[F.col(c).alias(f"{c}{n}") for c in ("type", "i", "j", "ix", "iy", "jx", "jy")])
     before = (F.col("i1") < F.col("i2")) | ((F.col("i1") == F.col("i2")) & (F.col("j1") < F.col("j2")))
-    hit = segments_cross(*[F.col(c) for c in ("ix1", "iy1", "jx1", "jy1", "ix2", "iy2", "jx2", "jy2")])
-    return side(1).join(side(2), before & box & hit).select("i1", "j1", "i2", "j2", "type1", "type2")
+    c = [F.col(c) for c in ("ix1", "iy1", "jx1", "jy1", "ix2", "iy2", "jx2", "jy2")]
+    met = part(1).join(part(2), ["__cx", "__cy"]).where(before & segments_cross(*c))
+    den = (c[2] - c[0]) * (c[7] - c[5]) - (c[3] - c[1]) * (c[6] - c[4])
+    t = F.try_divide((c[4] - c[0]) * (c[7] - c[5]) - (c[5] - c[1]) * (c[6] - c[4]), den)
+    here = (cell(c[0] + t * (c[2] - c[0]), side) == F.col("__cx")) & (cell(c[1] + t * (c[3] - c[1]), side) == F.col("__cy"))
+    return met.where(here).select("i1", "j1", "i2", "j2", "type1", "type2")
 
 
-def components(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(point_id, component): the least point that a point is connected with.
 
     Least labels spread over the edges and jump along themselves; every round's table is checkpointed.
     """
-    from ..plans.storage import cut_lineage
-
     both = edges.select(F.col("i").alias("a"), F.col("j").alias("b")).unionByName(edges.select(F.col("j").alias("a"), F.col("i").alias("b")))
     both = cut_lineage(both)
     label = nodes.select("point_id", F.col("point_id").alias("component"))
-    for _ in range(rounds):
+    while True:  # labels only fall, so this comes to an end
         seen = both.join(label, F.col("b") == F.col("point_id")).groupBy("a").agg(F.min("component").alias("m"))
         spread = label.join(seen, F.col("point_id") == F.col("a"), "left").select("point_id", F.col("component").alias("old"), F.least("component", F.coalesce("m", "component")).alias("c"))
         jump = spread.select(F.col("point_id").alias("p"), F.col("c").alias("further"))
@@ -68,7 +139,6 @@ def components(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFram
         if new.where("old != component").isEmpty():
             return new.select("point_id", "component")
         label = new.select("point_id", "component")
-    raise RuntimeError("components did not settle")
 
 
 def _cross(e, f) -> bool:
@@ -126,4 +196,4 @@ def forest(edges: DataFrame, key: str = "dataset_id", augment: bool = False) ->
         out = pdf.loc[taken + more, [key, "type", "i", "j", "length"]]
         return out.assign(step=range(len(out)), augmented=[False] * len(taken) + [True] * len(more))
 
-    return edges.groupBy(key).applyInPandas(run, f"{key} long, type int, i long, j long, length double, step long, augmented boolean")
+    return side_by_side(edges, key).groupBy(key).applyInPandas(run, f"{key} long, type int, i long, j long, length double, step long, augmented boolean")

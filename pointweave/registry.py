@@ -281,9 +281,7 @@ def potential_sign_cells(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH {PTS} SELECT t.a AS type1, t.b AS type2, round(min(sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y))) / 2, 6) AS first_touch FROM (SELECT DISTINCT a.type AS a, b.type AS b FROM pts a JOIN pts b ON a.type < b.type) t JOIN pts p ON p.type = t.a JOIN pts q ON q.type = t.b GROUP BY 1, 2")
 def two_color_first_touch(spark: SparkSession, sf: str) -> DataFrame:
     """When growing discs of two types touch for the first time."""
-    p = src.pts(spark, sf)
-    a, b = p.select(F.col("type").alias("type1"), F.col("x").alias("ax"), F.col("y").alias("ay")), p.select(F.col("type").alias("type2"), F.col("x").alias("bx"), F.col("y").alias("by"))
-    return a.join(b, F.col("type1") < F.col("type2")).groupBy("type1", "type2").agg(r6(F.min(distance(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))) / 2).alias("first_touch"))
+    return pairs.first_touch(src.pts(spark, sf)).select("type1", "type2", r6(F.col("d") / 2).alias("first_touch"))
 
 
 @query(f"WITH {PTS}, u AS (SELECT CAST(type AS VARCHAR) AS type FROM pts UNION ALL SELECT event_type FROM events UNION ALL SELECT CAST(c_nationkey AS VARCHAR) FROM customer) SELECT type, count(*) AS n, round(count(*) * 1.0 / sum(count(*)) OVER (), 6) AS share FROM u GROUP BY type")
