@@ -53,3 +53,17 @@ def valid(points: DataFrame, inflection: bool = True, max_turning: float = 70.0,
     every = points.select(*keys).distinct().join(per, list(keys), "left")
     ok = (F.coalesce("n_bends", F.lit(0)) <= (2 if inflection else 1)) & (F.coalesce("max_angle", F.lit(0.0)) <= math.radians(max_turning)) & (F.coalesce("total_angle", F.lit(0.0)) <= math.radians(max_bend))
     return every.select(*keys, F.coalesce("n_bends", F.lit(0)).cast("long").alias("n_bends"), ok.alias("is_valid"))
+
+
+def part_between(points: DataFrame, start: float, end: float, keys=BANK) -> DataFrame:
+    """(keys, length, x0, y0, x1, y1): the part of each bank between two shares of its length, by running lengths."""
+    w = _order(keys)
+    h = hops(points, keys).where("hop > 0")
+    along = h.withColumn("at", F.sum("hop").over(w) - F.col("hop")).withColumn("total", F.sum("hop").over(Window.partitionBy(*keys)))
+
+    def place(axis: str, share: float):
+        t = F.greatest(F.lit(0.0), F.lit(share) * F.col("total") - F.col("at")) / F.col("hop")
+        here = (F.col("at") <= F.lit(share) * F.col("total")) & ((F.lit(share) * F.col("total") < F.col("at") + F.col("hop")) | F.lit(share >= 1))
+        return F.max_by(F.col(axis) + (F.col(f"n{axis}") - F.col(axis)) * t, F.when(here, F.col("at")))
+
+    return along.groupBy(*keys).agg((F.first("total") * (end - start)).alias("length"), place("x", start).alias("x0"), place("y", start).alias("y0"), place("x", end).alias("x1"), place("y", end).alias("y1"))

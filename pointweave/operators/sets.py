@@ -39,14 +39,19 @@ def prune_hyperedges(edges: DataFrame) -> DataFrame:
 
 
 def resolve_preference(components: DataFrame) -> DataFrame:
-    """Stacking preference of left against right in a component: fewer excluded discs go on top; else the side that is
-    straight is indented if either is bent; else the straight one is covered; else EQ. The first rule that decides wins.
-    LT puts the right one on top.
+    """Stacking preference of left against right in a component; the first rule that decides wins, else EQ.
+
+    1. left_discs, right_discs: discs around a side's points that the other side has to avoid; the side with fewer: LT
+       for left, GT for right.
+    2. left_bent, right_bent: whether any part of a side's outline that would be indented is bent. Straight parts are
+       indented rather than bent ones: LT if only left has a bent one.
+    3. left_straight, right_straight: whether all of a side's outline there is straight. Straight outlines are covered
+       rather than bent ones: LT if only left is straight.
     """
     by_discs = F.when(F.col("left_discs") < F.col("right_discs"), "LT").when(F.col("left_discs") > F.col("right_discs"), "GT")
-    indent = F.when(F.col("left_straight") & ~F.col("right_straight") & F.col("can_indent"), "LT").when(~F.col("left_straight") & F.col("right_straight") & F.col("can_indent"), "GT")
-    cover = F.when(F.col("left_straight") & ~F.col("right_straight"), "LT").when(~F.col("left_straight") & F.col("right_straight"), "GT")
-    return components.withColumn("preference", F.coalesce(by_discs, indent, cover, F.lit("EQ")))
+    indented = F.when(F.col("left_bent") & ~F.col("right_bent"), "LT").when(F.col("right_bent") & ~F.col("left_bent"), "GT")
+    covered = F.when(F.col("left_straight") & ~F.col("right_straight"), "LT").when(F.col("right_straight") & ~F.col("left_straight"), "GT")
+    return components.withColumn("preference", F.coalesce(by_discs, indented, covered, F.lit("EQ")))
 
 
 def density_distortion(area: DataFrame, points: DataFrame) -> DataFrame:

@@ -6,9 +6,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions.planar import affine, cover_radius_triangle, directed_angle, distance, round_half_up
+from .functions.planar import affine, cover_radius_triangle, directed_angle, distance, ring_area, ring_distance, round_half_up
 from .operators import banks, fields, hulls, pairs, sets, skeleton
 from .settings import PALETTE
+from .sources import drawing
 from .sources import points as src
 
 THETA = repr(skeleton.angle_limit())
@@ -320,13 +321,13 @@ def hyperedge_prune(spark: SparkSession, sf: str) -> DataFrame:
     return sets.prune_hyperedges(edges).select("edge_id", F.concat(F.lit("["), F.array_join("origins", ", "), F.lit("]")).alias("origins"))
 
 
-PREF = "r AS (SELECT o_orderkey AS component_id, o_custkey % 4 AS left_discs, o_orderkey % 4 AS right_discs, o_custkey % 3 = 0 AS left_straight, o_orderkey % 5 = 0 AS right_straight, o_custkey % 2 = 0 AS can_indent FROM orders)"
+PREF = "r AS (SELECT o_orderkey AS component_id, o_custkey % 4 AS left_discs, o_orderkey % 4 AS right_discs, o_custkey % 3 = 0 AS left_straight, o_orderkey % 5 = 0 AS right_straight, o_custkey % 2 = 0 AS left_bent, o_orderkey % 7 < 3 AS right_bent FROM orders)"
 
 
-@query(f"WITH {PREF} SELECT component_id, CASE WHEN left_discs < right_discs THEN 'LT' WHEN left_discs > right_discs THEN 'GT' WHEN left_straight AND NOT right_straight THEN 'LT' WHEN right_straight AND NOT left_straight THEN 'GT' ELSE 'EQ' END AS preference FROM r")
+@query(f"WITH {PREF} SELECT component_id, CASE WHEN left_discs < right_discs THEN 'LT' WHEN left_discs > right_discs THEN 'GT' WHEN left_bent AND NOT right_bent THEN 'LT' WHEN right_bent AND NOT left_bent THEN 'GT' WHEN left_straight AND NOT right_straight THEN 'LT' WHEN right_straight AND NOT left_straight THEN 'GT' ELSE 'EQ' END AS preference FROM r")
 def preference_resolve(spark: SparkSession, sf: str) -> DataFrame:
     o, c, k = src.table(spark, sf, "orders"), F.col("o_custkey"), F.col("o_orderkey")
-    r = o.select(k.alias("component_id"), (c % 4).alias("left_discs"), (k % 4).alias("right_discs"), (c % 3 == 0).alias("left_straight"), (k % 5 == 0).alias("right_straight"), (c % 2 == 0).alias("can_indent"))
+    r = o.select(k.alias("component_id"), (c % 4).alias("left_discs"), (k % 4).alias("right_discs"), (c % 3 == 0).alias("left_straight"), (k % 5 == 0).alias("right_straight"), (c % 2 == 0).alias("left_bent"), (k % 7 < 3).alias("right_bent"))
     return sets.resolve_preference(r).select("component_id", "preference")
 
 
@@ -339,9 +340,7 @@ def partition_edit(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""WITH {PTS} SELECT point_id, '<circle cx="' || {_sql_decimal('x')} || '" cy="' || {_sql_decimal('y')} || '" r="2.0"/>' AS svg FROM pts""")
 def svg_points(spark: SparkSession, sf: str) -> DataFrame:
-    from .sources.drawing import circle_tag
-
-    return src.pts(spark, sf).select("point_id", circle_tag(F.col("x"), F.col("y"), 2.0).alias("svg"))
+    return src.pts(spark, sf).select("point_id", drawing.circle_tag(F.col("x"), F.col("y"), 2.0).alias("svg"))
 
 
 @query(f"WITH {PTS} SELECT point_id, floor(x / 5 + 0.5) * 5 AS gx, floor(y / 5 + 0.5) * 5 AS gy, floor(x * 10 + 0.5) / 10 AS rx FROM pts")
@@ -352,7 +351,173 @@ def grid_snap(spark: SparkSession, sf: str) -> DataFrame:
 
 
 
-# Kernels: sequential or geometric loops that SQL can't express; the tests hold them against closed forms and properties.
+# Sources and sinks: what is written is read again.
+
+_R3 = "(floor(({0}) * 1000 + 0.5) / 1000)".format
+
+
+def _documents(elements: DataFrame) -> DataFrame:
+    """(dataset_id, z, ipe) -> one Ipe file a dataset, as the sources read them."""
+    return drawing.ipe_page(elements).select(F.col("dataset_id").alias("dataset"), F.col("document").alias("value"))
+
+
+@query(f"WITH {DS} SELECT dataset_id AS dataset, row_number() OVER (PARTITION BY dataset_id ORDER BY point_id) - 1 AS point_id, type, {_R3('x')} AS x, {_R3('y')} AS y FROM ds")
+def ipe_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """Points written as marks of Ipe drawings and read from them."""
+    marks = src.pts_ds(spark, sf).select("dataset_id", F.col("point_id").alias("z"), drawing.ipe_mark(F.col("x"), F.col("y"), F.col("type")).alias("ipe"))
+    return src.ipe_points(_documents(marks))
+
+
+BOXES = f"{DS}, bx AS (SELECT dataset_id, type, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM ds GROUP BY 1, 2), rb AS (SELECT dataset_id, type, {_R3('x0 - 7.25')} AS x0, {_R3('x1 + 7.25')} AS x1, {_R3('y0 - 7.25')} AS y0, {_R3('y1 + 7.25')} AS y1 FROM bx)"
+
+
+def _boxes(spark: SparkSession, sf: str) -> DataFrame:
+    """(dataset_id, type, x0, x1, y0, y1): each type's box, a little larger, on thousandths."""
+    b = src.pts_ds(spark, sf).groupBy("dataset_id", "type").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
+    return b.select("dataset_id", "type", *[round_half_up(F.col(c) + d).alias(c) for c, d in (("x0", -7.25), ("x1", 7.25), ("y0", -7.25), ("y1", 7.25))])
+
+
+def _box_ring(x0: str = "x0", y0: str = "y0", x1: str = "x1", y1: str = "y1") -> F.Column:
+    return F.array(*[F.struct(F.expr(x).alias("x"), F.expr(y).alias("y")) for x, y in ((x0, y0), (x1, y0), (x1, y1), (x0, y1))])
+
+
+@query(f"WITH {BOXES} SELECT dataset_id AS dataset, row_number() OVER (PARTITION BY dataset_id ORDER BY type) - 1 AS region_id, 'CART ' || (type + 1) AS color, TRUE AS closed, 4 AS corners, round((x1 - x0) * (y1 - y0), 4) AS area FROM rb")
+def ipe_regions_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """Boxes written as paths of Ipe drawings and read from them."""
+    paths = _boxes(spark, sf).select("dataset_id", F.col("type").alias("z"), drawing.ipe_box(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), F.col("type")).alias("ipe"))
+    return src.ipe_regions(_documents(paths)).select("dataset", "region_id", "color", "closed", F.size("ring").alias("corners"), F.round(F.abs(ring_area(F.col("ring"))), 4).alias("area"))
+
+
+PARSED = f"""{BOXES}, ho AS (SELECT dataset_id, type, {_R3('x0 + 0.3 * (x1 - x0)')} AS x0, {_R3('x1 - 0.3 * (x1 - x0)')} AS x1, {_R3('y0 + 0.3 * (y1 - y0)')} AS y0, {_R3('y1 - 0.3 * (y1 - y0)')} AS y1 FROM rb),
+p AS (SELECT dataset_id, type, {_R3('x')} AS x, {_R3('y')} AS y, row_number() OVER (PARTITION BY dataset_id ORDER BY point_id) - 1 AS point_id FROM ds),
+n AS (SELECT dataset_id, count(*) AS n FROM p GROUP BY 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY type) - 1 AS k FROM rb),
+i AS (SELECT r.dataset_id, r.k, p.point_id, p.type, r.x0, r.x1, r.y0, r.y1, p.x, p.y FROM r JOIN p ON p.dataset_id = r.dataset_id AND p.x > r.x0 AND p.x < r.x1 AND p.y > r.y0 AND p.y < r.y1),
+f AS (SELECT * FROM i WHERE NOT EXISTS (SELECT 1 FROM ho h WHERE h.dataset_id = i.dataset_id AND h.x0 > i.x0 AND h.x1 < i.x1 AND h.y0 > i.y0 AND h.y1 < i.y1 AND i.x > h.x0 AND i.x < h.x1 AND i.y > h.y0 AND i.y < h.y1)),
+m AS (SELECT * FROM f UNION ALL SELECT * FROM i WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.dataset_id = i.dataset_id AND f.k = i.k))"""
+
+
+@query(f"""WITH {PARSED} SELECT m.dataset_id, n.n + m.k AS shape_id, count(*) AS n_points, sum(point_id) AS ids, count(DISTINCT type) > 1 AS mixed FROM m JOIN n ON n.dataset_id = m.dataset_id GROUP BY m.dataset_id, n.n, m.k
+UNION ALL SELECT dataset_id, NULL, 1, point_id, FALSE FROM p WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.dataset_id = p.dataset_id AND m.point_id = p.point_id)""")
+def svg_parse(spark: SparkSession, sf: str) -> DataFrame:
+    """Drawings of points, regions and holes written as SVG and read again: regions with their members, points of none."""
+    from .sources import svg
+
+    b = _boxes(spark, sf)
+    h = b.select("dataset_id", "type", *[round_half_up(F.expr(e)).alias(c) for c, e in (("x0", "x0 + 0.3 * (x1 - x0)"), ("x1", "x1 - 0.3 * (x1 - x0)"), ("y0", "y0 + 0.3 * (y1 - y0)"), ("y1", "y1 - 0.3 * (y1 - y0)"))])
+    dots = src.pts_ds(spark, sf).select("dataset_id", F.col("point_id").alias("z"), F.concat(F.lit('<g stroke="#000000" fill="'), drawing.color_of(F.col("type")), F.lit('">'), drawing.circle_tag(F.col("x"), F.col("y"), 1.0), F.lit("</g>")).alias("svg"))
+    regions = b.select("dataset_id", (F.lit(1 << 40) + F.col("type")).alias("z"), drawing.path_tag(_box_ring(), F.col("type")).alias("svg"))
+    holes = h.select("dataset_id", (F.lit(1 << 41) + F.col("type")).alias("z"), F.concat(F.lit('<path d="'), drawing.path_data(_box_ring()), F.lit('" fill="#ffffff" stroke="none"/>')).alias("svg"))
+    files = drawing.render(dots.unionByName(regions).unionByName(holes)).select("dataset_id", F.col("document").alias("value"))
+    _, patterns = svg.parse_svg(files, 1.0, check_holes=True)
+    return patterns.select("dataset_id", "shape_id", F.size("point_ids").cast("long").alias("n_points"), F.aggregate("point_ids", F.lit(0).cast("long"), lambda s, i: s + i).alias("ids"), "mixed")
+
+
+@query(f"WITH {PTS}, c(i, r, g, b) AS (VALUES {', '.join(f'({i}, {r!r}::DOUBLE, {g!r}::DOUBLE, {b!r}::DOUBLE)' for i, (r, g, b) in enumerate(PALETTE))}), t AS (SELECT DISTINCT type FROM pts UNION ALL SELECT 40) SELECT type, coalesce(format('#{{:02x}}{{:02x}}{{:02x}}', CAST(round_even(255 * r, 0) AS INTEGER), CAST(round_even(255 * g, 0) AS INTEGER), CAST(round_even(255 * b, 0) AS INTEGER)), '#ffffff') AS color, coalesce(format('#{{:02x}}{{:02x}}{{:02x}}', CAST(round_even(255 * (r + (1 - r) * 0.7), 0) AS INTEGER), CAST(round_even(255 * (g + (1 - g) * 0.7), 0) AS INTEGER), CAST(round_even(255 * (b + (1 - b) * 0.7), 0) AS INTEGER)), '#ffffff') AS light FROM t LEFT JOIN c ON i = type")
+def type_colors(spark: SparkSession, sf: str) -> DataFrame:
+    t = src.pts(spark, sf).select("type").distinct().unionByName(spark.createDataFrame([(40,)], "type int"))
+    return t.select("type", drawing.color_of(F.col("type")).alias("color"), drawing.color_of(F.col("type"), 0.7).alias("light"))
+
+
+@query("SELECT o_orderkey AS request_id, CASE o_orderkey % 3 WHEN 0 THEN 'change_cover' WHEN 1 THEN 'draw' ELSE 'compute' END AS kind, CASE WHEN o_orderkey % 3 = 0 AND o_custkey % 5 > 0 THEN o_custkey / 4.0 END AS cover, CASE WHEN o_orderkey % 3 = 2 THEN o_custkey / 8.0 END AS p_size, CASE WHEN o_orderkey % 3 = 2 THEN 1 ELSE 0 END AS n_points, o_orderkey % 3 > 0 OR o_custkey % 5 > 0 AS valid FROM orders")
+def request_parse(spark: SparkSession, sf: str) -> DataFrame:
+    """Requests as JSON lines, decoded."""
+    from .plans.protocol import parse_requests
+
+    o, k, c = src.table(spark, sf, "orders"), F.col("o_orderkey"), F.col("o_custkey")
+    cover = F.when(k % 3 == 0, F.struct(F.lit("change_cover").alias("kind"), F.when(c % 5 > 0, c / 4.0).alias("cover")))
+    draw = F.struct(F.lit("draw").alias("kind"), F.lit(0.5).alias("whiten"))
+    point = F.struct(F.lit(1).alias("dataset_id"), k.alias("point_id"), F.lit(0).alias("type"), F.lit(1.5).alias("x"), F.lit(2.5).alias("y"))
+    compute = F.struct(F.lit("compute").alias("kind"), F.array(point).alias("points"), F.struct((c / 8.0).alias("p_size")).alias("settings"))
+    text = F.when(k % 3 == 0, F.to_json(cover)).when(k % 3 == 1, F.to_json(draw)).otherwise(F.to_json(compute))
+    r = parse_requests(o.select(k.alias("request_id"), text.alias("value")))
+    return r.select("request_id", "kind", "cover", F.col("settings.p_size").alias("p_size"), F.coalesce(F.size("points"), F.lit(0)).alias("n_points"), "valid")
+
+
+# Contours: kernels on rings whose results SQL can state.
+
+GROUPS = f"{DS}, gp AS (SELECT dataset_id, dataset_id * 100 + type AS g, point_id, x, y FROM ds)"
+GHULL = f"""{GROUPS}, ge AS (SELECT a.dataset_id, a.g, a.point_id AS p, a.x AS px, a.y AS py, b.x AS qx, b.y AS qy FROM gp a JOIN gp b ON a.g = b.g AND a.point_id <> b.point_id WHERE NOT EXISTS (SELECT 1 FROM gp r WHERE r.g = a.g AND ((b.x - a.x) * (r.y - a.y) - (b.y - a.y) * (r.x - a.x) > 1e-9 OR (abs((b.x - a.x) * (r.y - a.y) - (b.y - a.y) * (r.x - a.x)) <= 1e-9 AND r.point_id <> a.point_id AND r.point_id <> b.point_id AND (r.x - a.x) * (r.x - b.x) + (r.y - a.y) * (r.y - b.y) > 0)))),
+h3 AS (SELECT dataset_id, g FROM ge GROUP BY 1, 2 HAVING count(*) > 2), he AS (SELECT ge.* FROM ge SEMI JOIN h3 ON h3.g = ge.g),
+cx AS (SELECT a.dataset_id, a.g AS g1, b.g AS g2 FROM he a JOIN he b ON a.dataset_id = b.dataset_id AND a.g < b.g WHERE ((a.qx - a.px) * (b.py - a.py) - (a.qy - a.py) * (b.px - a.px)) * ((a.qx - a.px) * (b.qy - a.py) - (a.qy - a.py) * (b.qx - a.px)) < 0 AND ((b.qx - b.px) * (a.py - b.py) - (b.qy - b.py) * (a.px - b.px)) * ((b.qx - b.px) * (a.qy - b.py) - (b.qy - b.py) * (a.qx - b.px)) < 0)"""
+
+
+def _hulls(spark: SparkSession, sf: str) -> DataFrame:
+    """(dataset_id, g, ring): hulls with an area, of each dataset's types."""
+    p = src.pts_ds(spark, sf).select("point_id", "x", "y", (F.col("dataset_id") * 100 + F.col("type")).alias("g"))
+    return hulls.hulls(p, "g").where(F.size("ids") > 2).select(F.floor(F.col("g") / 100).alias("dataset_id"), "g", "ring")
+
+
+@query(f"WITH {GHULL}, vin AS (SELECT v.dataset_id, v.g AS g1, e.g AS g2 FROM he v JOIN he e ON v.dataset_id = e.dataset_id AND v.g <> e.g GROUP BY v.dataset_id, v.g, v.p, e.g HAVING bool_and((e.qx - e.px) * (v.py - e.py) - (e.qy - e.py) * (v.px - e.px) <= 0)), u AS (SELECT * FROM cx UNION SELECT dataset_id, least(g1, g2), greatest(g1, g2) FROM vin) SELECT DISTINCT dataset_id, g1, g2 FROM u")
+def contours_overlap(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of types of a dataset whose hulls overlap."""
+    from .sources.svg import rings_meet
+
+    h = _hulls(spark, sf)
+    one, two = h.select("dataset_id", F.col("g").alias("g1"), F.col("ring").alias("r1")), h.select("dataset_id", F.col("g").alias("g2"), F.col("ring").alias("r2"))
+    return one.join(two, "dataset_id").where("g1 < g2").where(rings_meet(F.col("r1"), F.col("r2"))).select("dataset_id", "g1", "g2")
+
+
+_TO_EDGE = "sqrt(power(v.x - (e.px + greatest(0, least(1, ((v.x - e.px) * (e.qx - e.px) + (v.y - e.py) * (e.qy - e.py)) / (power(e.qx - e.px, 2) + power(e.qy - e.py, 2)))) * (e.qx - e.px)), 2) + power(v.y - (e.py + greatest(0, least(1, ((v.x - e.px) * (e.qx - e.px) + (v.y - e.py) * (e.qy - e.py)) / (power(e.qx - e.px, 2) + power(e.qy - e.py, 2)))) * (e.qy - e.py)), 2))"
+
+
+@query(f"WITH {GHULL} SELECT v.point_id, v.g, round(min({_TO_EDGE}), 6) AS d FROM gp v JOIN he e ON e.g = v.g GROUP BY 1, 2")
+def contour_distance(spark: SparkSession, sf: str) -> DataFrame:
+    """Each point's distance from the outline of its own type's hull."""
+    p = src.pts_ds(spark, sf).select("point_id", "x", "y", (F.col("dataset_id") * 100 + F.col("type")).alias("g"))
+    return p.join(_hulls(spark, sf), "g").select("point_id", "g", r6(ring_distance(F.col("ring"), F.col("x"), F.col("y"))).alias("d"))
+
+
+@query(f"""WITH RECURSIVE {GHULL}, tie AS (SELECT DISTINCT g1 AS a, g2 AS b FROM cx UNION SELECT DISTINCT g2, g1 FROM cx), walk AS (SELECT g AS n, g AS c FROM h3 UNION SELECT tie.b, walk.c FROM walk JOIN tie ON walk.n = tie.a WHERE tie.b > walk.c), comp AS (SELECT n, min(c) AS c FROM walk GROUP BY n),
+v AS (SELECT dataset_id, count(*) AS k FROM cx GROUP BY 1), e AS (SELECT dataset_id, count(*) AS k FROM he GROUP BY 1), c AS (SELECT h3.dataset_id, count(DISTINCT comp.c) AS k FROM comp JOIN h3 ON h3.g = comp.n GROUP BY 1)
+SELECT e.dataset_id, coalesce(v.k, 0) AS n_vertices, e.k + 2 * coalesce(v.k, 0) AS n_edges, coalesce(v.k, 0) + c.k AS n_faces FROM e LEFT JOIN v ON v.dataset_id = e.dataset_id JOIN c ON c.dataset_id = e.dataset_id""")
+def arrangement_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Crossings, edges and faces of each dataset's hulls; the SQL counts faces by Euler's formula."""
+    from .operators.arrangement import counts
+
+    return counts(_hulls(spark, sf))
+
+
+@query(f"""WITH {GROUPS}, o AS (SELECT *, row_number() OVER w - 1 AS k, count(*) OVER (PARTITION BY g) AS n FROM gp WINDOW w AS (PARTITION BY g ORDER BY point_id)), s AS (SELECT a.g, a.k, a.n, a.x, a.y, b.x AS nx, b.y AS ny, atan2(b.y - a.y, b.x - a.x) AS h FROM o a JOIN o b ON b.g = a.g AND b.k = (a.k + 1) % a.n WHERE a.n > 2),
+t AS (SELECT s.*, z.h - s.h AS d FROM s JOIN s z ON z.g = s.g AND z.k = (s.k + 1) % s.n)
+SELECT g, round(abs(sum(x * ny - nx * y)) / 2, 5) AS area, round(sum(sqrt(power(nx - x, 2) + power(ny - y, 2))), 6) AS length, round(sum(abs(d - 2 * pi() * floor((d + pi()) / (2 * pi())))) - 2 * pi(), 6) AS curvature FROM t GROUP BY g""")
+def ring_measures(spark: SparkSession, sf: str) -> DataFrame:
+    """Area, length and total absolute curvature of the rings through the points of each dataset's types."""
+    from .operators.metrics import ring_measures as measures
+
+    p = src.pts_ds(spark, sf).select((F.col("dataset_id") * 100 + F.col("type")).alias("g"), F.struct("point_id", "x", "y").alias("p"))
+    rings = p.groupBy("g").agg(F.transform(F.array_sort(F.collect_list("p")), lambda c: F.struct(c["x"].alias("x"), c["y"].alias("y"))).alias("ring")).where(F.size("ring") > 2)
+    return measures(rings, "g").select("g", F.round("area", 5).alias("area"), r6("length").alias("length"), r6("curvature").alias("curvature"))
+
+
+_XS = "SELECT dataset_id, x0 AS v FROM rb UNION SELECT dataset_id, x1 FROM rb"
+_YS = "SELECT dataset_id, y0 AS v FROM rb UNION SELECT dataset_id, y1 FROM rb"
+DEPTHS = f"{BOXES}, xs AS (SELECT dataset_id, v, lead(v) OVER (PARTITION BY dataset_id ORDER BY v) AS w FROM ({_XS})), ys AS (SELECT dataset_id, v, lead(v) OVER (PARTITION BY dataset_id ORDER BY v) AS w FROM ({_YS})), dp AS (SELECT xs.dataset_id, (xs.w - xs.v) * (ys.w - ys.v) AS a, (SELECT count(*) FROM rb WHERE rb.dataset_id = xs.dataset_id AND rb.x0 <= xs.v AND rb.x1 >= xs.w AND rb.y0 <= ys.v AND rb.y1 >= ys.w) AS depth FROM xs JOIN ys ON ys.dataset_id = xs.dataset_id WHERE xs.w IS NOT NULL AND ys.w IS NOT NULL)"
+
+
+@query(f"WITH {DEPTHS} SELECT dataset_id, round(sum(CASE WHEN depth > 0 THEN a ELSE 0 END), 3) AS any_area, round(sum(CASE WHEN depth > 1 THEN a ELSE 0 END), 3) AS many_area, round(sum(CASE WHEN depth % 2 = 1 THEN a ELSE 0 END), 3) AS odd_area, round(sum(CASE WHEN depth > 0 THEN a ELSE 0 END) - sum(CASE WHEN depth > 1 THEN a ELSE 0 END), 3) AS one_area FROM dp GROUP BY 1")
+def box_booleans(spark: SparkSession, sf: str) -> DataFrame:
+    """Areas of Boolean combinations of each dataset's boxes: covered by any, by several, by an odd number, by just one."""
+    from .operators.metrics import boolean_areas
+
+    areas = boolean_areas(_boxes(spark, sf).select("dataset_id", _box_ring().alias("ring")))
+    return areas.select("dataset_id", *[F.round(c, 3).alias(c) for c in ("any_area", "many_area", "odd_area", "one_area")])
+
+
+@query(f"""WITH {DS}, h AS (SELECT dataset_id, type, point_id, x, y, lead(x) OVER o AS nx, lead(y) OVER o AS ny, coalesce(sqrt(power(lead(x) OVER o - x, 2) + power(lead(y) OVER o - y, 2)), 0) AS hop, count(*) OVER (PARTITION BY dataset_id, type) AS n FROM ds WINDOW o AS (PARTITION BY dataset_id, type ORDER BY point_id)),
+c AS (SELECT *, sum(hop) OVER (PARTITION BY dataset_id, type ORDER BY point_id) - hop AS sofar, sum(hop) OVER (PARTITION BY dataset_id, type) AS total FROM h WHERE n > 1),
+q AS (SELECT dataset_id, type, total, s, x + (nx - x) * (s * total - sofar) / hop AS px, y + (ny - y) * (s * total - sofar) / hop AS py FROM c, (SELECT unnest([0.25, 0.75])::DOUBLE AS s) WHERE hop > 0 AND sofar <= s * total AND s * total < sofar + hop)
+SELECT dataset_id, type, round(any_value(total) / 2, 6) AS length, round(max(CASE WHEN s = 0.25 THEN px END), 6) + 0.0 AS x0, round(max(CASE WHEN s = 0.25 THEN py END), 6) + 0.0 AS y0, round(max(CASE WHEN s = 0.75 THEN px END), 6) + 0.0 AS x1, round(max(CASE WHEN s = 0.75 THEN py END), 6) + 0.0 AS y1 FROM q GROUP BY 1, 2""")
+def bank_middle(spark: SparkSession, sf: str) -> DataFrame:
+    """The middle half of each bank: its length and ends."""
+    from .operators.banks import part_between
+
+    m = part_between(src.pts_ds(spark, sf), 0.25, 0.75)
+    return m.select("dataset_id", "type", *[r6(c).alias(c) for c in ("length", "x0", "y0", "x1", "y1")])
+
+
+# Kernels: sequential or geometric loops that SQL can't express; the tests hold them against brute force, closed forms and
+# properties.
 
 SMALL = {"p_size": 4.0, "cover": 4.0}
 
@@ -367,7 +532,7 @@ def _settings(**more):
 def grow_history(spark: SparkSession, sf: str) -> DataFrame:
     from .operators.growth import grow
 
-    return grow(src.pts_ds(spark, sf), _settings(postpone_intersections=False))
+    return grow(src.pts_ds(spark, sf), _settings())
 
 
 @query()
@@ -422,11 +587,23 @@ def augmented_forest(spark: SparkSession, sf: str) -> DataFrame:
     return skeleton.forest(skeleton.beta_skeleton(src.pts_ds(spark, sf), keys=("dataset_id",)), augment=True)
 
 
-@query()
+_GAP = "sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y))"
+#: Each step stops the discs whose next event is the dataset's earliest.
+DISCS = f"""WITH RECURSIVE {DS}, d AS (SELECT dataset_id, point_id, type, x, y, CASE type WHEN 0 THEN 30.0::DOUBLE ELSE 20.0::DOUBLE END AS most FROM ds WHERE type IN (0, 1)),
+g AS (SELECT p.dataset_id, p.point_id AS p, q.point_id AS q, {_GAP} AS gap FROM d p JOIN d q ON p.dataset_id = q.dataset_id AND p.type <> q.type),
+grow AS (SELECT dataset_id, point_id, type, most, NULL::DOUBLE AS radius, 0 AS step FROM d UNION ALL
+SELECT w.dataset_id, w.point_id, w.type, w.most, CASE WHEN w.radius IS NULL AND w.due = min(w.due) OVER (PARTITION BY w.dataset_id) THEN w.due ELSE w.radius END, w.step + 1 FROM (
+SELECT a.dataset_id, a.point_id, a.type, a.most, a.radius, a.step, CASE WHEN a.radius IS NULL THEN least(a.most, coalesce(min(CASE WHEN b.radius IS NULL THEN g.gap / 2 ELSE greatest(g.gap - b.radius, 0) END), a.most)) END AS due
+FROM grow a LEFT JOIN g ON g.dataset_id = a.dataset_id AND g.p = a.point_id LEFT JOIN grow b ON b.dataset_id = a.dataset_id AND b.point_id = g.q GROUP BY a.dataset_id, a.point_id, a.type, a.most, a.radius, a.step) w
+WHERE EXISTS (SELECT 1 FROM grow c WHERE c.radius IS NULL))
+SELECT dataset_id, point_id, type, round(max(radius), 6) AS radius FROM grow GROUP BY ALL"""
+
+
+@query(DISCS)
 def two_color_discs(spark: SparkSession, sf: str) -> DataFrame:
     from .operators.circles import grow_discs
 
-    return grow_discs(src.pts_ds(spark, sf), 0, 1, 30.0, 20.0)
+    return grow_discs(src.pts_ds(spark, sf), 0, 1, 30.0, 20.0).withColumn("radius", r6("radius"))
 
 
 @query()

@@ -1,6 +1,7 @@
 """Every registered query of the core runs; those with SQL give the same rows as DuckDB."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 from pointweave import registry
@@ -9,7 +10,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 
 def rows_of(pdf, cols):
-    plain = lambda v: None if v is None or v != v else float(v) if isinstance(v, int | float) and not isinstance(v, bool) else str(v) if not hasattr(v, "dtype") else v.item()
+    plain = lambda v: None if v is None or v is pd.NA or v != v else float(v) if isinstance(v, int | float) and not isinstance(v, bool) else str(v) if not hasattr(v, "dtype") else v.item()
     return sorted((tuple(plain(v) for v in row) for row in pdf[cols].astype(object).values.tolist()), key=str)
 
 
