@@ -9,8 +9,8 @@ below a rank bound are needed, whatever the number of shingles; documents with a
 Joining. Equal texts are one node. Nodes that agree on a band of coordinates share a bucket. Every node is checked
 with its buckets' least nodes (no pairs within a bucket), exactly, on the whole texts' shingles. Links make components.
 Nodes that buckets connect make a cluster; a cluster that fits in a tile is a group. Of a larger one, which may be a long
-chain of buckets, all nodes that have a bucket with the same least node make a group, which is never such a chain.
-Where a group has several components, the nodes outside its largest one are compared with all
+chain of buckets, all nodes that have a bucket with the same least node make a group, which is never such a chain. Small
+groups are put together by hash, as far as a tile goes. Where a group has several components, the nodes outside its largest one are compared with all
 of the group, exactly, in tiles of bounded size that give only the links that connect components. So every pair that
 shares a bucket is checked, or its nodes are in one component already, and no step has a row for each pair.
 
@@ -39,6 +39,8 @@ TILE = 512
 TILE_SHINGLES = 200_000
 #: Cells of the dart board that are looked at once.
 CELLS = 1 << 18
+#: Shingles with more pairs of entries in a tile are counted by a product of matrices.
+OFTEN = 2000
 #: A key is hot if it holds more than one in so many rows.
 HOT = 1000
 #: How many darts fall on a unit of area: the distribution with mean 1, cumulated.
@@ -213,18 +215,39 @@ def _check(pairs: DataFrame, texts: DataFrame, words: int, least: float, weighti
 def cross_links(first: pa.Array, second: pa.Array, comp_a: list, comp_b: list, words: int, least: float, weighting: str) -> list[tuple[int, int]]:
     """(place in first, place in second) of similar texts that connect different components; only as many as connect.
 
-    Similarities are exact: shingles that both sides have are columns of two matrices, whose product counts them.
+    Similarities are exact: all shingles that both sides have are counted for all pairs.
     """
     (ta, ha, na), (tb, hb, nb) = (_counted(*shingles(Scan(x), words)) for x in (first, second))
     if weighting != "count":
         na, nb = np.ones(len(ta), np.int64), np.ones(len(tb), np.int64)
     size_a, size_b = np.bincount(ta, na, len(first)), np.bincount(tb, nb, len(second))
     common = np.intersect1d(ha, hb)
-    both = np.zeros((len(first), len(second)))
+    both = np.zeros(len(first) * len(second))
     keep_a, keep_b = np.isin(ha, common), np.isin(hb, common)
     ca, cb = np.searchsorted(common, ha[keep_a]), np.searchsorted(common, hb[keep_b])
     ra, rb, wa, wb = ta[keep_a], tb[keep_b], na[keep_a], nb[keep_b]
-    for lo in range(0, len(common), 4096):
+    times_b = np.bincount(cb, minlength=len(common))
+    often = np.bincount(ca, minlength=len(common)) * times_b > OFTEN
+    # Rare shingles: each of the first side's entries meets the second's of the same shingle.
+    some = np.flatnonzero(~often[ca])
+    order = np.argsort(cb, kind="stable")
+    begin = np.cumsum(times_b) - times_b
+    ends = np.cumsum(times_b[ca[some]])
+    lo = 0
+    while lo < len(some):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + (1 << 20), "right")))
+        entry = some[lo:hi]
+        n = times_b[ca[entry]]
+        other = order[np.repeat(begin[ca[entry]] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        entry = np.repeat(entry, n)
+        both += np.bincount(ra[entry].astype(np.int64) * len(second) + rb[other], np.minimum(wa[entry], wb[other]), len(both))
+        lo = hi
+    both = both.reshape(len(first), len(second))
+    # Frequent ones are columns of two matrices, whose product counts them.
+    place = np.cumsum(often) - 1
+    many_a, many_b = often[ca], often[cb]
+    ca, ra, wa, cb, rb, wb = place[ca[many_a]], ra[many_a], wa[many_a], place[cb[many_b]], rb[many_b], wb[many_b]
+    for lo in range(0, int(often.sum()), 4096):
         ma, mb = ((c >= lo) & (c < lo + 4096) for c in (ca, cb))
         top = int(max(wa[ma].max(initial=1), wb[mb].max(initial=1)))
         for level in range(1, top + 1):  # the sum over levels of "has at least so many" products is the sum of minima
@@ -261,14 +284,20 @@ def _tiled_links(shared: DataFrame, found: DataFrame, texts: DataFrame, words: i
     size = node.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w"), F.min("c").alias("least"), F.max("c").alias("most"))
     size = scratch.write(size.where("least != most").select("cluster", ((F.col("n") <= TILE) & (F.col("w") <= TILE_SHINGLES)).alias("small")), "dup-sizes-of-clusters")
     open_ = scratch.write(lookup(node, size, "cluster"), "dup-open")
+    scratch.drop(node)
     large = shared.join(open_.where("not small").select("key", "weight", "c"), "key").select("key", F.col("leader").alias("s"), "weight", "c")
-    every_member = scratch.write(open_.where("small").select("key", F.col("cluster").alias("s"), "weight", "c").unionByName(large), "dup-members")
-    scratch.drop(node, size, open_)
-    node = every_member
+    member = scratch.write(open_.where("small").select("key", F.col("cluster").alias("s"), "weight", "c").unionByName(large), "dup-members")
+    group = member.groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w"))
+    group = scratch.write(group.withColumn("small", (F.col("n") <= TILE / 2) & (F.col("w") <= TILE_SHINGLES / 2)), "dup-groups")
+    all_ = group.where("small").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("w"), F.lit(0)).alias("w")).first()
+    bins = max(1, math.ceil(all_["n"] / (TILE * 0.8)), math.ceil(all_["w"] / (TILE_SHINGLES * 0.8)))
+    put = F.when(F.col("small"), F.unhex(F.lpad(F.hex(F.pmod(F.xxhash64("s"), F.lit(bins))), 16, "0"))).otherwise(F.col("s"))
+    node = scratch.write(lookup(member, group.select("s", put.alias("bin")), "s").select("key", "weight", "c", F.col("bin").alias("s")).distinct(), "dup-binned")
+    scratch.drop(size, open_, member, group)
     per = node.groupBy("s", "c").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w"))
     whole = per.groupBy("s").agg(F.count(F.lit(1)).alias("parts"), F.max_by("c", F.struct("n", "c")).alias("main"), F.sum("n").alias("n"), F.sum("w").alias("w"), F.max("n").alias("main_n"), F.max_by("w", F.struct("n", "c")).alias("main_w")).where("parts > 1")
     tiles = lambda n, w: F.greatest(F.ceil(n / TILE), F.ceil(w / TILE_SHINGLES), F.lit(1)).cast("int")
-    whole = scratch.write(whole.select("s", "main", tiles(F.col("n"), F.col("w")).alias("all_tiles"), tiles(F.col("n") - F.col("main_n"), F.col("w") - F.col("main_w")).alias("out_tiles")), "dup-groups")
+    whole = scratch.write(whole.select("s", "main", tiles(F.col("n"), F.col("w")).alias("all_tiles"), tiles(F.col("n") - F.col("main_n"), F.col("w") - F.col("main_w")).alias("out_tiles")), "dup-tiles")
     member = lookup(node, whole, "s")
     spread = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -285,6 +314,8 @@ def _tiled_links(shared: DataFrame, found: DataFrame, texts: DataFrame, words: i
         a, b = one.column("key").to_pylist(), two.column("key").to_pylist()
         return pa.table({"a": pa.array([a[i] for i, _ in links], pa.binary()), "b": pa.array([b[j] for _, j in links], pa.binary())})
 
+    # A tile takes long for its bytes, by which adaptive execution would put tiles together; a named number stays.
+    rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "s", "i", "j")
     links = scratch.write(rows.groupBy("s", "i", "j").applyInArrow(run, "a binary, b binary"), "dup-links2")
     scratch.drop(node, whole)
     return links
