@@ -1,9 +1,9 @@
 """Token counts under a unigram vocabulary, by dynamic programming over a trie of distinct pre-tokens.
 
 The best segmentation of a prefix doesn't depend on what follows it, so its forward score is computed once for each
-node of a trie of the pre-tokens that are new in a slice of texts: of those, words that share a prefix share its scores.
-Only the words' counts and scores are kept for later slices;
-a text's count is the sum over its words.
+node of a trie of pre-tokens: words that share a prefix share its scores, whenever they come. A node that ends a word is
+terminal and has the word's count and score; a text's count is the sum over its words. The trie lives in a Python worker
+from task to task, and starts anew when it has a number of nodes, which costs time but changes nothing.
 
 The vocabulary is a public one with ranked pieces; a piece's score is its logarithmic share under Zipf's law for its
 rank, so nothing is trained. A pre-token is a run of non-space characters with the vocabulary's word mark before it.
@@ -42,50 +42,53 @@ def vocabulary(path: str) -> tuple[dict[str, float], float, int]:
 
 
 class TrieCounter:
-    """Counts and scores of words, kept in a flat table until walks made a number of nodes; then it starts anew, which only costs time."""
+    """A trie of pre-tokens with a forward score and token count in each node.
 
-    def __init__(self, path: str, nodes: int = 1_500_000):
+    Nodes are numbered; `child` holds the edges as (node, character) -> node, packed into one integer. `terminal` leads
+    from a word to its node, so words met before aren't walked again.
+    """
+
+    def __init__(self, path: str, nodes: int = 600_000):
         self.scores, self.byte_score, self.longest = vocabulary(path)
         self.nodes = nodes
+        self._clear()
+
+    def _clear(self) -> None:
+        self.child: dict[int, int] = {}
+        self.score, self.count = [0.0], [0]
         self.terminal: dict[str, int] = {}
-        self.count: list[int] = []
-        self.score: list[float] = []
-        self.made = 0
+        self.computed = 0
 
     def add(self, words: list[str]) -> None:
-        """Insert words that aren't in the trie yet.
-
-        In sorted order the words are a walk of their trie: the part shared with the word before is the path from
-        the root that stays open, and the forward scores along it are those already computed.
-        """
-        get, longest, byte_score = self.scores.get, self.longest, self.byte_score
-        best, tokens, before = [0.0], [0], ""
-        for word in sorted(words):
+        """Insert words: walk along the nodes that are there, and compute the scores of those that aren't."""
+        get, longest, byte_score, child, score, count = self.scores.get, self.longest, self.byte_score, self.child, self.score, self.count
+        for word in words:
             marked = MARK + word
-            shared, most = 0, min(len(before), len(marked))
-            while shared < most and before[shared] == marked[shared]:
-                shared += 1
-            del best[shared + 1 :], tokens[shared + 1 :]
-            for end in range(shared + 1, len(marked) + 1):
-                n_bytes = len(marked[end - 1].encode("utf-8", "surrogatepass"))
-                score, count = best[end - 1] + n_bytes * byte_score, tokens[end - 1] + n_bytes
-                for begin in range(max(0, end - longest), end):
-                    if (s := get(marked[begin:end])) is not None:
-                        s += best[begin]
-                        if s > score or (s == score and tokens[begin] + 1 < count):
-                            score, count = s, tokens[begin] + 1
-                best.append(score)
-                tokens.append(count)
-            self.made += len(marked) - shared
-            before = marked
-            self.terminal[word] = len(self.count)
-            self.count.append(tokens[-1])
-            self.score.append(best[-1])
+            path = [0]  # the node of each prefix
+            node = 0
+            for end, c in enumerate(marked, 1):
+                edge = (node << 21) | ord(c)
+                found = child.get(edge)
+                if found is None:
+                    n_bytes = len(c.encode("utf-8", "surrogatepass"))
+                    best, tokens = score[node] + n_bytes * byte_score, count[node] + n_bytes
+                    for begin in range(max(0, end - longest), end):
+                        if (s := get(marked[begin:end])) is not None:
+                            s += score[path[begin]]
+                            if s > best or (s == best and count[path[begin]] + 1 < tokens):
+                                best, tokens = s, count[path[begin]] + 1
+                    found = child[edge] = len(score)
+                    score.append(best)
+                    count.append(tokens)
+                    self.computed += 1
+                node = found
+                path.append(node)
+            self.terminal[word] = node
 
     def texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each text: pre-tokens, tokens, score."""
-        if self.made > self.nodes:
-            self.terminal, self.count, self.score, self.made = {}, [], [], 0
+        if len(self.score) > self.nodes:
+            self._clear()
         every, sizes = [], np.zeros(len(texts), np.int64)
         for i, t in enumerate(texts):
             own = t.split()
@@ -94,12 +97,13 @@ class TrieCounter:
         get = self.terminal.get
         where = np.fromiter((get(w, -1) for w in every), np.int64, len(every))
         if (new := np.flatnonzero(where < 0)).size:
-            self.add(list({every[i] for i in new}))
+            self.add(list(dict.fromkeys([every[i] for i in new])))
             where[new] = np.fromiter((get(every[i]) for i in new), np.int64, len(new))
         bounds = np.concatenate([[0], np.cumsum(sizes)])
-        tokens = np.concatenate([[0], np.cumsum(np.array(self.count, np.int64)[where])]) if len(every) else np.zeros(1, np.int64)
+        used, place = np.unique(where, return_inverse=True)
+        tokens = np.concatenate([[0], np.cumsum(np.fromiter(map(self.count.__getitem__, used.tolist()), np.int64, len(used))[place])])
         of = np.repeat(np.arange(len(texts)), sizes)
-        score = np.bincount(of, np.array(self.score)[where], len(texts)) if len(every) else np.zeros(len(texts))
+        score = np.bincount(of, np.fromiter(map(self.score.__getitem__, used.tolist()), float, len(used))[place], len(texts))
         return sizes, tokens[bounds[1:]] - tokens[bounds[:-1]], score
 
 
