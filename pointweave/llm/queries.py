@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import language_id, quality_classifier, quality_rules
-from .base import table
-from .mixing import mix
+from .base import new_path, table
+from .mixing import mix, targets, word_count
 from .near_duplicates import classes
 from .nearest import search
 from .packing import pack
-from .sharding import shard
+from .sharding import load_map, rebalance, record_size, save_map, shard
 from .token_counts import count_tokens
 from .token_store import round_trip
 
@@ -60,6 +60,32 @@ def op10_collision_counting_search(spark: SparkSession, sf_dir: str) -> DataFram
     return search(table(spark, sf_dir, "embeddings"))
 
 
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's size, its source's, and its source's target."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    goal = targets(docs.groupBy("source").agg(F.sum("size").alias("source_size"))).select(F.col("source").alias("s"), "source_size", F.round("target", 4).alias("target"))
+    return docs.join(F.broadcast(goal), F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "size", "source_size", "target")
+
+
+def rule_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's base statistics and whether it fails the base rules."""
+    return quality_rules.document_statistics(table(spark, sf_dir, "documents")).select("doc_id", *quality_rules.BASE, (F.expr(f"n_words < {quality_rules.MIN_WORDS} or 100 * n_repeat_words > {quality_rules.MAX_REPEAT_PERCENT} * n_words")).alias("base_failed"))
+
+
+def record_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's size as a record of a shard."""
+    return table(spark, sf_dir, "documents").select("doc_id", record_size(F.col("text")).alias("size"))
+
+
+def slot_map_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The map of 40 shards stored as version 1, that of 41 as version 2: vslot, bytes, shard, grown_shard."""
+    path = new_path(spark, "slot-map")
+    _, put = shard(table(spark, sf_dir, "documents"), shards=40, path=path)
+    save_map(rebalance(put, 41), path)
+    return load_map(spark, path, 1).join(load_map(spark, path).select("vslot", F.col("shard").alias("grown_shard")), "vslot").select("vslot", "bytes", "shard", "grown_shard")
+
+
+#: The opN_ queries, one an operator; then parts of them that SQL can state, and how a slot map grows.
 QUERIES = {
     f.__name__: f
     for f in (
@@ -73,6 +99,25 @@ QUERIES = {
         op8_boosted_rules,
         op9_compression_classifier,
         op10_collision_counting_search,
+        mixing_targets,
+        rule_statistics,
+        record_sizes,
+        slot_map_growth,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
+
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+_RAISED = "sum(cap) OVER (ORDER BY ratio, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+ORACLE_SQL: dict[str, str] = {
+    "mixing_targets": f"""WITH d AS (SELECT doc_id, source, CAST(len({_WORDS}) AS BIGINT) AS size FROM documents), s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1 AS k FROM d GROUP BY source),
+w AS (SELECT *, [5.0, 2.0, 1.0][k % 3 + 1]::DOUBLE AS w, 2.0::DOUBLE * source_size AS cap, 2.0::DOUBLE * source_size / [5.0, 2.0, 1.0][k % 3 + 1]::DOUBLE AS ratio FROM s),
+l AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce({_RAISED}, 0)) / sum(w) OVER (ORDER BY ratio, k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w), r AS (SELECT arg_min(level, ratio) AS level FROM l WHERE level < ratio)
+SELECT d.doc_id, d.size, w.source_size, round(least(w.cap, coalesce(r.level * w.w, w.cap)), 4) AS target FROM d JOIN w ON d.source IS NOT DISTINCT FROM w.source, r""",
+    "rule_statistics": f"""WITH d AS (SELECT doc_id, row_number() OVER () AS i, coalesce(text, '') AS text, {_WORDS} AS w FROM documents),
+g AS (SELECT i, k, array_to_string(w[k : k + 7], ' ') AS g FROM (SELECT i, w, unnest(range(1, len(w) - 6)) AS k FROM d WHERE len(w) > 7)), h AS (SELECT i, k, count(*) OVER (PARTITION BY i, g) AS n FROM g),
+c AS (SELECT i, count(DISTINCT place) AS n FROM (SELECT i, unnest(range(k, k + 8)) AS place FROM h WHERE n > 1) GROUP BY i),
+l AS (SELECT i, count(*) - count(DISTINCT line) AS n FROM (SELECT i, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY i),
+b AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\\x20\\x09-\\x0D]+', '', 'g')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(l.n, 0) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words FROM d LEFT JOIN l ON l.i = d.i LEFT JOIN c ON c.i = d.i)
+SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM b""",
+    "record_sizes": "SELECT doc_id, CAST(coalesce(octet_length(encode(text)), 0) + 16 AS BIGINT) AS size FROM documents",
+}
