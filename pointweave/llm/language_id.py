@@ -274,8 +274,11 @@ def train(docs: DataFrame, sample: int = 4000, most_grams: int = 60_000, held=he
                 yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([grams[k] for k in keys], pa.int64())], names=["lang", "gram", "n"])
 
     counts = picked.mapInArrow(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).where("n > 1")
-    top = counts.withColumn("__i", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("__i") <= most_grams).drop("__i")
-    rows = top.collect()
+    # A language's grams are bounded by the sample; the cut is made within hashed parts first, then for each language.
+    top = counts.withColumn("part", F.pmod(F.xxhash64("gram"), F.lit(64)))
+    for keys in (["lang", "part"], ["lang"]):
+        top = top.withColumn("__i", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("n"), "gram"))).where(F.col("__i") <= most_grams).drop("__i")
+    rows = top.drop("part").collect()
     languages = sorted({r["lang"] for r in rows})
     at = {x: i for i, x in enumerate(languages)}
     grams = {g: i for i, g in enumerate(sorted({r["gram"] for r in rows if r["gram"][0] != "#"}))}
