@@ -175,8 +175,10 @@ def _settle(rounded: DataFrame, seed: int, rounds: int = 3, most: int = 256) ->
         open_ = open_.join(limits, F.col("source").eqNullSafe(F.col("__c")), "left").withColumn("__turned", F.col("__turned") | F.coalesce(now, F.lit(False))).drop(*limits.columns)
         used = c.select(F.col("__g").alias("__c"), "used")
         left = materialize(left.join(used, F.col("__g").eqNullSafe(F.col("__c")), "left").select("__g", "__wanted", (F.col("__left") - F.coalesce("used", F.lit(0))).alias("__left")), f"mix-left{k}")
-    first = Window.partitionBy("source").orderBy("__u", "id")
-    some = fitting(open_, left).withColumn("__i", F.row_number().over(first)).where(F.col("__i") <= most)
+    # The first `most` of each source in random order: of each of 64 slices of that order's numbers, then of the source.
+    some = fitting(open_, left).withColumn("__slice", F.pmod(F.floor(F.col("__u") * (1 << 20)), F.lit(64)))
+    for keys in (["source", "__slice"], ["source"]):
+        some = some.withColumn("__i", F.row_number().over(Window.partitionBy(*keys).orderBy("__u", "id"))).where(F.col("__i") <= most).drop("__i")
     ordered = F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("neg"), "__u", "id")))
     kind = "array<struct<doc_id:bigint,size:bigint,copy_no:bigint>>"
 
