@@ -45,7 +45,7 @@ def segment_distance(px, py, ax, ay, bx, by) -> Column:
 def angle_between(vx, vy, wx, wy) -> Column:
     """The angle of two vectors, 0 to pi; null if one has no length. The cosine is kept within -1 to 1."""
     lengths = F.sqrt(vx * vx + vy * vy) * F.sqrt(wx * wx + wy * wy)
-    return F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(vx * wx + vy * wy, lengths))))
+    return F.when(lengths > 0, F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(vx * wx + vy * wy, lengths)))))
 
 
 def directed_angle(vx, vy, wx, wy) -> Column:

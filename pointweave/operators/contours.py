@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.planar import ring_area, ring_contains
+from ..plans.storage import cut_lineage, side_by_side
 from .fields import potential_grid
+from .grids import within_boxes
 
 
 def march(values: dict[tuple[int, int], float], step: float, outside: float) -> list[np.ndarray]:
@@ -54,12 +56,13 @@ def zero_contours(points: DataFrame, step: float = 2.5, influence: float = 60.0,
         rings = [r for r in march(values, step, -t) if len(r) > 2]
         return pd.DataFrame({"type": pdf["type"].iloc[0], "contour_id": range(len(rings)), "ring": pd.Series([[{"x": float(x), "y": float(y)} for x, y in r] for r in rings], dtype=object)})
 
-    found = potential_grid(points, step, influence, vertex).groupBy("type").applyInPandas(run, "type int, contour_id int, ring array<struct<x:double,y:double>>")
-    found = found.withColumn("area", F.abs(ring_area(F.col("ring"))))
+    grid = potential_grid(points, step, influence, vertex)
+    found = side_by_side(grid, "type").groupBy("type").applyInPandas(run, "type int, contour_id int, ring array<struct<x:double,y:double>>")
+    found = cut_lineage(found).withColumn("area", F.abs(ring_area(F.col("ring"))))
     return found if most_area is None else found.where(F.col("area") < most_area)
 
 
 def contour_members(points: DataFrame, contours: DataFrame) -> DataFrame:
-    """(type, contour_id, point_id): points of the type within a contour."""
-    c = contours.select(F.col("type").alias("t"), "contour_id", "ring")
-    return points.join(c, F.col("type") == F.col("t")).where(ring_contains(F.col("ring"), F.col("x"), F.col("y"))).select("type", "contour_id", "point_id")
+    """(type, contour_id, point_id): points of the type within a contour, looked up by the cells of the contours' boxes."""
+    c = contours.select("type", "contour_id", "ring")
+    return within_boxes(points.select("type", "point_id", "x", "y"), c, ("type",)).where(ring_contains(F.col("ring"), F.col("x"), F.col("y"))).select("type", "contour_id", "point_id")

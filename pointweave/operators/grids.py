@@ -73,3 +73,19 @@ def mixed_cells(points: DataFrame, levels: Levels) -> DataFrame:
     every = F.explode(F.sequence(F.lit(0), F.lit(levels.top + 3))).alias("level")
     each = points.select("type", "x", "y", every).select("type", "level", cell(F.col("x"), levels.side_of(F.col("level"))).alias("cx"), cell(F.col("y"), levels.side_of(F.col("level"))).alias("cy"))
     return each.distinct().groupBy("level", "cx", "cy").agg(F.collect_set("type").alias("types")).where(F.size("types") > 1)
+
+
+def within_boxes(points: DataFrame, rings: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Points (x, y) with the rings (ring, ...) of equal keys whose boxes hold them.
+
+    Rings are dealt to the cells of their boxes, 17 squared at most, as cells are a sixteenth of the widest box.
+    """
+    xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
+    boxed = rings.select("*", F.array_min(xs).alias("__x0"), F.array_max(xs).alias("__x1"), F.array_min(ys).alias("__y0"), F.array_max(ys).alias("__y1"))
+    widest = boxed.agg(F.greatest(F.max(F.col("__x1") - F.col("__x0")), F.max(F.col("__y1") - F.col("__y0")))).first()[0]
+    side = max(float(widest or 0.0), 1e-9) / 16
+    span = lambda lo, hi: F.explode(F.sequence(cell(F.col(lo), side), cell(F.col(hi), side)))
+    dealt = boxed.withColumn("__cx", span("__x0", "__x1")).withColumn("__cy", span("__y0", "__y1"))
+    at = points.select("*", cell(F.col("x"), side).alias("__cx"), cell(F.col("y"), side).alias("__cy"))
+    box = F.col("x").between(F.col("__x0"), F.col("__x1")) & F.col("y").between(F.col("__y0"), F.col("__y1"))
+    return at.join(dealt, [*keys, "__cx", "__cy"]).where(box).drop("__cx", "__cy", "__x0", "__x1", "__y0", "__y1")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.planar import EPS, cross, distance, ring_area, ring_length
+from .grids import within_boxes
 
 
 def hull_of(points: list[tuple]) -> list[tuple]:
@@ -60,14 +61,11 @@ def hull_measures(hull: DataFrame, by: str = "type") -> DataFrame:
 
 
 def points_in_hulls(points: DataFrame, hull: DataFrame, by: str = "type") -> DataFrame:
-    """(point_id, hull): points within or on each hull. Boxes are compared before the corners are."""
-    xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
-    h = hull.where(F.size("ring") > 2).select(F.col(by).alias("hull"), "ring", F.array_min(xs).alias("x0"), F.array_max(xs).alias("x1"), F.array_min(ys).alias("y0"), F.array_max(ys).alias("y1"))
+    """(point_id, hull): points within or on each hull. Points meet the hulls whose boxes hold them, by cell."""
     following = F.concat(F.slice("ring", 2, F.size("ring") - 1), F.slice("ring", 1, 1))
-    h = h.withColumn("sides", F.arrays_zip(F.col("ring").alias("p"), following.alias("q")))
+    h = hull.where(F.size("ring") > 2).select(F.col(by).alias("hull"), "ring", F.arrays_zip(F.col("ring").alias("p"), following.alias("q")).alias("sides"))
     inside = F.forall("sides", lambda e: cross(e["p"]["x"], e["p"]["y"], e["q"]["x"], e["q"]["y"], F.col("x"), F.col("y")) <= EPS)
-    box = F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1"))
-    return points.join(h, box & inside).select("point_id", "hull")
+    return within_boxes(points.select("point_id", "x", "y"), h).where(inside).select("point_id", "hull")
 
 
 def spread(points: DataFrame, by: str) -> DataFrame:
