@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .base import worker_memory
-from .textscan import Scan, repeated, slices
+from .textscan import Scan, mix64, repeated, slices
 
 #: Fixed values of the base rules.
 SYMBOLS = "#*$%&|<>"
@@ -24,6 +24,8 @@ REPEAT_WINDOW = 8
 MAX_REPEAT_PERCENT = 30
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+#: Bytes of text that are measured at once (a longer text alone): that bounds a worker's memory.
+SLICE = 1 << 18
 #: Features of the trees, and the direction in which each may move the score (0: free).
 FEATURES = {"log_words": 0, "mean_word": 0, "symbol_rate": -1, "dup_line_rate": -1, "repeat_rate": -1, "upper_rate": -1, "digit_rate": -1, "punct_rate": 0, "distinct_rate": 0, "nonascii_rate": 0, "mean_line": 0, "long_words": 0}
 
@@ -43,21 +45,23 @@ def statistics(column: pa.Array) -> dict[str, np.ndarray]:
     s = Scan(column)
     n_words = s.n_words
     lead = (s.data & 0xC0) != 0x80  # a byte that begins a code point
-    out = {"n_words": n_words, "word_chars": s.per_text(s.word & lead), "n_symbols": s.per_text(_SYMBOL[s.data])}
+    chars = np.maximum(s.per_text(lead), 1)
+    lead &= s.word
+    out = {"n_words": n_words, "word_chars": s.per_text(lead), "n_symbols": s.per_text(_SYMBOL[s.data])}
+    del lead
     out["n_dup_lines"], n_lines = _duplicate_lines(s)
     at, text, h = s.windows(REPEAT_WINDOW)
     hit = at[repeated(text, h)]
-    edge = np.zeros(len(s.starts) + 1, np.int64)
-    np.add.at(edge, hit, 1)
-    np.add.at(edge, hit + REPEAT_WINDOW, -1)
-    covered = np.concatenate([[0], np.cumsum(np.cumsum(edge)[:-1] > 0)])
-    out["n_repeat_words"] = covered[s.first[1:]] - covered[s.first[:-1]]
-    w = s.word_hashes()
-    of = np.repeat(np.arange(s.n), n_words)
-    distinct = n_words - np.bincount(of[repeated(of, w)], minlength=s.n)
-    chars = np.maximum(s.per_text(lead), 1)
+    del at, text, h
+    edge = np.zeros(len(s.starts) + 1, np.int32)
+    edge[hit] += 1  # a window begins at a word once
+    edge[hit + REPEAT_WINDOW] -= 1
+    covered = (np.cumsum(edge, out=edge)[:-1] > 0).astype(np.int8)
+    per_words = lambda x: np.diff(np.concatenate([[0], np.cumsum(x, dtype=np.int64)])[s.first])
+    out["n_repeat_words"] = per_words(covered)
+    of = np.repeat(np.arange(s.n, dtype=np.int32), n_words)
+    distinct = n_words - per_words(~_first_of(of, s.word_hashes()))
     words = np.maximum(n_words, 1)
-    long_ = np.concatenate([[0], np.cumsum(s.ends - s.starts > 18)])
     out |= {
         "log_words": np.log1p(n_words),
         "mean_word": out["word_chars"] / words,
@@ -68,13 +72,22 @@ def statistics(column: pa.Array) -> dict[str, np.ndarray]:
         "digit_rate": s.per_text(_DIGIT[s.data]) / chars,
         "punct_rate": s.per_text(_PUNCT[s.data]) / chars,
         "distinct_rate": distinct / words,
-        "nonascii_rate": s.per_text((s.data >= 0xC0).astype(np.int8)) / chars,
+        "nonascii_rate": s.per_text(s.data >= 0xC0) / chars,
         "mean_line": words / np.maximum(n_lines, 1),
-        "long_words": (long_[s.first[1:]] - long_[s.first[:-1]]) / words,
+        "long_words": per_words(s.ends - s.starts > 18) / words,
     }
     return out
 
 
+def _first_of(text: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """True at the first of equal (text, hash)."""
+    with np.errstate(over="ignore"):
+        key = mix64(h + mix64(text.astype(np.uint64) + np.uint64(0x7A3D19)))
+    out = np.zeros(len(h), bool)
+    out[np.unique(key, return_index=True)[1]] = True
+    return out
+
+
 def _duplicate_lines(s: Scan) -> tuple[np.ndarray, np.ndarray]:
     """Of each text: lines with a word that equal an earlier line, and lines with a word."""
     newline = s.data == 10
@@ -91,10 +104,8 @@ def _duplicate_lines(s: Scan) -> tuple[np.ndarray, np.ndarray]:
     hi[last] = s.at[text[last] + 1]
     has = np.searchsorted(s.starts, hi) > np.searchsorted(s.starts, lo)
     lo, hi, text = lo[has], hi[has], text[has]
-    h = s.hash_ranges(lo, hi)
-    pairs = np.unique(np.stack([text.astype(np.uint64), h], axis=1), axis=0)[:, 0] if len(h) else h
-    lines = np.bincount(text, minlength=s.n)
-    return lines - np.bincount(pairs.astype(np.int64), minlength=s.n), lines
+    again = ~_first_of(text, s.hash_ranges(lo, hi))
+    return np.bincount(text[again], minlength=s.n), np.bincount(text, minlength=s.n)
 
 
 def base_failed(n_words: np.ndarray, n_repeat_words: np.ndarray) -> np.ndarray:
@@ -186,8 +197,7 @@ def fit_trees(x: np.ndarray, y: np.ndarray, monotone: list[int], trees: int = 60
     return Trees(np.array(feature or [-1]), np.array(threshold or [0.0]), np.array(left or [-1]), np.array(value or [0.0]), roots, start)
 
 
-def _stat_schema(docs: DataFrame) -> str:
-    return "doc_id long, " + ", ".join(f"{c} long" for c in BASE) + ", features array<double>"
+_STATISTICS = "doc_id long, " + ", ".join(f"{c} long" for c in BASE) + ", features array<double>"
 
 
 def document_statistics(docs: DataFrame) -> DataFrame:
@@ -196,24 +206,26 @@ def document_statistics(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_memory(())
         for batch in batches:
-            for lo, hi in slices(batch.column(1)):
+            for lo, hi in slices(batch.column(1), SLICE):
                 st = statistics(batch.column(1).slice(lo, hi - lo))
                 x = np.stack([st[f] for f in FEATURES], axis=1)
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(x.ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *[pa.array(st[c].astype(np.int64)) for c in BASE], flat], names=["doc_id", *BASE, "features"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _stat_schema(docs))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _STATISTICS)
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, seed: int = 11) -> Trees:
     """Trees for labels.quality from at most `sample` labelled documents that pass the base rules, chosen by hash.
 
-    Only the sample's statistics (a few numbers a document) reach the driver. Rows with null label or id take no part.
+    Only the sample's statistics (a few numbers a document) reach the driver. Rows with null label or id take no part;
+    of several texts of one id the one with the least statistics counts, so reruns agree.
     """
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
     chosen = known.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(sample)
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi")
-    rows = document_statistics(picked).dropDuplicates(["doc_id"]).join(chosen, "doc_id").orderBy("doc_id").toPandas()
+    one = document_statistics(picked).groupBy("doc_id").agg(F.min(F.struct(*BASE, "features")).alias("s")).select("doc_id", "s.*")
+    rows = one.join(F.broadcast(chosen), "doc_id").orderBy("doc_id").toPandas()
     if len(rows):
         rows = rows[~base_failed(rows["n_words"].to_numpy(), rows["n_repeat_words"].to_numpy())]
     x = np.array(rows["features"].tolist(), dtype=float).reshape(-1, len(FEATURES))
@@ -221,9 +233,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, seed: int =
 
 
 def apply_rules(docs: DataFrame, model: Trees, keep_at: float = 0.5, columns: bool = False) -> DataFrame:
-    """For each row: doc_id, base statistics, base_failed, score, kept; with columns=True, docs' kept rows as they are.
+    """For each row: doc_id, base statistics, base_failed, kept, score; with columns=True, docs' kept rows as they are.
 
     Null and empty texts have no words and fail the base rules. Rows with equal or null ids are judged one by one.
+    Whole texts count, whatever their length; an empty table gives an empty result; columns of any name stay as they are.
     """
     names = docs.columns
     text_at = names.index("text")
@@ -231,7 +244,7 @@ def apply_rules(docs: DataFrame, model: Trees, keep_at: float = 0.5, columns: bo
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_memory(())
         for batch in batches:
-            for lo, hi in slices(batch.column(text_at)):
+            for lo, hi in slices(batch.column(text_at), SLICE):
                 part = batch.slice(lo, hi - lo)
                 st = statistics(part.column(text_at))
                 failed = base_failed(st["n_words"], st["n_repeat_words"])
@@ -240,10 +253,10 @@ def apply_rules(docs: DataFrame, model: Trees, keep_at: float = 0.5, columns: bo
                 if columns:
                     yield part.filter(pa.array(kept))
                 else:
-                    yield pa.RecordBatch.from_arrays([part.column(names.index("doc_id")), *[pa.array(st[c].astype(np.int64)) for c in BASE], pa.array(failed), pa.array(score), pa.array(kept)], names=["doc_id", *BASE, "base_failed", "score", "kept"])
+                    yield pa.RecordBatch.from_arrays([part.column(names.index("doc_id")), *[pa.array(st[c].astype(np.int64)) for c in BASE], pa.array(failed), pa.array(kept), pa.array(score)], names=["doc_id", *BASE, "base_failed", "kept", "score"])
 
     if columns:
         return docs.mapInArrow(judge, docs.schema)
     names = ["doc_id", "text"]
     text_at = 1
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(judge, "doc_id long, " + ", ".join(f"{c} long" for c in BASE) + ", base_failed boolean, score double, kept boolean")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(judge, "doc_id long, " + ", ".join(f"{c} long" for c in BASE) + ", base_failed boolean, kept boolean, score double")

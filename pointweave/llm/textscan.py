@@ -1,7 +1,8 @@
 """Vectorised scanning of many UTF-8 texts at once: word bounds, hashes of words, windows and lines.
 
-A batch is one byte buffer with offsets, as Arrow holds it. All per-byte work is numpy over the whole buffer; no
-Python loop runs over words.
+A batch is one byte buffer with offsets, as Arrow holds it. All per-byte work is numpy over the buffer; no Python loop
+runs over words. Hashes go through the buffer in pieces of a fixed size, so a very long text needs a few bytes for each
+of its bytes and words, and tables don't grow with it.
 """
 
 from __future__ import annotations
@@ -16,18 +17,16 @@ _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_powers = np.ones(1, dtype=np.uint64)
-_inverse = np.ones(1, dtype=np.uint64)
+#: Bytes that are hashed at once.
+HASHED = 1 << 16
 
 
-def _grow(n: int) -> None:
-    """Powers of the hash base and of its inverse, up to n."""
-    global _powers, _inverse
-    if len(_powers) < n:
-        size = max(n, 2 * len(_powers), 1 << 16)
-        with np.errstate(over="ignore"):
-            _powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, _BASE)]))
-            _inverse = np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, _INV)]))
+def _power_table(base: np.uint64) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return np.cumprod(np.concatenate([[np.uint64(1)], np.full(HASHED, base)]))
+
+
+_POWERS, _INVERSE = _power_table(_BASE), _power_table(_INV)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -37,7 +36,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def slices(column: pa.Array | pa.ChunkedArray, most_bytes: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def slices(column: pa.Array | pa.ChunkedArray, most_bytes: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of about most_bytes of text each (a longer text alone), so that memory follows bytes, not rows."""
     lengths = np.asarray(pc.binary_length(column).fill_null(0))
     ends = np.cumsum(lengths.astype(np.int64))
@@ -57,23 +56,26 @@ class Scan:
     """
 
     def __init__(self, column: pa.Array):
-        column = column.cast(pa.large_string()).fill_null("")
+        column = column.cast(pa.large_string())
+        if column.null_count:
+            column = column.fill_null("")
         bufs = column.buffers()
         self.at = np.frombuffer(bufs[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1].copy() if len(column) else np.zeros(1, np.int64)
         lo, hi = int(self.at[0]), int(self.at[-1])
         self.data = np.frombuffer(bufs[2], dtype=np.uint8)[lo:hi] if bufs[2] is not None else np.zeros(0, np.uint8)
         self.at -= lo
         self.n = len(column)
-        word = ~_SPACE[self.data]
-        begins, stops = word.copy(), word.copy()
-        begins[1:] &= ~word[:-1]
-        stops[:-1] &= ~word[1:]
+        self.word = word = ~_SPACE[self.data]
+        kind = np.int32 if len(word) < 1 << 31 else np.int64
         cut = self.at[(self.at > 0) & (self.at < len(self.data))]
-        begins[cut] |= word[cut]
-        stops[cut - 1] |= word[cut - 1]
-        self.word = word
-        self.starts = np.flatnonzero(begins)
-        self.ends = np.flatnonzero(stops) + 1
+        edge = word.copy()
+        edge[1:] &= ~word[:-1]
+        edge[cut] |= word[cut]
+        self.starts = np.flatnonzero(edge).astype(kind)
+        edge[:] = word
+        edge[:-1] &= ~word[1:]
+        edge[cut - 1] |= word[cut - 1]
+        self.ends = (np.flatnonzero(edge) + 1).astype(kind)
         self.first = np.searchsorted(self.starts, self.at)
 
     @property
@@ -82,38 +84,49 @@ class Scan:
 
     def per_text(self, per_byte: np.ndarray) -> np.ndarray:
         """Sums of a per-byte count for each text."""
-        total = np.concatenate([[0], np.cumsum(per_byte, dtype=np.int64)])
-        return total[self.at[1:]] - total[self.at[:-1]]
-
-    def prefix(self) -> np.ndarray:
-        if not hasattr(self, "_prefix"):
-            _grow(len(self.data) + 1)
-            with np.errstate(over="ignore"):
-                self._prefix = np.concatenate([[np.uint64(0)], np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * _powers[: len(self.data)], dtype=np.uint64)])
-        return self._prefix
+        out = np.zeros(self.n, np.int64)
+        some = np.flatnonzero(np.diff(self.at))
+        if len(some):
+            out[some] = np.add.reduceat(per_byte, self.at[some], dtype=np.int64)
+        return out
 
     def hash_ranges(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        """A 64-bit hash of each byte range, the same wherever the bytes stand."""
-        h = self.prefix()
+        """A 64-bit hash of each byte range, the same wherever the bytes stand. Ranges are in order and don't overlap."""
+        out = np.zeros(len(lo), np.uint64)
         with np.errstate(over="ignore"):
-            return mix64((h[hi] - h[lo]) * _inverse[lo] + (hi - lo).astype(np.uint64))
+            for at in range(0, len(self.data), HASHED):
+                end = min(at + HASHED, len(self.data))
+                a, b = int(np.searchsorted(hi, at, "right")), int(np.searchsorted(lo, end, "left"))
+                if a >= b:
+                    continue
+                h = np.zeros(end - at + 1, np.uint64)
+                np.cumsum((self.data[at:end].astype(np.uint64) + np.uint64(1)) * _POWERS[: end - at], out=h[1:])
+                left, right = np.maximum(lo[a:b], at) - at, np.minimum(hi[a:b], end) - at
+                part = (h[right] - h[left]) * _INVERSE[left]
+                if lo[a] < at:  # its beginning is in a piece before this one
+                    part[0] *= np.uint64(pow(int(_BASE), at - int(lo[a]), 1 << 64))
+                out[a:b] += part
+            return mix64(out + (hi - lo).astype(np.uint64))
 
     def word_hashes(self) -> np.ndarray:
-        return self.hash_ranges(self.starts, self.ends)
+        if not hasattr(self, "_words"):
+            self._words = self.hash_ranges(self.starts, self.ends)
+        return self._words
 
     def windows(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All windows of k words inside a text: first word, text, hash."""
         w = self.word_hashes()
         m = len(w) - k + 1
         if m <= 0:
-            e = np.zeros(0, np.int64)
+            e = np.zeros(0, np.int32)
             return e, e, np.zeros(0, np.uint64)
-        text = np.repeat(np.arange(self.n), self.n_words)
+        text = np.repeat(np.arange(self.n, dtype=np.int32), self.n_words)
         inside = np.flatnonzero(text[:m] == text[k - 1 :])
         with np.errstate(over="ignore"):
             h = np.zeros(m, np.uint64)
             for j in range(k):
-                h = h * np.uint64(0xD6E8FEB86659FD93) + w[j : j + m]
+                h *= np.uint64(0xD6E8FEB86659FD93)
+                h += w[j : j + m]
             return inside, text[inside], mix64(h[inside])
 
 
@@ -122,10 +135,10 @@ def repeated(text: np.ndarray, h: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         key = mix64(h + mix64(text.astype(np.uint64) + np.uint64(0x51ED27)))
     s = np.sort(key)
-    same = s[1:] == s[:-1]
-    if not same.any():
+    twice = s[1:][s[1:] == s[:-1]]
+    del s
+    if not len(twice):
         return np.zeros(len(key), bool)
-    twice = np.unique(s[1:][same])
     i = np.searchsorted(twice, key)
     i[i == len(twice)] = 0
     return twice[i] == key
