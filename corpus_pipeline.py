@@ -1,6 +1,9 @@
 """From raw documents to packed sequences: five stages, each on all that the one before kept.
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents as they
+are, whatever their names. A null text counts as empty and, as it has no words, doesn't pass the rules. Null and repeated
+ids are rows of their own until near duplicates, which keep one row of equal texts. Texts of any length are taken whole.
+An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -20,12 +23,15 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and the boosted trees (8)."""
-    return quality_rules.apply_rules(docs, quality_rules.train(docs, table(spark, sf_dir, "labels")), columns=True)
+    """Documents that pass the base rules and the boosted trees (8). The trees learn from labelled documents of the whole
+    table, as those that the classifier kept are no fair sample.
+    """
+    model = quality_rules.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality_rules.apply_rules(docs, model, columns=True)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates (2)."""
+    """One document of each class of near duplicates (2): the one of the least doc_id."""
     return deduplicate(docs)
 
 
