@@ -23,7 +23,7 @@ class Levels:
         return self.side * 2.0**level if isinstance(level, int) else F.pow(F.lit(2.0), level) * self.side
 
 
-def levels_of(points: DataFrame, keys: tuple[str, ...] = ("type",), most: int = 4) -> Levels:
+def levels_of(points: DataFrame, keys: tuple[str, ...] = ("type",), most: int = 16) -> Levels:
     """Levels for these points: the finest has at most `most` different places of equal keys in a cell (or is the last
     of LEVELS). Two aggregates over all points; a few numbers reach the driver.
     """

@@ -20,12 +20,18 @@ def angle_limit(beta: float = BETA) -> float:
 
 
 def _probes(points: DataFrame, keys: tuple[str, ...], level: int | Column, levels: Levels) -> DataFrame:
-    """(keys, mx, my, probes): a point from each of the nine half cells around a half cell."""
+    """(keys, mx, my, r): for each half cell a point from each of the nine half cells around it."""
     half = levels.side_of(level) / 2
     more = ["level"] if isinstance(level, Column) else []
-    one = points.groupBy(*more, *keys, cell(F.col("x"), half).alias("hx"), cell(F.col("y"), half).alias("hy")).agg(F.min(F.struct("x", "y", "type")).alias("p"))
+    one = points.groupBy(*more, *keys, cell(F.col("x"), half).alias("hx"), cell(F.col("y"), half).alias("hy")).agg(F.min(F.struct("x", "y", "type")).alias("r"))
     near = lambda c: F.explode(F.sequence(F.col(c) - 1, F.col(c) + 1))
-    return one.withColumn("mx", near("hx")).withColumn("my", near("hy")).groupBy(*more, *keys, "mx", "my").agg(F.collect_list("p").alias("probes"))
+    return one.withColumn("mx", near("hx")).withColumn("my", near("hy")).drop("hx", "hy")
+
+
+def _without(pairs: DataFrame, others: DataFrame, on: list[str], hit: Column, kept: list[str]) -> DataFrame:
+    """The different pairs that meet no `others` for which hit holds."""
+    met = pairs.join(others, on, "left").groupBy(*kept).agg(F.coalesce(F.bool_or(hit), F.lit(False)).alias("hit"))
+    return met.where("not hit").drop("hit")
 
 
 def _sees_all(px: Column, py: Column, qx: Column, qy: Column, far: float, theta: float):
@@ -53,9 +59,7 @@ def _cell_pairs(points: DataFrame, theta: float, keys: tuple[str, ...], levels:
 
         # A corner of a cell is so far from its middle; that turns the sight of it by an arc sine at most.
         far = s * math.sqrt(0.5) * (1 + 1e-9)
-        blocked = F.exists("probes", _sees_all(px, py, qx, qy, far, theta))
-        seen = middle.join(_probes(points, keys, k, levels), [*keys, "mx", "my"], "left")
-        pairs = seen.where(~F.coalesce(blocked, F.lit(False))).select(*by, "ax", "ay", "bx", "by")
+        pairs = _without(middle, _probes(points, keys, k, levels), [*keys, "mx", "my"], _sees_all(px, py, qx, qy, far, theta)(F.col("r")), [*by, "ax", "ay", "bx", "by"])
         if k:
             parts = lambda c, k=k: cells(k - 1, "f").select(*by, F.shiftright("fx", 1).alias(f"{c}x"), F.shiftright("fy", 1).alias(f"{c}y"), F.col("fx").alias(f"f{c}x"), F.col("fy").alias(f"f{c}y"))
             fine = pairs.join(parts("a"), [*by, "ax", "ay"]).join(parts("b"), [*by, "bx", "by"])
@@ -96,12 +100,12 @@ def beta_skeleton(points: DataFrame, beta: float = BETA, keys: tuple[str, ...] =
     # First the points around the middle, then all in reach.
     half = levels.side_of(F.col("level")) / 2
     pairs = pairs.withColumn("level", level_of(2 * reach / 1.5, levels)).withColumn("mx", cell((F.col("ix") + F.col("jx")) / 2, half)).withColumn("my", cell((F.col("iy") + F.col("jy")) / 2, half))
-    pairs = pairs.join(_probes(layered, keys, F.col("level"), levels), ["level", *keys, "mx", "my"], "left").where(~F.coalesce(F.exists("probes", sees), F.lit(False))).drop("probes", "mx", "my", "level")
+    kept = [*by, "i", "j", "ix", "iy", "jx", "jy", "length"]
+    pairs = _without(pairs, _probes(layered, keys, F.col("level"), levels), ["level", *keys, "mx", "my"], sees(F.col("r")), kept)
     wide = cells_along(pairs.withColumn("level", level_of(reach, levels)), reach, levels.side_of(F.col("level")))
     side = levels.side_of(F.col("level"))
     third = layered.groupBy("level", *keys, cell(F.col("x"), side).alias("__cx"), cell(F.col("y"), side).alias("__cy"), "x", "y", "type").agg(F.lit(1).alias("one")).select("level", *keys, "__cx", "__cy", F.struct("x", "y", "type").alias("r"))
-    hit = wide.join(third, ["level", *keys, "__cx", "__cy"], "left").groupBy(*by, "i", "j", "ix", "iy", "jx", "jy", "length").agg(F.coalesce(F.bool_or(sees(F.col("r"))), F.lit(False)).alias("hit"))
-    return hit.where("not hit").drop("hit")
+    return _without(wide, third, ["level", *keys, "__cx", "__cy"], sees(F.col("r")), kept)
 
 
 def crossings(edges: DataFrame) -> DataFrame:
