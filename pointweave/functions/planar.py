@@ -26,6 +26,47 @@ def orientation(d: Column) -> Column:
     return F.when(F.abs(d) <= EPS, "STRAIGHT").when(d > 0, "LEFT").otherwise("RIGHT")
 
 
+def side_of(a: Column, b: Column) -> Column:
+    """LEFT if a is less than b, RIGHT if greater, STRAIGHT if they are equal but for EPS."""
+    return F.when(F.abs(a - b) <= EPS, "STRAIGHT").when(a < b, "LEFT").otherwise("RIGHT")
+
+
+def polarity(o: Column) -> Column:
+    return F.when(o == "RIGHT", "CCW_POSITIVE_Y").otherwise("CW_NEGATIVE_Y")
+
+
+def unit(x: Column, y: Column) -> tuple[Column, Column]:
+    """The vector with length 1; null for one without length."""
+    n = F.sqrt(x * x + y * y)
+    return F.try_divide(x, n), F.try_divide(y, n)
+
+
+def bisector(vx: Column, vy: Column, wx: Column, wy: Column) -> tuple[Column, Column]:
+    """The direction midway between two vectors."""
+    (ax, ay), (bx, by) = unit(vx, vy), unit(wx, wy)
+    return unit(ax + bx, ay + by)
+
+
+def turn_from(x: Column, y: Column, start: Column | float) -> Column:
+    """Degrees from the direction `start` on to that of (x, y): more than 0, at most 360, so the start itself is last.
+
+    Ascending it orders vectors around a point in the direction RIGHT, descending in the direction LEFT.
+    """
+    t = F.degrees(F.atan2(y, x)) - start
+    turn = t - 360 * F.floor(t / 360)
+    return F.when(turn <= 0, turn + 360).otherwise(turn)
+
+
+def fit(box: tuple[Column, Column, Column, Column], into: tuple[Column, Column, Column, Column]) -> tuple:
+    """The affine map (see affine()) that puts `into` over `box`, centre to centre, scaled by the greater ratio of their
+    sides. Boxes are (x0, y0, x1, y1); `into` is taken relative to its corner.
+    """
+    w, h = into[2] - into[0], into[3] - into[1]
+    k = F.greatest(F.try_divide(box[2] - box[0], w), F.try_divide(box[3] - box[1], h))
+    zero = F.lit(0.0)
+    return k, zero, zero, k, (box[0] + box[2]) / 2 - into[0] - k * w / 2, (box[1] + box[3]) / 2 - into[1] - k * h / 2
+
+
 def opposite(o: Column) -> Column:
     return F.when(o == "LEFT", "RIGHT").when(o == "RIGHT", "LEFT").otherwise("STRAIGHT")
 

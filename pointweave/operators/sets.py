@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 
 def history_cut(history: DataFrame, threshold: float, keys: tuple[str, ...] = ("dataset_id",)) -> DataFrame:
-    """The last row of the prefix whose times are all below the threshold (times aren't monotone)."""
-    w = Window.partitionBy(*keys).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    late = F.max(F.when(F.col("time") >= threshold, 1).otherwise(0)).over(w)
-    return history.withColumn("__late", late).where("__late = 0").groupBy(*keys).agg(F.max("seq").alias("seq"), F.max_by("time", "seq").alias("time"))
+    """The last row of the prefix whose times are all below the threshold (times aren't monotone).
+
+    The first late row of each key is an aggregate, so no key's rows are sorted.
+    """
+    late = history.where(F.col("time") >= threshold).groupBy(*keys).agg(F.min("seq").alias("__late"))
+    kept = history.join(late, list(keys), "left").where("__late is null or seq < __late")
+    return kept.groupBy(*keys).agg(F.max("seq").alias("seq"), F.max_by("time", "seq").alias("time"))
 
 
 def merge_patterns(membership: DataFrame, a: int, b: int, new: int) -> DataFrame:

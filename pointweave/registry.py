@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions.planar import affine, cover_radius_triangle, directed_angle, distance, ring_area, ring_distance, round_half_up
+from .functions.planar import affine, bisector, cover_radius_triangle, directed_angle, distance, fit, orientation, polarity, ring_area, ring_distance, round_half_up, side_of, turn_from
 from .operators import banks, fields, hulls, pairs, sets, skeleton
 from .settings import PALETTE
 from .sources import drawing
@@ -118,6 +118,36 @@ def directed_angles(spark: SparkSession, sf: str) -> DataFrame:
     return p.join(q, F.col("point_id") == F.col("i")).select("i", "j", r6(directed_angle(F.col("x"), F.col("y"), F.col("qx"), F.col("qy"))).alias("angle"))
 
 
+@query(f"WITH {PTS}, c AS (SELECT a.point_id AS i, b.point_id AS j, a.x, a.y, b.x AS bx, b.y AS qy, sqrt(a.x * a.x + a.y * a.y) AS n, sqrt(b.x * b.x + b.y * b.y) AS m FROM pts a JOIN pts b ON b.point_id = a.point_id + 1), u AS (SELECT *, x / n + bx / m AS ux, y / n + qy / m AS uy FROM c) SELECT i, j, CASE WHEN abs(x - bx) <= 1e-9 THEN 'STRAIGHT' WHEN x < bx THEN 'LEFT' ELSE 'RIGHT' END AS side, CASE WHEN x * qy - y * bx < -1e-9 THEN 'CCW_POSITIVE_Y' ELSE 'CW_NEGATIVE_Y' END AS polarity, round(ux / sqrt(ux * ux + uy * uy), 6) + 0.0 AS mx, round(uy / sqrt(ux * ux + uy * uy), 6) + 0.0 AS my FROM u")
+def directions(spark: SparkSession, sf: str) -> DataFrame:
+    """Of each point and the next: which is further left, the turn's polarity at the origin, and their bisector."""
+    p = src.pts(spark, sf)
+    q = p.select((F.col("point_id") - 1).alias("i"), F.col("point_id").alias("j"), F.col("x").alias("qx"), F.col("y").alias("qy"))
+    x, y, qx, qy = (F.col(c) for c in ("x", "y", "qx", "qy"))
+    mx, my = bisector(x, y, qx, qy)
+    return p.join(q, F.col("point_id") == F.col("i")).select("i", "j", side_of(x, qx).alias("side"), polarity(orientation(x * qy - y * qx)).alias("polarity"), r6(mx).alias("mx"), r6(my).alias("my"))
+
+
+@query(f"WITH {DS}, c AS (SELECT dataset_id, avg(x) AS cx, avg(y) AS cy FROM ds GROUP BY 1), t AS (SELECT ds.dataset_id, point_id, degrees(atan2(y - cy, x - cx)) - 90 AS t FROM ds JOIN c ON c.dataset_id = ds.dataset_id) SELECT dataset_id, point_id, row_number() OVER (PARTITION BY dataset_id ORDER BY t - 360 * floor(t / 360)) AS right_rank, row_number() OVER (PARTITION BY dataset_id ORDER BY t - 360 * floor(t / 360) DESC) AS left_rank FROM t")
+def angular_order(spark: SparkSession, sf: str) -> DataFrame:
+    """The order of each dataset's points around their centroid from 90 degrees on, both ways."""
+    p = src.pts_ds(spark, sf)
+    c = p.groupBy("dataset_id").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"))
+    t = p.join(c, "dataset_id").select("dataset_id", "point_id", turn_from(F.col("x") - F.col("cx"), F.col("y") - F.col("cy"), 90.0).alias("t"))
+    w = Window.partitionBy("dataset_id")
+    return t.select("dataset_id", "point_id", F.row_number().over(w.orderBy("t")).cast("long").alias("right_rank"), F.row_number().over(w.orderBy(F.desc("t"))).cast("long").alias("left_rank"))
+
+
+@query(f"WITH {DS}, b AS (SELECT dataset_id, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM ds GROUP BY 1), k AS (SELECT *, greatest(760 / (x1 - x0), 500 / (y1 - y0)) AS k FROM b) SELECT ds.dataset_id, point_id, round(k * x + 400 - x0 - k * (x1 - x0) / 2, 6) + 0.0 AS x, round(k * y + 270 - y0 - k * (y1 - y0) / 2, 6) + 0.0 AS y FROM ds JOIN k ON k.dataset_id = ds.dataset_id")
+def fit_boxes(spark: SparkSession, sf: str) -> DataFrame:
+    """Each dataset's points mapped so that their box covers a fixed one."""
+    p = src.pts_ds(spark, sf)
+    b = p.groupBy("dataset_id").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
+    m = fit(tuple(F.lit(v) for v in (20.0, 20.0, 780.0, 520.0)), tuple(F.col(c) for c in ("x0", "y0", "x1", "y1")))
+    x, y = affine(F.col("x"), F.col("y"), m)
+    return p.join(b, "dataset_id").select("dataset_id", "point_id", r6(x).alias("x"), r6(y).alias("y"))
+
+
 @query(f"""WITH {DS}, h AS (SELECT dataset_id, type, sqrt(power(x - lead(x) OVER o, 2) + power(y - lead(y) OVER o, 2)) AS hop FROM ds WINDOW o AS (PARTITION BY dataset_id, type ORDER BY point_id))
 SELECT dataset_id, type, round(coalesce(max(hop), 0) / 2, 6) AS cover_radius, count(*) AS n_points FROM h GROUP BY 1, 2""")
 def bank_cover_radius(spark: SparkSession, sf: str) -> DataFrame:
