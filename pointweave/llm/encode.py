@@ -67,7 +67,7 @@ class Encoder:
     but changes nothing.
     """
 
-    def __init__(self, path: str, kind: str, memory: int = 300_000, longest: int = 64):
+    def __init__(self, path: str, kind: str, memory: int = 200_000, longest: int = 64):
         self.tokenizer, self.kind, self.memory, self.longest = _tokenizer(path), kind, memory, longest
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]

@@ -199,7 +199,8 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     per = plan.groupBy("__mix__d", "__mix__s", "__mix__z").agg(F.sum("copies").alias("__mix__sum"), F.count(F.lit(1)).alias("__mix__n"))
     on = F.col("doc_id").cast("long").eqNullSafe(F.col("__mix__d")) & F.col("source").eqNullSafe(F.col("__mix__s")) & (size == F.col("__mix__z"))
     per = materialize(per.where("__mix__sum > 0"), "mix-copies")
-    taken = docs.join(per.where("__mix__n = 1"), on).withColumn("__mix__c", F.col("__mix__sum"))
+    # Documents meet their copies by a shuffle at any size: what is on either side grows with the corpus.
+    taken = docs.join(per.where("__mix__n = 1").hint("merge"), on).withColumn("__mix__c", F.col("__mix__sum"))
     if not (repeated := per.where("__mix__n > 1")).isEmpty():
         base = F.floor(F.col("__mix__sum") / F.col("__mix__n"))
         nth = F.row_number().over(Window.partitionBy("__mix__d", "__mix__s", "__mix__z").orderBy(F.xxhash64("text")))

@@ -208,8 +208,9 @@ def _check(pairs: DataFrame, texts: DataFrame, words: int, least: float, weighti
                 good = similarities(part.column(2), part.column(3), words, weighting) >= least - 1e-12
                 yield part.select(["a", "b"]).filter(pa.array(good))
 
+    # Texts grow with the corpus, and so do pairs: neither side is ever broadcast.
     of_a, of_b = texts.select(F.col("key").alias("a"), F.col("text").alias("ta")), texts.select(F.col("key").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(of_a, "a").join(of_b, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary")
+    return pairs.join(of_a.hint("merge"), "a").join(of_b.hint("merge"), "b").select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary")
 
 
 def cross_links(first: pa.Array, second: pa.Array, comp_a: list, comp_b: list, words: int, least: float, weighting: str) -> list[tuple[int, int]]:
@@ -303,7 +304,7 @@ def _tiled_links(shared: DataFrame, found: DataFrame, texts: DataFrame, words: i
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = member.where("c != main").select("s", spread("out_tiles").alias("i"), every("all_tiles").alias("j"), F.lit(True).alias("out"), "key", "c")
     right = member.select("s", every("out_tiles").alias("i"), spread("all_tiles").alias("j"), F.lit(False).alias("out"), "key", "c")
-    rows = left.unionByName(right).join(texts, "key").select("s", "i", "j", "out", "key", "c", "text")
+    rows = left.unionByName(right).join(texts.hint("merge"), "key").select("s", "i", "j", "out", "key", "c", "text")
 
     def run(group: pa.Table) -> pa.Table:
         worker_memory(())

@@ -50,7 +50,7 @@ def cut_documents(docs: DataFrame, path: str, kind: str = "space", length: int =
         part = TaskContext.get().partitionId()
         seen = np.zeros(length // unit + 1, np.int64)
         for batch in batches:
-            for lo, hi in slices(batch.column(1)):
+            for lo, hi in slices(batch.column(1), 1 << 19):
                 doc_ids = batch.column(0).slice(lo, hi - lo)
                 ids, sizes = encoder.encode(batch.column(1).slice(lo, hi - lo).fill_null("").to_pylist())
                 ends = np.cumsum(sizes)
