@@ -49,13 +49,13 @@ def slices(column: pa.Array | pa.ChunkedArray, most_bytes: int = 1 << 20) -> Ite
 
 
 class Scan:
-    """Words of a batch of texts. Null texts are empty.
+    """Words of a batch of texts, between bytes for which `space` is true. Null texts are empty.
 
     data: bytes; at: each text's start, and the end of the last; starts, ends: each word's byte range;
     first: each text's first word, and the number of all words.
     """
 
-    def __init__(self, column: pa.Array):
+    def __init__(self, column: pa.Array, space: np.ndarray = _SPACE):
         column = column.cast(pa.large_string())
         if column.null_count:
             column = column.fill_null("")
@@ -65,7 +65,7 @@ class Scan:
         self.data = np.frombuffer(bufs[2], dtype=np.uint8)[lo:hi] if bufs[2] is not None else np.zeros(0, np.uint8)
         self.at -= lo
         self.n = len(column)
-        self.word = word = ~_SPACE[self.data]
+        self.word = word = ~space[self.data]
         kind = np.int32 if len(word) < 1 << 31 else np.int64
         cut = self.at[(self.at > 0) & (self.at < len(self.data))]
         edge = word.copy()
