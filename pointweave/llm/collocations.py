@@ -247,11 +247,10 @@ def phrases(docs: DataFrame, least: int = LEAST, first: int = FIRST, absorb: int
     # All cuts; the worst one counts.
     cuts = F.array(*[F.struct(F.lit(k).alias("k"), part(F.col("key"), 0, k).alias("left"), part(F.col("key"), k, WORDS - k).alias("right")) for k in range(1, WORDS)])
     each = free.select("key", "a", "m", F.explode(cuts).alias("c")).where("c.k < m").select("key", "a", F.col("c.k").alias("k"), F.col("c.left").alias("left"), F.col("c.right").alias("right"))
-    each = lookup(each, f.select(F.col("key").alias("left"), F.col("f").alias("l")), "left")
-    each = lookup(each, f.select(F.col("key").alias("right"), F.col("f").alias("r")), "right")
-    each = lookup(each.withColumn("one", number(F.col("key"), 0)), words.select(F.col("id").alias("one"), "lang"), "one")
-    big = lambda c: F.col(c).cast("decimal(19,0)")
-    each = lookup(each, total, "lang").withColumn("score", F.expr("(cast(a as decimal(17,0)) * cast(n as decimal(17,0)) * 1000BD) div (cast(l as decimal(18,0)) * cast(r as decimal(18,0)))"))
+    # Plain joins, as these are phrases, not words of texts: adaptive execution splits the keys of common words.
+    each = each.join(f.select(F.col("key").alias("left"), F.col("f").alias("l")), "left").join(f.select(F.col("key").alias("right"), F.col("f").alias("r")), "right")
+    each = each.withColumn("one", number(F.col("key"), 0)).join(words.select(F.col("id").alias("one"), "lang"), "one").join(total, "lang")
+    each = each.withColumn("score", F.expr("(cast(a as decimal(17,0)) * cast(n as decimal(17,0)) * 1000BD) div (cast(l as decimal(18,0)) * cast(r as decimal(18,0)))"))
     worst = each.groupBy("lang", "key", "a", "n").agg(F.min(F.struct("score", "k", "l", "r")).alias("w")).select("lang", "key", "a", "n", "w.l", "w.r", "w.score")
     # Equals of the last place stay until phrases are spelt, which decides between them.
     top = worst.withColumn("place", F.rank().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a")))).where(F.col("place") <= first).drop("place")

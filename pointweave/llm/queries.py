@@ -158,7 +158,7 @@ g AS (SELECT lang, m, w[k : k + m - 1] AS g, count(*) AS f FROM (SELECT lang, w,
 i AS (SELECT DISTINCT lang, g[k : k + s - 1] AS g, f FROM (SELECT lang, m, g, f, s, unnest(range(1, m - s + 2)) AS k FROM g, range(2, 5) AS r(s) WHERE s < m)),
 x AS (SELECT lang, g, max(f) AS f FROM i GROUP BY ALL),
 c AS (SELECT g.lang, g.g, g.m, g.f AS a FROM g LEFT JOIN x ON x.lang = g.lang AND x.g = g.g WHERE g.m > 1 AND NOT coalesce(100 * x.f >= 100 * g.f, false)),
-s AS (SELECT c.lang, c.g, c.a, k, l.f AS l, r.f AS r, t.n, (1000 * c.a::HUGEINT * t.n) // (l.f::HUGEINT * r.f) AS score FROM (SELECT *, unnest(range(1, m)) AS k FROM c) c JOIN g l ON l.lang = c.lang AND l.g = c.g[1 : k] JOIN g r ON r.lang = c.lang AND r.g = c.g[k + 1 : m] JOIN t ON t.lang = c.lang),
+s AS (SELECT c.lang, c.g, c.a, k, l.f AS l, r.f AS r, t.n, (1000 * c.a::HUGEINT * t.n) // (l.f::HUGEINT * r.f) AS score FROM (SELECT *, unnest(range(1, m)) AS k FROM c) c JOIN g l ON l.lang = c.lang AND l.g = c.g[1 : k] JOIN g r ON r.lang = c.lang AND r.g = c.g[k + 1 : c.m] JOIN t ON t.lang = c.lang),
 b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
 o AS (SELECT lang, array_to_string(g, ' ') AS phrase, a, l, r, n, score FROM b)
 SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM o QUALIFY rank <= 2000""",
