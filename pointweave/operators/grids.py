@@ -78,14 +78,18 @@ def mixed_cells(points: DataFrame, levels: Levels) -> DataFrame:
 def within_boxes(points: DataFrame, rings: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """Points (x, y) with the rings (ring, ...) of equal keys whose boxes hold them.
 
-    Rings are dealt to the cells of their boxes, 17 squared at most, as cells are a sixteenth of the widest box.
+    Each ring is dealt to the cells that its box touches, nine at most, of a side that its own box gives; a point is in one
+    cell of each side that occurs. So a wide ring brings small ones no points from afar. Rings without corners hold none.
     """
     xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
-    boxed = rings.select("*", F.array_min(xs).alias("__x0"), F.array_max(xs).alias("__x1"), F.array_min(ys).alias("__y0"), F.array_max(ys).alias("__y1"))
-    widest = boxed.agg(F.greatest(F.max(F.col("__x1") - F.col("__x0")), F.max(F.col("__y1") - F.col("__y0")))).first()[0]
-    side = max(float(widest or 0.0), 1e-9) / 16
+    boxed = rings.where(F.size("ring") > 0).select("*", F.array_min(xs).alias("__x0"), F.array_max(xs).alias("__x1"), F.array_min(ys).alias("__y0"), F.array_max(ys).alias("__y1"))
+    wide = F.greatest(F.col("__x1") - F.col("__x0"), F.col("__y1") - F.col("__y0"), F.lit(1e-9))
+    boxed = boxed.withColumn("__size", F.ceil(F.log2(wide)).cast("int"))
+    sizes = [r[0] for r in boxed.select("__size").distinct().orderBy(F.desc("__size")).limit(LEVELS).collect()] or [0]  # smaller ones count as the smallest
+    boxed = boxed.withColumn("__size", F.greatest("__size", F.lit(sizes[-1])))
+    side = F.pow(F.lit(2.0), F.col("__size") - 1)
     span = lambda lo, hi: F.explode(F.sequence(cell(F.col(lo), side), cell(F.col(hi), side)))
     dealt = boxed.withColumn("__cx", span("__x0", "__x1")).withColumn("__cy", span("__y0", "__y1"))
-    at = points.select("*", cell(F.col("x"), side).alias("__cx"), cell(F.col("y"), side).alias("__cy"))
+    at = points.withColumn("__size", F.explode(F.array(*map(F.lit, sizes)))).withColumn("__cx", cell(F.col("x"), side)).withColumn("__cy", cell(F.col("y"), side))
     box = F.col("x").between(F.col("__x0"), F.col("__x1")) & F.col("y").between(F.col("__y0"), F.col("__y1"))
-    return at.join(dealt, [*keys, "__cx", "__cy"]).where(box).drop("__cx", "__cy", "__x0", "__x1", "__y0", "__y1")
+    return at.join(dealt, [*keys, "__size", "__cx", "__cy"]).where(box).drop("__size", "__cx", "__cy", "__x0", "__x1", "__y0", "__y1")

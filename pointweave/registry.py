@@ -503,9 +503,34 @@ v AS (SELECT dataset_id, count(*) AS k FROM cx GROUP BY 1), e AS (SELECT dataset
 SELECT e.dataset_id, coalesce(v.k, 0) AS n_vertices, e.k + 2 * coalesce(v.k, 0) AS n_edges, coalesce(v.k, 0) + c.k AS n_faces FROM e LEFT JOIN v ON v.dataset_id = e.dataset_id JOIN c ON c.dataset_id = e.dataset_id""")
 def arrangement_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Crossings, edges and faces of each dataset's hulls; the SQL counts faces by Euler's formula."""
-    from .operators.arrangement import counts
+    from .operators.planar_map import PlanarMap
 
-    return counts(_hulls(spark, sf))
+    return PlanarMap(_hulls(spark, sf), ring="g").counts()
+
+
+DEPTHS_OF_SETS = f"{BOXES}, xs AS (SELECT dataset_id, v, lead(v) OVER (PARTITION BY dataset_id ORDER BY v) AS w FROM (SELECT dataset_id, x0 AS v FROM rb UNION SELECT dataset_id, x1 FROM rb)), ys AS (SELECT dataset_id, v, lead(v) OVER (PARTITION BY dataset_id ORDER BY v) AS w FROM (SELECT dataset_id, y0 AS v FROM rb UNION SELECT dataset_id, y1 FROM rb)), ds2 AS (SELECT xs.dataset_id, xs.v AS x, ys.v AS y, (xs.w - xs.v) * (ys.w - ys.v) AS a, coalesce(list(rb.type ORDER BY rb.type) FILTER (rb.type IS NOT NULL), []) AS origins FROM xs JOIN ys ON ys.dataset_id = xs.dataset_id LEFT JOIN rb ON rb.dataset_id = xs.dataset_id AND rb.x0 <= xs.v AND rb.x1 >= xs.w AND rb.y0 <= ys.v AND rb.y1 >= ys.w WHERE xs.w IS NOT NULL AND ys.w IS NOT NULL GROUP BY xs.dataset_id, xs.v, xs.w, ys.v, ys.w)"
+
+
+def _box_map(spark: SparkSession, sf: str):
+    from .operators.planar_map import PlanarMap
+
+    return PlanarMap(_boxes(spark, sf).select("dataset_id", F.col("type").alias("ring_id"), _box_ring().alias("ring")))
+
+
+@query(f"""WITH {DEPTHS_OF_SETS} SELECT dataset_id, array_to_string(origins, ' ') AS origins, round(sum(a), 3) AS area FROM ds2 WHERE len(origins) > 0 GROUP BY 1, 2""")
+def face_origins(spark: SparkSession, sf: str) -> DataFrame:
+    """Area of the faces of each dataset's boxes, by the boxes that hold them."""
+    f = _box_map(spark, sf).net_areas()
+    return f.where(F.size("origins") > 0).groupBy("dataset_id", F.array_join("origins", " ").alias("origins")).agg(F.round(F.sum("area"), 3).alias("area")).where("area > 0")
+
+
+@query(f"""WITH {BOXES}, p AS (SELECT a.dataset_id, a.type AS i, b.type AS j, [a.x0 > b.x0, a.y0 > b.y0, a.x1 < b.x1, a.y1 < b.y1] AS own, [least(a.y1, b.y1) - greatest(a.y0, b.y0), least(a.x1, b.x1) - greatest(a.x0, b.x0)] AS side FROM rb a JOIN rb b ON a.dataset_id = b.dataset_id AND a.type < b.type AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1),
+s AS (SELECT dataset_id, i, j, CASE WHEN mine THEN i ELSE j END AS ring, k, o.own = mine AS on_it, own_before = mine AS before, CASE WHEN k % 2 = 0 THEN side[1] ELSE side[2] END AS length FROM (SELECT *, own[k + 1] AS own1, own[(k + 3) % 4 + 1] AS own_before FROM (SELECT *, unnest([0, 1, 2, 3]) AS k FROM p)) q, (VALUES (true), (false)) m(mine), LATERAL (SELECT q.own1 AS own) o)
+SELECT dataset_id, i, j, ring, CASE WHEN bool_and(on_it) THEN 1 ELSE sum(CASE WHEN on_it AND NOT before THEN 1 ELSE 0 END) END AS n_parts, round(sum(CASE WHEN on_it THEN length ELSE 0 END), 3) + 0.0 AS length FROM s GROUP BY dataset_id, i, j, ring""")
+def boundary_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """Where two boxes of a dataset overlap: in how many stretches the overlap's border runs along each, and how long."""
+    b = _box_map(spark, sf).boundary_parts()
+    return b.groupBy("dataset_id", "i", "j", "ring").agg(F.sum("n_parts").alias("n_parts"), (F.round(F.sum("length"), 3) + 0.0).alias("length"))
 
 
 @query(f"""WITH {GROUPS}, o AS (SELECT *, row_number() OVER w - 1 AS k, count(*) OVER (PARTITION BY g) AS n FROM gp WINDOW w AS (PARTITION BY g ORDER BY point_id)), s AS (SELECT a.g, a.k, a.n, a.x, a.y, b.x AS nx, b.y AS ny, atan2(b.y - a.y, b.x - a.x) AS h FROM o a JOIN o b ON b.g = a.g AND b.k = (a.k + 1) % a.n WHERE a.n > 2),
