@@ -32,11 +32,17 @@ def influence_grid(points: DataFrame, step: float, influence: float = INFLUENCE,
 
 
 def potential_grid(points: DataFrame, step: float, influence: float = INFLUENCE, vertex: float = VERTEX) -> DataFrame:
-    """(type, ix, iy, potential) where a type has influence: its own minus the others' minus t."""
+    """(type, ix, iy, potential) where a type has influence: its own minus the others' minus t.
+
+    At a point itself its type's potential is infinite; where points of several types lie, infinite influences cancel.
+    """
     _, t = constants(influence, vertex)
     g = influence_grid(points, step, influence, vertex)
-    total = F.sum("influence").over(Window.partitionBy("ix", "iy"))
-    return g.withColumn("total", total).select("type", "ix", "iy", (2 * F.col("influence") - F.col("total") - t).alias("potential"))
+    node = Window.partitionBy("ix", "iy")
+    endless = F.col("influence") == float("inf")
+    g = g.withColumn("total", F.sum("influence").over(node)).withColumn("points", F.sum(endless.cast("int")).over(node))
+    own = 2 * F.col("influence") - F.col("total") - t
+    return g.select("type", "ix", "iy", F.when(endless, F.when(F.col("points") == 1, float("inf")).otherwise(-t)).otherwise(own).alias("potential"))
 
 
 def sign_cells(potential: DataFrame) -> DataFrame:

@@ -517,11 +517,11 @@ def _box_map(spark: SparkSession, sf: str):
     return PlanarMap(_boxes(spark, sf).select("dataset_id", F.col("type").alias("ring_id"), _box_ring().alias("ring")))
 
 
-@query(f"""WITH {DEPTHS_OF_SETS} SELECT dataset_id, array_to_string(origins, ' ') AS origins, round(sum(a), 3) AS area FROM ds2 WHERE len(origins) > 0 GROUP BY 1, 2""")
+@query(f"""WITH {DEPTHS_OF_SETS} SELECT dataset_id, array_to_string(origins, ' ') AS origins, round(sum(a), 6) AS area FROM ds2 WHERE len(origins) > 0 GROUP BY 1, 2""")
 def face_origins(spark: SparkSession, sf: str) -> DataFrame:
     """Area of the faces of each dataset's boxes, by the boxes that hold them."""
     f = _box_map(spark, sf).net_areas()
-    return f.where(F.size("origins") > 0).groupBy("dataset_id", F.array_join("origins", " ").alias("origins")).agg(F.round(F.sum("area"), 3).alias("area")).where("area > 0")
+    return f.where(F.size("origins") > 0).groupBy("dataset_id", F.array_join("origins", " ").alias("origins")).agg(F.round(F.sum("area"), 6).alias("area")).where("area > 0")
 
 
 @query(f"""WITH {BOXES}, p AS (SELECT a.dataset_id, a.type AS i, b.type AS j, [a.x0 > b.x0, a.y0 > b.y0, a.x1 < b.x1, a.y1 < b.y1] AS own, [least(a.y1, b.y1) - greatest(a.y0, b.y0), least(a.x1, b.x1) - greatest(a.x0, b.x0)] AS side FROM rb a JOIN rb b ON a.dataset_id = b.dataset_id AND a.type < b.type AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1),
@@ -661,14 +661,28 @@ def two_color_discs(spark: SparkSession, sf: str) -> DataFrame:
     return grow_discs(src.pts_ds(spark, sf), 0, 1, 30.0, 20.0).withColumn("radius", r6("radius"))
 
 
-@query()
+_SIGNED = f"""{INFLUENCE}, up AS (SELECT * FROM pot WHERE potential > 0), c AS (SELECT type, ix, iy, 1 AS bit FROM up UNION ALL SELECT type, ix - 1, iy, 2 FROM up UNION ALL SELECT type, ix, iy - 1, 8 FROM up UNION ALL SELECT type, ix - 1, iy - 1, 4 FROM up),
+m AS (SELECT type, ix, iy, sum(bit) AS mask FROM c GROUP BY 1, 2, 3 HAVING sum(bit) < 15)"""
+#: A cell's corners counter-clockwise are bits 1, 2, 4, 8 here, and edge k runs from corner k to the next. From each edge
+#: with a positive first corner a contour goes to the nearest edge before it with a positive second corner.
+_RINGS = f"""{_SIGNED}, k AS (SELECT *, unnest([0, 1, 2, 3]) AS k FROM m), f AS (SELECT type, ix, iy, mask, k FROM k WHERE (mask >> k) & 1 = 1 AND (mask >> ((k + 1) % 4)) & 1 = 0),
+l AS (SELECT f.type, f.ix, f.iy, f.k AS a, (f.k + 4 - s.s) % 4 AS b FROM f, (VALUES (1), (2), (3)) s(s) WHERE (f.mask >> ((f.k + 4 - s.s) % 4)) & 1 = 0 AND (f.mask >> ((f.k + 5 - s.s) % 4)) & 1 = 1 QUALIFY row_number() OVER (PARTITION BY f.type, f.ix, f.iy, f.k ORDER BY s.s) = 1),
+e AS (SELECT type, [ix + (a = 1)::BIGINT, iy + (a = 2)::BIGINT, (a % 2)::BIGINT] AS n, [ix + (b = 1)::BIGINT, iy + (b = 2)::BIGINT, (b % 2)::BIGINT] AS nx FROM l),
+z AS (SELECT e.type, n, nx, least(coalesce(p.potential, {-_T0!r}), 1e12) AS v1, least(coalesce(q.potential, {-_T0!r}), 1e12) AS v2 FROM e LEFT JOIN pot p ON p.type = e.type AND p.ix = n[1] AND p.iy = n[2] LEFT JOIN pot q ON q.type = e.type AND q.ix = n[1] + 1 - n[3] AND q.iy = n[2] + n[3]),
+w AS (SELECT type, n, nx, (n[1] + (1 - n[3]) * v1 / (v1 - v2)) * {GRID} AS x, (n[2] + n[3] * v1 / (v1 - v2)) * {GRID} AS y FROM z),
+walk AS (SELECT type, n AS first, nx AS at, 1 AS steps, x, y, 0.0::DOUBLE AS twice FROM w UNION ALL SELECT k.type, k.first, w.nx, k.steps + 1, w.x, w.y, k.twice + k.x * w.y - w.x * k.y FROM walk k JOIN w ON w.type = k.type AND w.n = k.at WHERE k.at > k.first)"""
+
+
+@query(f"WITH RECURSIVE {_RINGS} SELECT k.type, array_to_string(first, ',') AS contour_id, steps AS n_corners, round(abs(twice + k.x * w.y - w.x * k.y) / 2, 4) AS area FROM walk k JOIN w ON w.type = k.type AND w.n = k.first WHERE k.at = k.first")
 def potential_contours(spark: SparkSession, sf: str) -> DataFrame:
+    """Contours of all types with their corners and areas; the SQL walks along each from its least edge."""
     from .operators.contours import zero_contours
 
-    return zero_contours(src.pts(spark, sf), step=fields.STEP).select("type", "contour_id", F.size("ring").alias("n_corners"), "area")
+    return zero_contours(src.pts(spark, sf), step=fields.STEP).select("type", "contour_id", F.size("ring").alias("n_corners"), F.round("area", 4).alias("area"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_RINGS}, lead AS (SELECT type, first FROM walk WHERE at = first), seg AS (SELECT k.type, k.first, k.x, k.y, w.x AS x2, w.y AS y2 FROM walk k JOIN lead ON lead.type = k.type AND lead.first = k.first JOIN w ON w.type = k.type AND w.n = k.at)
+SELECT s.type, array_to_string(s.first, ',') AS contour_id, p.point_id FROM seg s JOIN pts p ON p.type = s.type WHERE (s.y > p.y) <> (s.y2 > p.y) AND p.x < s.x + (s.x2 - s.x) * (p.y - s.y) / (s.y2 - s.y) GROUP BY s.type, s.first, p.point_id HAVING count(*) % 2 = 1""")
 def potential_members(spark: SparkSession, sf: str) -> DataFrame:
     from .operators.contours import contour_members, zero_contours
 
