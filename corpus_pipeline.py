@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from pointweave.llm import quality_classifier, quality_rules
-from pointweave.llm.base import materialize, table
+from pointweave.llm.base import Scratch, table
 from pointweave.llm.mixing import mixed_documents
 from pointweave.llm.near_duplicates import deduplicate
 from pointweave.llm.packing import pack
@@ -53,7 +53,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, scratch, before = table(spark, sf_dir, "documents"), Scratch(spark), None
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs = scratch.write(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if before is not None:
+            scratch.drop(before)  # nothing reads it any more
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -8,6 +8,9 @@ A piece kind says where cuts are safe:
   non-space follows, and around single line ends.
 - "word": white space is dropped. Cut at white space.
 
+Long pieces without spaces are cut between a punctuation mark and a letter, and between a letter and a digit, where both
+kinds split, too.
+
 A text in which the quick cut isn't safe (runs of white space, rare space characters) is cut by a pattern instead. A
 text that holds a special token's literal, which the library finds before it splits, goes to the library whole.
 """
@@ -30,6 +33,11 @@ _AS_IS = "\n "
 _LATIN = re.compile("[A-Za-zß-öø-ÿ]+")
 #: One such mark after a word is a unit of its own for either splitter.
 _MARKS = ".,;:!?"
+#: Pieces of more characters are cut further; so many characters go to the library at once.
+LONG, AT_ONCE = 4096, 1 << 18
+_LETTER = "[A-Za-z\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fff\uac00-\ud7a3]"
+#: Letters, digits and marks of these kinds are what they are in every version of Unicode; an apostrophe is no such mark.
+_FURTHER = re.compile(f"(?<=[.,;:!?\u3001\u3002\uff01\uff0c\uff1a\uff1b\uff1f])(?={_LETTER})|(?<=[0-9])(?={_LETTER})|(?<={_LETTER})(?=[0-9])")
 
 
 def _byte_chars() -> dict[int, str]:
@@ -94,6 +102,13 @@ class Encoder:
             self._store(list(kept), size[at], flat[np.repeat(begin[at] - np.cumsum(size[at]) + size[at], size[at]) + np.arange(size[at].sum())])
 
     def _pieces(self, text: str) -> list[str]:
+        pieces = self._cut(text)
+        if len(text) <= LONG or max(map(len, pieces), default=0) <= LONG or any(s in text for s in self.special):
+            return pieces
+        again = _AS_IS if self.kind == "space" else ""
+        return [p for piece in pieces for p in ([piece] if len(piece) <= LONG else [own if not k else again + own for k, own in enumerate(_FURTHER.split(piece))])]
+
+    def _cut(self, text: str) -> list[str]:
         if any(s in text for s in self.special):
             return [text if self.kind == "word" else _AS_IS + text]
         if self.kind == "word":
@@ -146,9 +161,14 @@ class Encoder:
         return rows
 
     def _add(self, pieces: list[str], plain: list[str]) -> None:
-        rows = self._rows(pieces, plain)
-        sizes = np.fromiter(map(len, rows), np.int32, len(rows))
-        self._store(pieces, sizes, np.fromiter((i for r in rows for i in r), np.int32, int(sizes.sum())))
+        lo = size = 0
+        for hi, text in enumerate(plain, 1):
+            size += len(text)
+            if size >= AT_ONCE or hi == len(plain):
+                rows = self._rows(pieces[lo:hi], plain[lo:hi])
+                sizes = np.fromiter(map(len, rows), np.int32, len(rows))
+                self._store(pieces[lo:hi], sizes, np.fromiter((i for r in rows for i in r), np.int32, int(sizes.sum())))
+                lo, size = hi, 0
 
     def _store(self, pieces: list[str], sizes: np.ndarray, ids: np.ndarray) -> None:
         n, m = self.rows, self.rows + len(pieces)

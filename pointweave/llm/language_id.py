@@ -18,6 +18,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +46,10 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 _EDGES = sorted((lo, hi, name) for name, ranges in SCRIPTS.items() for lo, hi in ranges)
 _LOW = [lo for lo, _, _ in _EDGES]
 NO_WAY = -1e4
+#: The step of a word without letters.
+NO_STEP = [("other", 0, [""])]
+#: Grams that are looked up at once.
+GRAMS = 1 << 18
 #: Longer runs of letters are cut into pieces of at most so many.
 PIECE = 32
 
@@ -92,24 +97,22 @@ def grams_of(letters: str) -> list[str]:
     return [w[i : i + 2] for i in range(len(w) - 1)] + [w[i : i + 3] for i in range(len(w) - 2)] + [f"={letters}"]
 
 
-def steps_of(word: str) -> list[tuple[str, int, list[str]]]:
+def steps_of(word: str) -> Iterator[tuple[str, int, list[str]]]:
     """(script, number of letters, n-grams) of each step of a word.
 
     A long run's pairs and triples belong to the piece in which they begin, so none is lost between two pieces.
     """
-    steps = []
     for script, letters in runs_of(word):
         count = len if letters.isalpha() else lambda x: sum(c.isalpha() for c in x)
         n = len(letters)
         if n <= PIECE:
-            steps.append((script, count(letters), grams_of(letters)))
+            yield script, count(letters), grams_of(letters)
             continue
         w, pieces = f"^{letters}$", -(-n // PIECE)
         for k in range(pieces):
             lo, hi = k * n // pieces, (k + 1) * n // pieces
             end = n + 1 if hi == n else hi
-            steps.append((script, count(letters[lo:hi]), [w[i : i + 2] for i in range(lo, end)] + [w[i : i + 3] for i in range(lo, min(end, n))]))
-    return steps
+            yield script, count(letters[lo:hi]), [w[i : i + 2] for i in range(lo, end)] + [w[i : i + 3] for i in range(lo, min(end, n))]
 
 
 @dataclass
@@ -139,18 +142,25 @@ class Model:
 
     def _learn(self, words: list[str]) -> None:
         """Scores and letters of the steps of new words; a word without letters is one step."""
-        index, starts, weights, masks, sizes = [], [], [], [], []
+        index, starts, weights, masks, sizes, parts = [], [], [], [], [], []
         everyone = np.ones(len(self.languages), bool)
         unknown, get = len(self.scores) - 1, self.grams.get
         for w in words:
-            steps = steps_of(w) or [("other", 0, [""])]
-            sizes.append(len(steps))
-            for script, n, grams in steps:
+            before = len(weights)
+            for script, n, grams in chain(steps_of(w), NO_STEP):
+                if grams == [""] and len(weights) > before:  # there was a step
+                    break
+                if len(index) > GRAMS:
+                    parts.append(np.add.reduceat(self.scores[index], starts, axis=0))
+                    index, starts = [], []
                 starts.append(len(index))
                 weights.append(n)
                 masks.append(self.allowed.get(script, everyone) if n else everyone)
                 index += [get(g, unknown) for g in grams]
-        rows = np.add.reduceat(self.scores[index], starts, axis=0) if words else np.zeros((0, len(self.languages)), np.float32)
+            sizes.append(len(weights) - before)
+        if starts:
+            parts.append(np.add.reduceat(self.scores[index], starts, axis=0))
+        rows = np.concatenate(parts) if parts else np.zeros((0, len(self.languages)), np.float32)
         weights, sizes = np.array(weights, np.int32), np.array(sizes, np.int64)
         rows[weights == 0] = 0
         rows[~np.array(masks, bool).reshape(rows.shape)] += NO_WAY

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .base import worker_memory
@@ -87,11 +87,25 @@ def _dictionary(samples: list[bytes], size: int) -> bytes:
         return b"".join(samples)
 
 
+def fitting(sizes: list[tuple[int, int, int]], most_bytes: int) -> list[int]:
+    """The ids of (id, label, size) that are taken in turn as long as they fit into a label's most_bytes."""
+    left: dict[int, int] = {}
+    out = []
+    for i, label, size in sizes:
+        room = left.setdefault(label, most_bytes)
+        if size <= room:
+            left[label] = room - size
+            out.append(i)
+    for label in left.keys() - {label for i, label, _ in sizes if i in set(out)}:  # a label without any
+        out.append(min((size, i) for i, own, size in sizes if own == label)[1])
+    return out
+
+
 def train(docs: DataFrame, labels: DataFrame, per_class: int = 1500, most_bytes: int = 8 << 20, piece: int = PIECE, dictionary: int = DICTIONARY, held=held_out, seed: int = 5) -> Classifier:
     """Fit on at most per_class documents of each label, chosen by hash among those that aren't held out.
 
-    Half of them give dictionary text: whole texts, in hash order as long as a label's have at most `most_bytes` in all;
-    lines that several of them share are left out, as boilerplate says nothing about a label. The other half, whole,
+    Half of them give dictionary text: whole texts, in hash order, but for those with which a label's would have more than
+    `most_bytes` in all (they are passed over; if none fits, the smallest is taken); lines that several of them share are left out, as boilerplate says nothing about a label. The other half, whole,
     gives the curve. Rows with null label or id take no part; of several texts of one id the least counts. If a class is
     missing its dictionary is empty.
     """
@@ -100,10 +114,10 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 1500, most_bytes:
     chosen = known.where("quality = 1").orderBy(*order).limit(per_class).unionByName(known.where("quality = 0").orderBy(*order).limit(per_class))
     chosen = chosen.withColumn("half", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.lit(2)).cast("int"))
     picked = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality", "half").agg(F.min("text").alias("text"))
-    sizes = picked.where("half = 0").select("doc_id", "quality", F.octet_length("text").alias("size"))
     # At most per_class rows a label.
-    fits = sizes.withColumn("sum", F.sum("size").over(Window.partitionBy("quality").orderBy(*order))).where(F.col("sum") <= most_bytes)
-    rows = picked.join(F.broadcast(fits.select("doc_id")), "doc_id", "left_semi").select("doc_id", "quality", "text").orderBy("doc_id").collect()
+    sizes = picked.where("half = 0").select("doc_id", "quality", F.octet_length("text").alias("size")).orderBy(*order).collect()
+    fits = docs.sparkSession.createDataFrame([(i,) for i in fitting(sizes, most_bytes)], "doc_id long")
+    rows = picked.join(F.broadcast(fits), "doc_id", "left_semi").select("doc_id", "quality", "text").orderBy("doc_id").collect()
     seen = Counter(line for r in rows for line in set(r["text"].split("\n")))
     samples: dict[int, list[bytes]] = {0: [], 1: []}
     for r in rows:

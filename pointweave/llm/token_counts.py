@@ -2,7 +2,8 @@
 
 The best segmentation of a prefix doesn't depend on what follows it, so its forward score is computed once for each
 node of a trie of pre-tokens: words that share a prefix share its scores, whenever they come. A node that ends a word is
-terminal and has the word's count and score; a text's count is the sum over its words. The trie lives in a Python worker
+terminal and has the word's count and score; a text's count is the sum over its words. Words of more than 64 characters
+have a terminal only, and their scores are computed along them. The trie lives in a Python worker
 from task to task, and starts anew when it has a number of nodes, which costs time but changes nothing.
 
 The vocabulary is a public one with ranked pieces; a piece's score is its logarithmic share under Zipf's law for its
@@ -12,6 +13,7 @@ A character outside the vocabulary costs one byte token for each of its UTF-8 by
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,6 +27,8 @@ from .base import worker_memory
 from .textscan import slices
 
 VOCABULARY = "piece_bpe_32k.model"
+#: Words of more characters have no nodes of their own.
+LONG = 64
 MARK = "▁"
 
 
@@ -63,6 +67,12 @@ class TrieCounter:
         """Insert words: walk along the nodes that are there, and compute the scores of those that aren't."""
         get, longest, byte_score, child, score, count = self.scores.get, self.longest, self.byte_score, self.child, self.score, self.count
         for word in words:
+            if len(word) > LONG:  # hardly shares its prefixes: one terminal, no nodes on the way
+                self.terminal[word] = len(score)
+                best, tokens = self._walk(MARK + word)
+                score.append(best)
+                count.append(tokens)
+                continue
             marked = MARK + word
             path = [0]  # the node of each prefix
             node = 0
@@ -85,6 +95,22 @@ class TrieCounter:
                 path.append(node)
             self.terminal[word] = node
 
+    def _walk(self, marked: str) -> tuple[float, int]:
+        """Score and tokens of a long word, with the last few prefixes' in mind."""
+        get, longest, byte_score = self.scores.get, self.longest, self.byte_score
+        last = deque([(0.0, 0)], maxlen=longest)
+        for end, c in enumerate(marked, 1):
+            n_bytes = len(c.encode("utf-8", "surrogatepass"))
+            best, tokens = last[-1][0] + n_bytes * byte_score, last[-1][1] + n_bytes
+            begin = end - len(last)
+            for k, (before, n) in enumerate(last, begin):
+                if (s := get(marked[k:end])) is not None:
+                    s += before
+                    if s > best or (s == best and n + 1 < tokens):
+                        best, tokens = s, n + 1
+            last.append((best, tokens))
+        return last[-1]
+
     def texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each text: pre-tokens, tokens, score."""
         if len(self.score) > self.nodes:
@@ -115,7 +141,7 @@ def worker_counter(path: str) -> TrieCounter:
 def count_tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
     """For each row: doc_id, n_pretokens, n_tokens, score (the best segmentation's log-probability).
 
-    Null and empty texts have none of any. Rows with equal or null ids are counted one by one; other columns are
+    Null and empty texts have none of any; texts and words of any length are counted whole. Rows with equal or null ids are counted one by one; other columns are
     ignored; an empty table gives an empty result.
     """
     path = path or str(public_tokenizers.path(VOCABULARY))
