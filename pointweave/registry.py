@@ -545,6 +545,23 @@ def ring_measures(spark: SparkSession, sf: str) -> DataFrame:
     return measures(rings, "g").select("g", F.round("area", 5).alias("area"), r6("length").alias("length"), r6("curvature").alias("curvature"))
 
 
+@query(f"""WITH {GHULL}, n AS (SELECT dataset_id, g, count(*) AS n FROM gp GROUP BY 1, 2), l AS (SELECT a.g, sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2)) AS d FROM gp a JOIN gp b ON a.g = b.g AND a.point_id < b.point_id JOIN n ON n.g = a.g AND n.n = 2),
+m AS (SELECT n.g, n.n, coalesce(h.area, 0) AS area, coalesce(h.length, 2 * l.d, 0) AS length, coalesce(h.k, CASE WHEN n.n = 2 THEN 2 ELSE 0 END) AS k FROM n LEFT JOIN l ON l.g = n.g LEFT JOIN (SELECT g, abs(sum(px * qy - qx * py)) / 2 AS area, sum(sqrt(power(qx - px, 2) + power(qy - py, 2))) AS length, count(*) AS k FROM he GROUP BY g) h ON h.g = n.g)
+SELECT g, CASE n WHEN 1 THEN 'single' WHEN 2 THEN 'matching' ELSE 'island' END AS kind, CAST(k AS BIGINT) AS n_lines, round(area + 6 * length + 36 * pi(), 5) AS area, round(length + 12 * pi(), 6) AS length FROM m""")
+def dilated_regions(spark: SparkSession, sf: str) -> DataFrame:
+    """The regions at distance 6 around each dataset's types, taken as singles, matchings and islands: exact measures of
+    their lines and arcs.
+    """
+    from .functions import arcs
+
+    p = src.pts_ds(spark, sf).select("point_id", "x", "y", (F.col("dataset_id") * 100 + F.col("type")).alias("g"))
+    size = p.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    c = hulls.hulls(p, "g").join(size, "g").withColumn("contour", arcs.around_ring(F.reverse("ring"), 6.0))
+    kind = F.when(F.col("n") == 1, "single").when(F.col("n") == 2, "matching").otherwise("island")
+    n_lines = F.size(F.filter("contour", lambda s: s["turn"] == 0)).cast("long")
+    return c.select("g", kind.alias("kind"), n_lines.alias("n_lines"), F.round(arcs.area(F.col("contour")), 5).alias("area"), r6(arcs.length(F.col("contour"))).alias("length"))
+
+
 _XS = "SELECT dataset_id, x0 AS v FROM rb UNION SELECT dataset_id, x1 FROM rb"
 _YS = "SELECT dataset_id, y0 AS v FROM rb UNION SELECT dataset_id, y1 FROM rb"
 DEPTHS = f"{BOXES}, xs AS (SELECT dataset_id, v, lead(v) OVER (PARTITION BY dataset_id ORDER BY v) AS w FROM ({_XS})), ys AS (SELECT dataset_id, v, lead(v) OVER (PARTITION BY dataset_id ORDER BY v) AS w FROM ({_YS})), dp AS (SELECT xs.dataset_id, (xs.w - xs.v) * (ys.w - ys.v) AS a, (SELECT count(*) FROM rb WHERE rb.dataset_id = xs.dataset_id AND rb.x0 <= xs.v AND rb.x1 >= xs.w AND rb.y0 <= ys.v AND rb.y1 >= ys.w) AS depth FROM xs JOIN ys ON ys.dataset_id = xs.dataset_id WHERE xs.w IS NOT NULL AND ys.w IS NOT NULL)"
