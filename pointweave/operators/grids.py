@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Cells across the points' box at the coarsest level, and the most levels.
 ACROSS, LEVELS = 8, 24
+#: Places that decide about levels.
+SAMPLE = 10_000
 
 
 @dataclass(frozen=True)
@@ -24,17 +27,22 @@ class Levels:
 
 
 def levels_of(points: DataFrame, keys: tuple[str, ...] = ("type",), most: int = 16) -> Levels:
-    """Levels for these points: the finest has at most `most` different places of equal keys in a cell (or is the last
-    of LEVELS). Two aggregates over all points; a few numbers reach the driver.
+    """Levels for these points: the finest has about `most` different places of equal keys in its fullest cell at most (or
+    is the last of LEVELS). Any level gives right results, so a sample decides: the driver gets a box, a count and about
+    SAMPLE places.
     """
-    b = points.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    b = points.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y"), F.count(F.lit(1))).first()
     width = max((b[1] or 0) - (b[0] or 0), (b[3] or 0) - (b[2] or 0), 1e-9) * (1 + 1e-9)
     top = width / ACROSS
-    places = points.select(*keys, "x", "y").distinct()
-    each = places.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1)))).withColumn("s", F.lit(top) / F.pow(F.lit(2.0), "level"))
-    full = each.groupBy("level", *keys, cell(F.col("x"), F.col("s")).alias("cx"), cell(F.col("y"), F.col("s")).alias("cy")).agg(F.count(F.lit(1)).alias("n"))
-    fine = full.groupBy("level").agg(F.max("n").alias("n")).where(F.col("n") <= most).agg(F.min("level")).first()[0]
-    down = LEVELS - 1 if fine is None else fine
+    some = points.select(*keys, "x", "y")
+    if b[4] > SAMPLE:
+        some = some.where(F.pmod(F.xxhash64("x", "y"), F.lit(1 << 30)) < int((1 << 30) * SAMPLE / b[4]))
+    places = {tuple(r) for r in some.collect()}
+    times = max(1.0, b[4] / SAMPLE)
+    for down in range(LEVELS):
+        side = top / 2**down
+        if max(Counter((*k, math.floor(x / side), math.floor(y / side)) for *k, x, y in places).values(), default=0) * times <= max(most, times):
+            break
     return Levels(top / 2**down, down)
 
 

@@ -92,8 +92,10 @@ def beta_skeleton(points: DataFrame, beta: float = BETA, keys: tuple[str, ...] =
 
     def sees(r: Column) -> Column:
         same = lambda e: (r["type"] == F.col("type")) & (r["x"] == F.col(f"{e}x")) & (r["y"] == F.col(f"{e}y"))
-        angle = angle_between(F.col("ix") - r["x"], F.col("iy") - r["y"], F.col("jx") - r["x"], F.col("jy") - r["y"])
-        return ~same("i") & ~same("j") & F.coalesce(angle > theta, F.lit(True))
+        ax, ay, bx, by_ = F.col("ix") - r["x"], F.col("iy") - r["y"], F.col("jx") - r["x"], F.col("jy") - r["y"]
+        lengths = F.sqrt((ax * ax + ay * ay) * (bx * bx + by_ * by_))
+        # An angle is greater if its cosine is less; at an end itself there is none, and a point there excludes the pair.
+        return ((ax * bx + ay * by_ < math.cos(theta) * lengths) | (lengths == 0)) & ~same("i") & ~same("j")
 
     every = F.explode(F.sequence(F.lit(0), F.lit(levels.top + 3))).alias("level")
     layered = points.select(*keys, "type", "x", "y", every)

@@ -687,7 +687,7 @@ l AS (SELECT f.type, f.ix, f.iy, f.k AS a, (f.k + 4 - s.s) % 4 AS b FROM f, (VAL
 e AS (SELECT type, [ix + (a = 1)::BIGINT, iy + (a = 2)::BIGINT, (a % 2)::BIGINT] AS n, [ix + (b = 1)::BIGINT, iy + (b = 2)::BIGINT, (b % 2)::BIGINT] AS nx FROM l),
 z AS (SELECT e.type, n, nx, least(coalesce(p.potential, {-_T0!r}), 1e12) AS v1, least(coalesce(q.potential, {-_T0!r}), 1e12) AS v2 FROM e LEFT JOIN pot p ON p.type = e.type AND p.ix = n[1] AND p.iy = n[2] LEFT JOIN pot q ON q.type = e.type AND q.ix = n[1] + 1 - n[3] AND q.iy = n[2] + n[3]),
 w AS (SELECT type, n, nx, (n[1] + (1 - n[3]) * v1 / (v1 - v2)) * {GRID} AS x, (n[2] + n[3] * v1 / (v1 - v2)) * {GRID} AS y FROM z),
-walk AS (SELECT type, n AS first, nx AS at, 1 AS steps, x, y, 0.0::DOUBLE AS twice FROM w UNION ALL SELECT k.type, k.first, w.nx, k.steps + 1, w.x, w.y, k.twice + k.x * w.y - w.x * k.y FROM walk k JOIN w ON w.type = k.type AND w.n = k.at WHERE k.at > k.first)"""
+walk AS (SELECT type, n AS first, nx AS "at", 1 AS steps, x, y, 0.0::DOUBLE AS twice FROM w UNION ALL SELECT k.type, k.first, w.nx, k.steps + 1, w.x, w.y, k.twice + k.x * w.y - w.x * k.y FROM walk k JOIN w ON w.type = k.type AND w.n = k.at WHERE k.at > k.first)"""
 
 
 @query(f"WITH RECURSIVE {_RINGS} SELECT k.type, array_to_string(first, ',') AS contour_id, steps AS n_corners, round(abs(twice + k.x * w.y - w.x * k.y) / 2, 4) AS area FROM walk k JOIN w ON w.type = k.type AND w.n = k.first WHERE k.at = k.first")
@@ -698,7 +698,7 @@ def potential_contours(spark: SparkSession, sf: str) -> DataFrame:
     return zero_contours(src.pts(spark, sf), step=fields.STEP).select("type", "contour_id", F.size("ring").alias("n_corners"), F.round("area", 4).alias("area"))
 
 
-@query(f"""WITH RECURSIVE {_RINGS}, lead AS (SELECT type, first FROM walk WHERE at = first), seg AS (SELECT k.type, k.first, k.x, k.y, w.x AS x2, w.y AS y2 FROM walk k JOIN lead ON lead.type = k.type AND lead.first = k.first JOIN w ON w.type = k.type AND w.n = k.at)
+@query(f"""WITH RECURSIVE {_RINGS}, lead AS (SELECT type, first FROM walk WHERE walk.at = walk.first), seg AS (SELECT k.type, k.first, k.x, k.y, w.x AS x2, w.y AS y2 FROM walk k JOIN lead ON lead.type = k.type AND lead.first = k.first JOIN w ON w.type = k.type AND w.n = k.at)
 SELECT s.type, array_to_string(s.first, ',') AS contour_id, p.point_id FROM seg s JOIN pts p ON p.type = s.type WHERE (s.y > p.y) <> (s.y2 > p.y) AND p.x < s.x + (s.x2 - s.x) * (p.y - s.y) / (s.y2 - s.y) GROUP BY s.type, s.first, p.point_id HAVING count(*) % 2 = 1""")
 def potential_members(spark: SparkSession, sf: str) -> DataFrame:
     from .operators.contours import contour_members, zero_contours
