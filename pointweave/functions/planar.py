@@ -145,6 +145,17 @@ def ring_contains(ring: Column, x: Column, y: Column) -> Column:
     return F.size(hits) % 2 == 1
 
 
+def ring_winding(ring: Column, x: Column, y: Column) -> Column:
+    """How often a ring goes around a place, counter-clockwise."""
+
+    def add(s: Column, e: Column) -> Column:
+        p, q = e["p"], e["q"]
+        left = cross(p["x"], p["y"], q["x"], q["y"], x, y)
+        return s + F.when((p["y"] <= y) & (q["y"] > y) & (left > 0), 1).when((p["y"] > y) & (q["y"] <= y) & (left < 0), -1).otherwise(0)
+
+    return F.aggregate(_turns(ring), F.lit(0), add)
+
+
 def ring_distance(ring: Column, x: Column, y: Column) -> Column:
     """Distance from the ring's line; points inside are at a positive distance, too."""
     return F.array_min(F.transform(_turns(ring), lambda e: segment_distance(x, y, e["p"]["x"], e["p"]["y"], e["q"]["x"], e["q"]["y"])))

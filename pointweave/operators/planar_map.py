@@ -77,6 +77,25 @@ def crossings(sides: DataFrame, key: str) -> DataFrame:
     return met.select(key, *[pick(f"{p}", f"{q}", n) for p, q, n in (("ring_id_a", "ring_id_b", "ring1"), ("k_a", "k_b", "k1"), ("t", "u", "t1"), ("ring_id_b", "ring_id_a", "ring2"), ("k_b", "k_a", "k2"), ("u", "t", "t2"))], "x", "y")
 
 
+#: Twice the area that a half-edge adds to what lies to its left.
+_TWICE = _place("ux") * _place("vy") - _place("vx") * _place("uy")
+
+
+def _loops(border: DataFrame, who: list[str]) -> DataFrame:
+    """border (who, h, ux, uy, vx, vy, ...) with loop and place: each half-edge is followed by the one that leaves its end
+    next to the right of turning back, of those with equal `who`.
+    """
+    border = cut_lineage(border)
+    leave = border.select(*who, F.col("h").alias("next"), F.col("ux").alias("vx"), F.col("uy").alias("vy"), F.col("vx").alias("wx"), F.col("vy").alias("wy"))
+    back = F.atan2(_place("uy") - _place("vy"), _place("ux") - _place("vx"))
+    on = F.atan2(_place("wy") - _place("vy"), _place("wx") - _place("vx"))
+    turn = F.pmod(back - on, F.lit(6.283185307179586))
+    follow = border.join(leave, [*who, "vx", "vy"]).groupBy(*who, "h").agg(F.min_by("next", F.struct(F.when(turn <= 1e-12, 7.0).otherwise(turn), "next")).alias("next"))
+    node = lambda c: F.struct(*who, F.col(c).alias("h"))
+    walk = cycles(follow.select(node("h").alias("node"), node("next").alias("next"))).select("node.*", F.col("cycle.h").alias("loop"), "place")
+    return cut_lineage(border.join(walk, [*who, "h"]))
+
+
 @dataclass
 class PlanarMap:
     """The arrangement of (key, ring_id, ring). Tables are made when they are asked for; each is written once.
@@ -147,9 +166,8 @@ class PlanarMap:
         """
         size = distance(_place("ux"), _place("uy"), _place("vx"), _place("vy"))
         h = self.half_edges.withColumn("size", size)
-        twice = _place("ux") * _place("vy") - _place("vx") * _place("uy")
         longest = F.max_by(F.struct("ux", "uy", "vx", "vy", "size"), F.struct("size", "h"))
-        each = h.groupBy(self.key, "face").agg(F.count(F.lit(1)).alias("n_edges"), (F.sum(twice) / 2).alias("area"), longest.alias("s")).where(F.col("area") > 5e-10)
+        each = h.groupBy(self.key, "face").agg(F.count(F.lit(1)).alias("n_edges"), (F.sum(_TWICE) / 2).alias("area"), longest.alias("s")).where(F.col("area") > 5e-10)
         # Just left of the middle of the longest edge.
         step = F.least(F.lit(0.01), F.col("s.size") / 100) / F.col("s.size")
         px = (_place("s.ux") + _place("s.vx")) / 2 - (_place("s.vy") - _place("s.uy")) * step
@@ -182,20 +200,40 @@ class PlanarMap:
         links = h.join(twin, "h").select(F.col("face").alias("i"), "j").where("i < j").distinct()
         return components(h.select(F.col("face").alias("point_id")).distinct(), links).select(F.col("point_id").alias("face"), F.col("component").alias("part"))
 
-    def net_areas(self) -> DataFrame:
-        """(key, face, origins, area): bounded faces without the parts that lie in them and touch none of their edges.
+    @cached_property
+    def regions(self) -> DataFrame:
+        """(face, region): each cycle of half-edges, and the bounded face that lies to their left; null: the plane outside.
 
-        Such a part's outer line is a cycle of negative area; its leftmost place is looked up among the faces of other
-        parts, and the smallest that holds it has that part inside.
+        A part that lies in a face and touches none of its edges has an outer cycle, of negative area, that borders on
+        this face: its leftmost place is looked up among the faces of other parts, and the smallest that holds it is it.
         """
-        twice = _place("ux") * _place("vy") - _place("vx") * _place("uy")
-        outer = self.half_edges.groupBy(self.key, "face").agg((F.sum(twice) / 2).alias("area"), F.min(F.struct("ux", "uy")).alias("p")).where(F.col("area") < -5e-10).join(self.face_parts, "face")
-        outer = outer.select(self.key, F.col("part").alias("inner"), (-F.col("area")).alias("taken"), _place("p.ux").alias("x"), _place("p.uy").alias("y"))
+        outer = self.half_edges.groupBy(self.key, "face").agg((F.sum(_TWICE) / 2).alias("area"), F.min(F.struct("ux", "uy")).alias("p")).where(F.col("area") < -5e-10).join(self.face_parts, "face")
+        outer = cut_lineage(outer.select(self.key, F.col("face").alias("cycle"), F.col("part").alias("inner"), _place("p.ux").alias("x"), _place("p.uy").alias("y")))
         f = self.faces.join(self.face_parts, "face")
         lines = self.outlines().join(f.select("face", "part", "area"), "face")
         held = within_boxes(outer, lines, (self.key,)).where(F.col("inner") != F.col("part")).where(ring_contains(F.col("ring"), F.col("x"), F.col("y")))
-        inside = held.groupBy("inner", "taken").agg(F.min_by("face", F.struct("area", "face")).alias("face")).groupBy("face").agg(F.sum("taken").alias("taken"))
-        return f.join(inside, "face", "left").select(self.key, "face", "origins", (F.col("area") - F.coalesce("taken", F.lit(0.0))).alias("area"))
+        inside = held.groupBy("cycle").agg(F.min_by("face", F.struct("area", "face")).alias("region"))
+        return cut_lineage(self.faces.select("face", F.col("face").alias("region")).unionByName(outer.join(inside, "cycle", "left").select(F.col("cycle").alias("face"), "region")))
+
+    def net_areas(self) -> DataFrame:
+        """(key, face, origins, area): bounded faces without the parts that lie in them and touch none of their edges."""
+        own = self.half_edges.join(self.regions.where("region is not null"), "face").groupBy(F.col("region").alias("face")).agg((F.sum(_TWICE) / 2).alias("area"))
+        return self.faces.drop("area").join(own, "face").select(self.key, "face", "origins", "area")
+
+    def borders(self, chosen: DataFrame, labels: tuple[str, ...] = ()) -> DataFrame:
+        """(key, labels, h, loop, place, ux, uy, vx, vy): around the union of some faces (face, labels) for each label, by
+        loop: counter-clockwise around it, clockwise around its holes.
+        """
+        who = [self.key, *labels]
+        h = self.half_edges.drop("face", "place", "rings").join(self.half_edges.select("h", "face").join(self.regions, "face").select("h", F.col("region").alias("face")), "h")
+        mine = cut_lineage(h.join(chosen.select("face", *labels), "face").drop("face"))
+        inner = mine.select(*who, F.col("h").bitwiseXOR(F.lit(1)).alias("h"))
+        return _loops(mine.join(inner, [*who, "h"], "left_anti"), who)
+
+    def union_areas(self, chosen: DataFrame, labels: tuple[str, ...] = ()) -> DataFrame:
+        """(key, labels, area) of the union of some faces (face, labels) for each label."""
+        own = self.half_edges.join(self.regions.withColumnRenamed("face", "cycle"), F.col("face") == F.col("cycle")).drop("face", "cycle")
+        return own.join(chosen.select(F.col("face").alias("region"), *labels), "region").groupBy(self.key, *labels).agg((F.sum(_TWICE) / 2).alias("area"))
 
     @cached_property
     def overlaps(self) -> DataFrame:
@@ -224,15 +262,7 @@ class PlanarMap:
         h = self.overlaps.join(self.half_edges.drop("place"), [self.key, "face"])
         inner = h.select(*who, F.col("h").bitwiseXOR(F.lit(1)).alias("h"))
         border = h.join(inner, [*who, "h"], "left_anti").select(*who, "h", F.array_contains("rings", F.col("i")).alias("on_i"), F.array_contains("rings", F.col("j")).alias("on_j"), "ux", "uy", "vx", "vy")
-        border = cut_lineage(border)
-        leave = border.select(*who, F.col("h").alias("next"), F.col("ux").alias("vx"), F.col("uy").alias("vy"), F.col("vx").alias("wx"), F.col("vy").alias("wy"))
-        back = F.atan2(_place("uy") - _place("vy"), _place("ux") - _place("vx"))
-        on = F.atan2(_place("wy") - _place("vy"), _place("wx") - _place("vx"))
-        turn = F.pmod(back - on, F.lit(6.283185307179586))
-        follow = border.join(leave, [*who, "vx", "vy"]).groupBy(*who, "h").agg(F.min_by("next", F.struct(F.when(turn <= 1e-12, 7.0).otherwise(turn), "next")).alias("next"))
-        node = lambda c: F.struct("i", "j", "component", F.col(c).alias("h"))
-        walk = cycles(follow.select(node("h").alias("node"), node("next").alias("next"))).select("node.*", F.col("cycle.h").alias("loop"), "place")
-        return cut_lineage(border.join(walk, ["i", "j", "component", "h"]))
+        return _loops(border, who)
 
     def boundary_parts(self) -> DataFrame:
         """(key, i, j, component, ring, n_parts, n_edges, length): of each overlap's border the stretches along ring i or j.

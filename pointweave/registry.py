@@ -570,12 +570,71 @@ DEPTHS = f"{BOXES}, xs AS (SELECT dataset_id, v, lead(v) OVER (PARTITION BY data
 @query(f"WITH {DEPTHS} SELECT dataset_id, round(sum(CASE WHEN depth > 0 THEN a ELSE 0 END), 3) AS any_area, round(sum(CASE WHEN depth > 1 THEN a ELSE 0 END), 3) AS many_area, round(sum(CASE WHEN depth % 2 = 1 THEN a ELSE 0 END), 3) AS odd_area, round(sum(CASE WHEN depth > 0 THEN a ELSE 0 END) - sum(CASE WHEN depth > 1 THEN a ELSE 0 END), 3) AS one_area FROM dp GROUP BY 1")
 def box_booleans(spark: SparkSession, sf: str) -> DataFrame:
     """Areas of Boolean combinations of each dataset's boxes: covered by any, by several, by an odd number, by just one."""
-    from .operators.metrics import boolean_areas
+    from .operators.clipping import depth_areas
 
-    areas = boolean_areas(_boxes(spark, sf).select("dataset_id", _box_ring().alias("ring")))
+    areas = depth_areas(_box_map(spark, sf))
     return areas.select("dataset_id", *[F.round(c, 3).alias(c) for c in ("any_area", "many_area", "odd_area", "one_area")])
 
 
+#: Of two types the one lies above from which the other is one to four steps on, around ten; five apart, the greater.
+_OVER = "(({a} + 10 - {b}) % 10 IN (1, 2, 3, 4) OR (({a} + 10 - {b}) % 10 = 5 AND {a} > {b}))"
+TOPS = f"""{DEPTHS_OF_SETS}, lv AS (SELECT *, [len([1 FOR u IN origins IF u <> t AND {_OVER.format(a='t', b='u')}]) FOR t IN origins] AS wins FROM ds2),
+tp AS (SELECT *, CASE WHEN len(origins) > 0 AND len(list_distinct(wins)) = len(wins) THEN origins[list_position(wins, len(wins) - 1)] END AS top FROM lv)"""
+
+
+def _layers(spark: SparkSession, sf: str):
+    from .operators.face_drawing import face_layers
+
+    m = _box_map(spark, sf)
+    t = m.rings.select("dataset_id", F.col("ring_id").alias("over"))
+    both = t.join(t.withColumnRenamed("over", "under"), "dataset_id").where("over != under")
+    return m, face_layers(m, both.where(_OVER.format(a="over", b="under")))
+
+
+@query(f"WITH {TOPS} SELECT dataset_id, array_to_string(origins, ' ') AS origins, coalesce(top, -1) AS top, round(sum(a), 6) AS area FROM tp WHERE len(origins) > 0 GROUP BY 1, 2, 3")
+def face_tops(spark: SparkSession, sf: str) -> DataFrame:
+    """What lies on top in the faces of each dataset's boxes, which lie above each other in circles; -1: a circle within a
+    face.
+    """
+    from .operators.face_drawing import tops
+
+    m, layers = _layers(spark, sf)
+    f = m.net_areas().join(tops(layers), "face", "left").where(F.size("origins") > 0)
+    return f.groupBy("dataset_id", F.array_join("origins", " ").alias("origins"), F.coalesce("top", F.lit(-1)).alias("top")).agg(F.round(F.sum("area"), 6).alias("area")).where("area > 0")
+
+
+@query(f"""WITH {TOPS}, n AS (SELECT *, dense_rank() OVER (PARTITION BY dataset_id ORDER BY x) AS i, dense_rank() OVER (PARTITION BY dataset_id ORDER BY y) AS j FROM tp), w AS (SELECT DISTINCT dataset_id, i, lead(x) OVER (PARTITION BY dataset_id, j ORDER BY i) - x AS dx FROM n), h AS (SELECT DISTINCT dataset_id, j, lead(y) OVER (PARTITION BY dataset_id, i ORDER BY j) - y AS dy FROM n),
+s AS (SELECT a.dataset_id, a.top, CASE WHEN b.i > a.i THEN h.dy ELSE w.dx END AS d FROM n a JOIN n b ON a.dataset_id = b.dataset_id AND ((b.i = a.i + 1 AND b.j = a.j) OR (b.i = a.i AND b.j = a.j + 1)) AND a.top = b.top AND a.origins <> b.origins LEFT JOIN w ON w.dataset_id = a.dataset_id AND w.i = a.i LEFT JOIN h ON h.dataset_id = a.dataset_id AND h.j = a.j)
+SELECT dataset_id, top, round(sum(d), 3) AS length FROM s GROUP BY 1, 2""")
+def face_seams(spark: SparkSession, sf: str) -> DataFrame:
+    """How long the seams between faces of one top are."""
+    from .operators.face_drawing import seams
+
+    m, layers = _layers(spark, sf)
+    d = distance(F.col("ux"), F.col("uy"), F.col("vx"), F.col("vy")) / 1e6
+    return seams(m, layers).groupBy("dataset_id", "top").agg(F.round(F.sum(d), 3).alias("length"))
+
+
+_FILLED = {"even_odd": "{} % 2 <> 0", "non_zero": "{} <> 0", "positive": "{} > 0", "negative": "{} < 0"}
+_KEPT = {"intersection": "({}) AND ({})", "union": "({}) OR ({})", "difference": "({}) AND NOT ({})", "xor": "({}) <> ({})"}
+_CLIPS = " UNION ALL ".join(f"SELECT dataset_id, '{o}' AS operation, '{r}' AS rule, a FROM w WHERE {_KEPT[o].format(_FILLED[r].format('s'), _FILLED[r].format('c'))}" for o in _KEPT for r in _FILLED)
+
+
+@query(f"""WITH {DEPTHS_OF_SETS}, w AS (SELECT dataset_id, a, coalesce(list_sum([CASE WHEN t % 3 = 0 THEN -1 ELSE 1 END FOR t IN origins IF t % 2 = 0]), 0) AS s, coalesce(list_sum([CASE WHEN t % 3 = 0 THEN -1 ELSE 1 END FOR t IN origins IF t % 2 = 1]), 0) AS c FROM ds2)
+SELECT dataset_id, operation, rule, round(sum(a), 6) AS area FROM ({_CLIPS}) GROUP BY 1, 2, 3""")
+def fill_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """Areas of the boxes of even types combined with those of odd ones, by all operations and fill rules; every third type
+    goes around clockwise.
+    """
+    from .operators.clipping import clip_areas
+    from .operators.planar_map import PlanarMap
+
+    b = _boxes(spark, sf)
+    ring = F.when(F.col("type") % 3 == 0, F.reverse(_box_ring())).otherwise(_box_ring())
+    m = PlanarMap(b.select("dataset_id", F.col("type").alias("ring_id"), ring.alias("ring"), (F.col("type") % 2 == 1).alias("clip")))
+    return clip_areas(m, F.col("clip")).select("dataset_id", "operation", "rule", F.round("area", 6).alias("area"))
+
+
 @query(f"""WITH {DS}, h AS (SELECT dataset_id, type, point_id, x, y, lead(x) OVER o AS nx, lead(y) OVER o AS ny, coalesce(sqrt(power(lead(x) OVER o - x, 2) + power(lead(y) OVER o - y, 2)), 0) AS hop, count(*) OVER (PARTITION BY dataset_id, type) AS n FROM ds WINDOW o AS (PARTITION BY dataset_id, type ORDER BY point_id)),
 c AS (SELECT *, sum(hop) OVER (PARTITION BY dataset_id, type ORDER BY point_id) - hop AS sofar, sum(hop) OVER (PARTITION BY dataset_id, type) AS total FROM h WHERE n > 1),
 q AS (SELECT dataset_id, type, total, s, x + (nx - x) * (s * total - sofar) / hop AS px, y + (ny - y) * (s * total - sofar) / hop AS py FROM c, (SELECT unnest([0.25, 0.75])::DOUBLE AS s) WHERE hop > 0 AND sofar <= s * total AND s * total < sofar + hop)
