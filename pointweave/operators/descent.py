@@ -43,31 +43,31 @@ def _bounds(side: float) -> tuple[Column, Column]:
     return far(-1) * (1 - 1e-9), far(1) * (1 + 1e-9)
 
 
-def _descend(asks: DataFrame, answers: DataFrame, frame: Frame, who: list[str], kinds: list[str], fits: Column, keep_best) -> DataFrame:
-    """Pairs of finest cells (who, ax, ay, kinds, bx, by) that may hold an asker's nearest answer.
+def _descend(asks: DataFrame, answers: DataFrame, frame: Frame, who: list[str], kinds: list[str], tells: dict[str, object], fits: Column, keep_best) -> DataFrame:
+    """Pairs of finest cells (who, ax, ay, kinds, tells, bx, by) that may hold an asker's nearest answer.
 
-    asks: (who, ax, ay); answers: (kinds, bx, by), both on level 0; answers of equal cells are merged by keep_best's
-    owner beforehand. fits: may an answer's cell answer? keep_best(pairs): pairs with lo and up, less the hopeless ones.
+    asks: (who, ax, ay); answers: (kinds, tells, bx, by), both on level 0. Cells are told apart by who and kinds; tells
+    are aggregates of what a cell holds (name: function). fits: may an answer's cell answer? keep_best(pairs): pairs with
+    lo and up, less the hopeless ones.
     """
 
     def on(level: int) -> tuple[DataFrame, DataFrame]:
         a = asks.select(*who, _up(level, "ax").alias("ax"), _up(level, "ay").alias("ay")).distinct()
-        grouped = answers.select(*kinds, _up(level, "bx").alias("bx"), _up(level, "by").alias("by"))
-        b = grouped.groupBy("bx", "by").agg(F.min("low").alias("low"), F.max("high").alias("high")) if kinds == ["low", "high"] else grouped.distinct()
-        return a, b
+        b = answers.select(*kinds, *tells, _up(level, "bx").alias("bx"), _up(level, "by").alias("by")).groupBy(*kinds, "bx", "by").agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(c) for c, f in tells.items()])
+        return a, b.drop("n")
 
     a, b = on(frame.last)
     pairs = a.join(b, (F.col("ax") == F.col("bx")) & (F.col("ay") == F.col("by"))).where(fits)
     for level in range(frame.last - 1, -1, -1):
         a, b = on(level)
         fine_a = a.select(*who, F.col("ax").alias("cx"), F.col("ay").alias("cy"), _up(1, "ax").alias("ax"), _up(1, "ay").alias("ay"))
-        fine_b = b.select(*kinds, F.col("bx").alias("dx"), F.col("by").alias("dy"), _up(1, "bx").alias("bx"), _up(1, "by").alias("by"))
-        same = ["bx", "by"] if kinds == ["low", "high"] else [*kinds, "bx", "by"]
-        old = pairs.drop("low", "high") if kinds == ["low", "high"] else pairs
-        met = old.join(fine_a, [*who, "ax", "ay"]).join(fine_b, same)
-        met = met.select(*who, *kinds, F.col("cx").alias("ax"), F.col("cy").alias("ay"), F.col("dx").alias("bx"), F.col("dy").alias("by")).where(fits)
+        fine_b = b.select(*kinds, *tells, F.col("bx").alias("dx"), F.col("by").alias("dy"), _up(1, "bx").alias("bx"), _up(1, "by").alias("by"))
+        met = pairs.drop(*tells).join(fine_a, [*who, "ax", "ay"]).join(fine_b, [*kinds, "bx", "by"])
+        met = met.select(*who, *kinds, *tells, F.col("cx").alias("ax"), F.col("cy").alias("ay"), F.col("dx").alias("bx"), F.col("dy").alias("by")).where(fits)
         lo, up = _bounds(frame.side * 2.0**level)
-        pairs = cut_lineage(keep_best(met.withColumn("lo", lo).withColumn("up", up)).drop("lo", "up"))
+        pairs = keep_best(met.withColumn("lo", lo).withColumn("up", up)).drop("lo", "up")
+        if level % 3 == 0:
+            pairs = cut_lineage(pairs)
     return pairs
 
 
@@ -80,7 +80,7 @@ def nearest_of_other_class(points: DataFrame) -> DataFrame:
     # A cell's types matter only as far as whether it has another than the asker's: its least and its greatest tell.
     answers = at.groupBy(F.col("ax").alias("bx"), F.col("ay").alias("by")).agg(F.min("type").alias("low"), F.max("type").alias("high"))
     best = lambda p: p.withColumn("best", F.min("up").over(Window.partitionBy("type", "ax", "ay"))).where("lo <= best").drop("best")
-    pairs = _descend(at.select("type", "ax", "ay").distinct(), answers, frame, ["type"], ["low", "high"], (F.col("low") != F.col("type")) | (F.col("high") != F.col("type")), best)
+    pairs = _descend(at.select("type", "ax", "ay").distinct(), answers, frame, ["type"], [], {"low": F.min, "high": F.max}, (F.col("low") != F.col("type")) | (F.col("high") != F.col("type")), best)
     there = at.select(F.col("ax").alias("bx"), F.col("ay").alias("by"), F.col("type").alias("t2"), F.col("point_id").alias("other_id"), F.col("x").alias("ox"), F.col("y").alias("oy"))
     met = pairs.drop("low", "high").join(at, ["type", "ax", "ay"]).join(there, ["bx", "by"]).where("t2 != type")
     one = met.withColumn("d", distance(F.col("x"), F.col("y"), F.col("ox"), F.col("oy"))).groupBy("point_id").agg(F.min(F.struct("d", "other_id")).alias("b"))
@@ -99,7 +99,7 @@ def least_distances(points: DataFrame) -> DataFrame:
         least = p.groupBy(F.col("type1").alias("t1"), F.col("type2").alias("t2")).agg(F.min("up").alias("best"))
         return p.join(least, (F.col("type1") == F.col("t1")) & (F.col("type2") == F.col("t2"))).where("lo <= best").drop("t1", "t2", "best")
 
-    pairs = _descend(at.select("type1", "ax", "ay").distinct(), answers, frame, ["type1"], ["type2"], F.col("type1") < F.col("type2"), best)
+    pairs = _descend(at.select("type1", "ax", "ay").distinct(), answers, frame, ["type1"], ["type2"], {}, F.col("type1") < F.col("type2"), best)
     there = at.select(F.col("type1").alias("type2"), F.col("ax").alias("bx"), F.col("ay").alias("by"), F.col("x").alias("ox"), F.col("y").alias("oy"))
     met = pairs.join(at, ["type1", "ax", "ay"]).join(there, ["type2", "bx", "by"])
     return met.groupBy("type1", "type2").agg(F.min(distance(F.col("x"), F.col("y"), F.col("ox"), F.col("oy"))).alias("d"))
@@ -118,7 +118,7 @@ def nearest_sides(places: DataFrame, sides: DataFrame) -> DataFrame:
     moved = sides.select("side_id", *[(F.col(c) - o).alias(c) for c, o in (("ix", frame.x), ("iy", frame.y), ("jx", frame.x), ("jy", frame.y))])
     dealt = cut_lineage(cells_along(moved, 1e-6 * frame.side, frame.side).select("side_id", F.greatest("__cx", F.lit(0)).alias("bx"), F.greatest("__cy", F.lit(0)).alias("by")))
     best = lambda p: p.withColumn("best", F.min("up").over(Window.partitionBy("who", "ax", "ay"))).where("lo <= best").drop("best")
-    pairs = _descend(at.select("who", "ax", "ay").distinct(), dealt.select(F.lit(0).alias("kind"), "bx", "by").distinct(), frame, ["who"], ["kind"], F.lit(True), best)
+    pairs = _descend(at.select("who", "ax", "ay").distinct(), dealt.select(F.lit(0).alias("kind"), "bx", "by").distinct(), frame, ["who"], ["kind"], {}, F.lit(True), best)
     met = pairs.join(at, ["who", "ax", "ay"]).join(dealt, ["bx", "by"]).select("place_id", "x", "y", "side_id").distinct().join(sides, "side_id")
     d = segment_distance(F.col("x"), F.col("y"), F.col("ix"), F.col("iy"), F.col("jx"), F.col("jy"))
     one = met.withColumn("d", d).groupBy("place_id", "x", "y").agg(F.min(F.struct("d", "side_id", "ix", "iy", "jx", "jy")).alias("b"))

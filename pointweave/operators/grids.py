@@ -76,13 +76,6 @@ def level_of(length: Column, levels: Levels) -> Column:
     return F.least(F.greatest(up, F.lit(0)), F.lit(levels.top + 3)).cast("int")
 
 
-def mixed_cells(points: DataFrame, levels: Levels) -> DataFrame:
-    """(level, cx, cy, types) of the cells that hold several types."""
-    every = F.explode(F.sequence(F.lit(0), F.lit(levels.top + 3))).alias("level")
-    each = points.select("type", "x", "y", every).select("type", "level", cell(F.col("x"), levels.side_of(F.col("level"))).alias("cx"), cell(F.col("y"), levels.side_of(F.col("level"))).alias("cy"))
-    return each.distinct().groupBy("level", "cx", "cy").agg(F.collect_set("type").alias("types")).where(F.size("types") > 1)
-
-
 def within_boxes(points: DataFrame, rings: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """Points (x, y) with the rings (ring, ...) of equal keys whose boxes hold them.
 

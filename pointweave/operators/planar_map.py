@@ -44,15 +44,15 @@ def segments(rings: DataFrame, key: str, ring: str = "ring_id") -> DataFrame:
     return each.where((F.col("ix") != F.col("jx")) | (F.col("iy") != F.col("jy")))
 
 
-def crossings(sides: DataFrame, key: str) -> DataFrame:
-    """(key, ring1, k1, t1, ring2, k2, t2, x, y): sides of different rings that meet, with the fraction of each where they
-    do. Parallel sides don't meet. `sides` should be a written table, as it is read several times.
+def crossings(sides: DataFrame, key: str, part: Column | None = None) -> DataFrame:
+    """(key, ring1, k1, t1, ring2, k2, t2, x, y): sides of different rings that meet (of different `part`, if given), with
+    the fraction of each where they do. Parallel sides don't meet. `sides` should be a written table, as it is read several times.
 
     A side is dealt to cells along it, for its own size and for each greater size that occurs; a pair meets where the
     longer one's size is, and counts in the cell that holds the meeting point.
     """
     size = F.ceil(F.log2(distance(F.col("ix"), F.col("iy"), F.col("jx"), F.col("jy")))).cast("int")
-    sized = sides.withColumn("size", size)
+    sized = sides.withColumn("size", size).withColumn("part", F.col("ring_id") if part is None else part)
     found = sorted(r[0] for r in sized.select("size").distinct().orderBy(F.desc("size")).limit(SIZES).collect())
     if not found:
         found = [0]
@@ -60,11 +60,11 @@ def crossings(sides: DataFrame, key: str) -> DataFrame:
     dealt = sized.withColumn("size", own).withColumn("at", F.explode(F.filter(F.array(*map(F.lit, found)), lambda v: v >= F.col("size"))))
     width = F.pow(F.lit(2.0), F.col("at") - FINER)
     dealt = cells_along(dealt, width * 1e-6, width)
-    cols = ("ring_id", "k", "ix", "iy", "jx", "jy", "size")
+    cols = ("ring_id", "part", "k", "ix", "iy", "jx", "jy", "size")
     one = dealt.where("at = size").select(key, "at", "__cx", "__cy", *[F.col(c).alias(f"{c}_a") for c in cols])
     two = dealt.select(key, "at", "__cx", "__cy", *[F.col(c).alias(f"{c}_b") for c in cols])
     once = (F.col("size_b") < F.col("at")) | (F.col("ring_id_a") < F.col("ring_id_b"))
-    met = one.join(two, [key, "at", "__cx", "__cy"]).where((F.col("ring_id_a") != F.col("ring_id_b")) & once)
+    met = one.join(two, [key, "at", "__cx", "__cy"]).where((F.col("part_a") != F.col("part_b")) & once)
     a, b = ((F.col(f"jx_{s}") - F.col(f"ix_{s}"), F.col(f"jy_{s}") - F.col(f"iy_{s}")) for s in "ab")
     gap = F.col("ix_b") - F.col("ix_a"), F.col("iy_b") - F.col("iy_a")
     met = met.withColumn("den", a[0] * b[1] - a[1] * b[0]).where(F.abs("den") > 1e-12)
@@ -77,8 +77,9 @@ def crossings(sides: DataFrame, key: str) -> DataFrame:
     return met.select(key, *[pick(f"{p}", f"{q}", n) for p, q, n in (("ring_id_a", "ring_id_b", "ring1"), ("k_a", "k_b", "k1"), ("t", "u", "t1"), ("ring_id_b", "ring_id_a", "ring2"), ("k_b", "k_a", "k2"), ("u", "t", "t2"))], "x", "y")
 
 
-#: Twice the area that a half-edge adds to what lies to its left.
-_TWICE = _place("ux") * _place("vy") - _place("vx") * _place("uy")
+def _twice() -> Column:
+    """Twice the area that a half-edge adds to what lies to its left."""
+    return _place("ux") * _place("vy") - _place("vx") * _place("uy")
 
 
 def _loops(border: DataFrame, who: list[str]) -> DataFrame:
@@ -167,7 +168,7 @@ class PlanarMap:
         size = distance(_place("ux"), _place("uy"), _place("vx"), _place("vy"))
         h = self.half_edges.withColumn("size", size)
         longest = F.max_by(F.struct("ux", "uy", "vx", "vy", "size"), F.struct("size", "h"))
-        each = h.groupBy(self.key, "face").agg(F.count(F.lit(1)).alias("n_edges"), (F.sum(_TWICE) / 2).alias("area"), longest.alias("s")).where(F.col("area") > 5e-10)
+        each = h.groupBy(self.key, "face").agg(F.count(F.lit(1)).alias("n_edges"), (F.sum(_twice()) / 2).alias("area"), longest.alias("s")).where(F.col("area") > 5e-10)
         # Just left of the middle of the longest edge.
         step = F.least(F.lit(0.01), F.col("s.size") / 100) / F.col("s.size")
         px = (_place("s.ux") + _place("s.vx")) / 2 - (_place("s.vy") - _place("s.uy")) * step
@@ -207,7 +208,7 @@ class PlanarMap:
         A part that lies in a face and touches none of its edges has an outer cycle, of negative area, that borders on
         this face: its leftmost place is looked up among the faces of other parts, and the smallest that holds it is it.
         """
-        outer = self.half_edges.groupBy(self.key, "face").agg((F.sum(_TWICE) / 2).alias("area"), F.min(F.struct("ux", "uy")).alias("p")).where(F.col("area") < -5e-10).join(self.face_parts, "face")
+        outer = self.half_edges.groupBy(self.key, "face").agg((F.sum(_twice()) / 2).alias("area"), F.min(F.struct("ux", "uy")).alias("p")).where(F.col("area") < -5e-10).join(self.face_parts, "face")
         outer = cut_lineage(outer.select(self.key, F.col("face").alias("cycle"), F.col("part").alias("inner"), _place("p.ux").alias("x"), _place("p.uy").alias("y")))
         f = self.faces.join(self.face_parts, "face")
         lines = self.outlines().join(f.select("face", "part", "area"), "face")
@@ -217,7 +218,7 @@ class PlanarMap:
 
     def net_areas(self) -> DataFrame:
         """(key, face, origins, area): bounded faces without the parts that lie in them and touch none of their edges."""
-        own = self.half_edges.join(self.regions.where("region is not null"), "face").groupBy(F.col("region").alias("face")).agg((F.sum(_TWICE) / 2).alias("area"))
+        own = self.half_edges.join(self.regions.where("region is not null"), "face").groupBy(F.col("region").alias("face")).agg((F.sum(_twice()) / 2).alias("area"))
         return self.faces.drop("area").join(own, "face").select(self.key, "face", "origins", "area")
 
     def borders(self, chosen: DataFrame, labels: tuple[str, ...] = ()) -> DataFrame:
@@ -233,7 +234,7 @@ class PlanarMap:
     def union_areas(self, chosen: DataFrame, labels: tuple[str, ...] = ()) -> DataFrame:
         """(key, labels, area) of the union of some faces (face, labels) for each label."""
         own = self.half_edges.join(self.regions.withColumnRenamed("face", "cycle"), F.col("face") == F.col("cycle")).drop("face", "cycle")
-        return own.join(chosen.select(F.col("face").alias("region"), *labels), "region").groupBy(self.key, *labels).agg((F.sum(_TWICE) / 2).alias("area"))
+        return own.join(chosen.select(F.col("face").alias("region"), *labels), "region").groupBy(self.key, *labels).agg((F.sum(_twice()) / 2).alias("area"))
 
     @cached_property
     def overlaps(self) -> DataFrame:

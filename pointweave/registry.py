@@ -764,3 +764,24 @@ def potential_members(spark: SparkSession, sf: str) -> DataFrame:
 
     p = src.pts(spark, sf)
     return contour_members(p, zero_contours(p, step=fields.STEP))
+
+
+@query(f"WITH {GHULL}, d AS (SELECT v.point_id, e.g, {_TO_EDGE} AS d FROM pts v, he e), m AS (SELECT point_id, min(d) AS d FROM d GROUP BY 1) SELECT m.point_id, min(d.g) AS g, round(m.d, 6) AS d FROM m JOIN d ON d.point_id = m.point_id AND d.d <= m.d + 1e-9 GROUP BY m.point_id, m.d")
+def drawing_nearest(spark: SparkSession, sf: str) -> DataFrame:
+    """The hull, of all types of all datasets, whose outline is nearest to each point."""
+    from .operators.lookups import nearest
+
+    at = src.pts(spark, sf).select(F.col("point_id").alias("place_id"), "x", "y")
+    return nearest(at, _hulls(spark, sf), "g").select(F.col("place_id").alias("point_id"), F.col("ring_id").alias("g"), r6("d").alias("d"))
+
+
+@query(f"""WITH {BOXES}, v AS (SELECT dataset_id, type, unnest([x0, x1]) AS x, y0 AS lo, y1 AS hi FROM rb), h AS (SELECT dataset_id, type, unnest([y0, y1]) AS y, x0 AS lo, x1 AS hi FROM rb),
+c AS (SELECT v.dataset_id, v.type AS a, h.type AS b, v.x, h.y FROM v JOIN h ON v.dataset_id = h.dataset_id AND v.type <> h.type AND v.x >= h.lo AND v.x <= h.hi AND h.y >= v.lo AND h.y <= v.hi)
+SELECT dataset_id, CASE WHEN a % 2 = 0 THEN a ELSE b END AS asked_id, CASE WHEN a % 2 = 0 THEN b ELSE a END AS ring_id, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y FROM c WHERE a % 2 <> b % 2""")
+def drawing_intersections(spark: SparkSession, sf: str) -> DataFrame:
+    """Where the boxes of even types meet those of odd ones."""
+    from .operators.lookups import intersections
+
+    b = _boxes(spark, sf).select("dataset_id", F.col("type").alias("ring_id"), _box_ring().alias("ring"))
+    met = intersections(b.where("ring_id % 2 = 0"), b.where("ring_id % 2 = 1"), merge=0.0)
+    return met.select("dataset_id", "asked_id", "ring_id", r6("x").alias("x"), r6("y").alias("y"))
