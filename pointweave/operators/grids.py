@@ -94,3 +94,34 @@ def within_boxes(points: DataFrame, rings: DataFrame, keys: tuple[str, ...] = ()
     at = points.withColumn("__size", F.explode(F.array(*map(F.lit, sizes)))).withColumn("__cx", cell(F.col("x"), side)).withColumn("__cy", cell(F.col("y"), side))
     box = F.col("x").between(F.col("__x0"), F.col("__x1")) & F.col("y").between(F.col("__y0"), F.col("__y1"))
     return at.join(dealt, [*keys, "__size", "__cx", "__cy"]).where(box).drop("__size", "__cx", "__cy", "__x0", "__x1", "__y0", "__y1")
+
+
+def boxes_meet(one: DataFrame, two: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (ring, ...) and (other, ...) of equal keys whose boxes meet.
+
+    Each ring is dealt to cells of half its own size or more, for its own size and all greater ones that occur; a pair
+    meets in cells of the larger one's size, and counts in the cell of the lower left corner that both boxes have.
+    """
+
+    def boxed(rows: DataFrame, ring: str, n: str) -> DataFrame:
+        xs, ys = F.transform(ring, lambda p: p["x"]), F.transform(ring, lambda p: p["y"])
+        b = rows.where(F.size(ring) > 0).select("*", F.array_min(xs).alias(f"__x0{n}"), F.array_max(xs).alias(f"__x1{n}"), F.array_min(ys).alias(f"__y0{n}"), F.array_max(ys).alias(f"__y1{n}"))
+        wide = F.greatest(F.col(f"__x1{n}") - F.col(f"__x0{n}"), F.col(f"__y1{n}") - F.col(f"__y0{n}"), F.lit(1e-9))
+        return b.withColumn(f"__size{n}", F.ceil(F.log2(wide)).cast("int"))
+
+    a, b = boxed(one, "ring", "a"), boxed(two, "other", "b")
+    sizes = sorted({r[0] for r in a.select("__sizea").distinct().unionByName(b.select(F.col("__sizeb").alias("__sizea")).distinct()).distinct().orderBy(F.desc("__sizea")).limit(LEVELS).collect()}) or [0]
+
+    def dealt(rows: DataFrame, n: str) -> DataFrame:
+        own = F.greatest(F.col(f"__size{n}"), F.lit(sizes[0]))
+        every = rows.withColumn(f"__size{n}", own).withColumn("__at", F.explode(F.filter(F.array(*map(F.lit, sizes)), lambda v: v >= F.col(f"__size{n}"))))
+        side = F.pow(F.lit(2.0), F.col("__at") - 1)
+        span = lambda axis: F.explode(F.sequence(cell(F.col(f"__{axis}0{n}"), side), cell(F.col(f"__{axis}1{n}"), side)))
+        return every.withColumn("__cx", span("x")).withColumn("__cy", span("y"))
+
+    met = dealt(a, "a").join(dealt(b, "b"), [*keys, "__at", "__cx", "__cy"]).where(F.col("__at") == F.greatest("__sizea", "__sizeb"))
+    side = F.pow(F.lit(2.0), F.col("__at") - 1)
+    here = (cell(F.greatest("__x0a", "__x0b"), side) == F.col("__cx")) & (cell(F.greatest("__y0a", "__y0b"), side) == F.col("__cy"))
+    meets = F.expr("__x0a <= __x1b and __x0b <= __x1a and __y0a <= __y1b and __y0b <= __y1a")
+    own = [f"__{c}{n}" for n in "ab" for c in ("x0", "x1", "y0", "y1", "size")]
+    return met.where(meets & here).drop("__at", "__cx", "__cy", *own)

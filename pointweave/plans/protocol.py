@@ -6,6 +6,8 @@ each dataset) or `progress`. Growth is done anew only if points or settings that
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,15 +33,21 @@ def completed(documents: DataFrame, by: str = "dataset_id") -> DataFrame:
     return documents.select(by, F.to_json(F.struct(F.lit("completed").alias("kind"), F.col(by).alias("dataset_id"), F.col("document").alias("svg"))).alias("value"))
 
 
+def progress_line(share: float) -> str:
+    return json.dumps({"kind": "progress", "progress": float(share)})
+
+
 def progress(share: float, spark: SparkSession) -> DataFrame:
-    return spark.range(1).select(F.to_json(F.struct(F.lit("progress").alias("kind"), F.lit(float(share)).alias("progress"))).alias("value"))
+    return spark.createDataFrame([(progress_line(share),)], "value string")
 
 
 class Session:
     """What one client has asked for. Answers to requests that need an earlier one are None where there is none."""
 
-    def __init__(self, spark: SparkSession):
+    def __init__(self, spark: SparkSession, tell=None):
+        """tell: called with a progress message (a line of JSON) now and then while points grow."""
         self.spark = spark
+        self.tell = tell and (lambda share: tell(progress_line(share)))
         self.drawing: Drawing | None = None
         self.grown: tuple | None = None
         self.growths = 0
@@ -56,7 +64,7 @@ class Session:
             if self.grown == growth:
                 self.drawing = self.drawing.with_settings(settings)
             else:
-                self.drawing, self.grown, self.growths = Drawing(points, settings).compute(), growth, self.growths + 1
+                self.drawing, self.grown, self.growths = Drawing(points, settings).compute(self.tell), growth, self.growths + 1
         elif self.drawing is None:
             return None
         elif row["kind"] == "change_cover":

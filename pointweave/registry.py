@@ -443,6 +443,22 @@ def svg_parse(spark: SparkSession, sf: str) -> DataFrame:
     return patterns.select("dataset_id", "shape_id", F.size("point_ids").cast("long").alias("n_points"), F.aggregate("point_ids", F.lit(0).cast("long"), lambda s, i: s + i).alias("ids"), "mixed")
 
 
+@query(f"WITH {DS} SELECT dataset_id, row_number() OVER (PARTITION BY dataset_id ORDER BY type, point_id) - 1 AS point_id, type, round({_R3('x')}, 6) + 0.0 AS x, round({_R3('y')}, 6) + 0.0 AS y FROM ds")
+def svg_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """Points written as circles in nested groups, of which the inner ones have a type's colour, and read again."""
+    from .sources import svg
+
+    p = src.pts_ds(spark, sf)
+    nodes = lambda rows, path, attributes, text: rows.select("dataset_id", F.array(*[c.cast("long") for c in path]).alias("path"), F.create_map(*attributes).alias("attributes"), text.alias("svg"))
+    none, zero = F.lit(None).cast("string"), F.lit(0)
+    types = p.select("dataset_id", "type").distinct()
+    tree = nodes(p.select("dataset_id").distinct(), [zero], [F.lit("stroke"), F.lit("#000000")], none)
+    tree = tree.unionByName(nodes(types, [zero, F.col("type")], [F.lit("fill"), drawing.color_of(F.col("type"))], none))
+    tree = tree.unionByName(nodes(p, [zero, F.col("type"), F.col("point_id")], [F.lit("id"), F.col("point_id").cast("string")], drawing.circle_tag(F.col("x"), F.col("y"), 1.0)))
+    points, _ = svg.parse_svg(drawing.tree_svg(tree).select("dataset_id", F.col("document").alias("value")), 1.0)
+    return points.select("dataset_id", "point_id", "type", r6("x").alias("x"), r6("y").alias("y"))
+
+
 @query(f"WITH {PTS}, c(i, r, g, b) AS (VALUES {', '.join(f'({i}, {r!r}::DOUBLE, {g!r}::DOUBLE, {b!r}::DOUBLE)' for i, (r, g, b) in enumerate(PALETTE))}), t AS (SELECT DISTINCT type FROM pts UNION ALL SELECT 40) SELECT type, coalesce(format('#{{:02x}}{{:02x}}{{:02x}}', CAST(round_even(255 * r, 0) AS INTEGER), CAST(round_even(255 * g, 0) AS INTEGER), CAST(round_even(255 * b, 0) AS INTEGER)), '#ffffff') AS color, coalesce(format('#{{:02x}}{{:02x}}{{:02x}}', CAST(round_even(255 * (r + (1 - r) * 0.7), 0) AS INTEGER), CAST(round_even(255 * (g + (1 - g) * 0.7), 0) AS INTEGER), CAST(round_even(255 * (b + (1 - b) * 0.7), 0) AS INTEGER)), '#ffffff') AS light FROM t LEFT JOIN c ON i = type")
 def type_colors(spark: SparkSession, sf: str) -> DataFrame:
     t = src.pts(spark, sf).select("type").distinct().unionByName(spark.createDataFrame([(40,)], "type int"))
@@ -481,11 +497,12 @@ def _hulls(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH {GHULL}, vin AS (SELECT v.dataset_id, v.g AS g1, e.g AS g2 FROM he v JOIN he e ON v.dataset_id = e.dataset_id AND v.g <> e.g GROUP BY v.dataset_id, v.g, v.p, e.g HAVING bool_and((e.qx - e.px) * (v.py - e.py) - (e.qy - e.py) * (v.px - e.px) <= 0)), u AS (SELECT * FROM cx UNION SELECT dataset_id, least(g1, g2), greatest(g1, g2) FROM vin) SELECT DISTINCT dataset_id, g1, g2 FROM u")
 def contours_overlap(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs of types of a dataset whose hulls overlap."""
+    from .operators.grids import boxes_meet
     from .sources.svg import rings_meet
 
     h = _hulls(spark, sf)
-    one, two = h.select("dataset_id", F.col("g").alias("g1"), F.col("ring").alias("r1")), h.select("dataset_id", F.col("g").alias("g2"), F.col("ring").alias("r2"))
-    return one.join(two, "dataset_id").where("g1 < g2").where(rings_meet(F.col("r1"), F.col("r2"))).select("dataset_id", "g1", "g2")
+    one, two = h.select("dataset_id", F.col("g").alias("g1"), "ring"), h.select("dataset_id", F.col("g").alias("g2"), F.col("ring").alias("other"))
+    return boxes_meet(one, two, ("dataset_id",)).where("g1 < g2").where(rings_meet(F.col("ring"), F.col("other"))).select("dataset_id", "g1", "g2")
 
 
 _TO_EDGE = "sqrt(power(v.x - (e.px + greatest(0, least(1, ((v.x - e.px) * (e.qx - e.px) + (v.y - e.py) * (e.qy - e.py)) / (power(e.qx - e.px, 2) + power(e.qy - e.py, 2)))) * (e.qx - e.px)), 2) + power(v.y - (e.py + greatest(0, least(1, ((v.x - e.px) * (e.qx - e.px) + (v.y - e.py) * (e.qy - e.py)) / (power(e.qx - e.px, 2) + power(e.qy - e.py, 2)))) * (e.qy - e.py)), 2))"

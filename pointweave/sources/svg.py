@@ -15,6 +15,7 @@ from pyspark.sql.functions import pandas_udf
 
 from ..functions import booleans
 from ..functions.planar import ring_area, ring_contains, ring_distance, segments_cross
+from ..operators.grids import boxes_meet, within_boxes
 from ..operators.pairs import nearest_color
 from ..plans.storage import cut_lineage
 from ..settings import PALETTE
@@ -220,11 +221,13 @@ def region_members(regions: DataFrame, points: DataFrame, keys: tuple[str, ...]
     parts = regions.select(*by, F.col("shape_id"), "role", "ring")
     within = points.select(*by, "point_id", "x", "y")
     pick = lambda role, name, ring: parts.where(F.col("role") == role).select(*by, F.col("shape_id").alias(name), F.col("ring").alias(ring))
-    meet = (lambda a, b: a.join(b, by)) if by else (lambda a, b: a.crossJoin(F.broadcast(b)))  # one drawing's few shapes
-    inside = lambda shapes, name, ring: meet(within, shapes).where(ring_contains(F.col(ring), F.col("x"), F.col("y"))).select(*by, name, "point_id")
+    inside = lambda shapes, name, ring: within_boxes(within, shapes.withColumnRenamed(ring, "ring"), tuple(by)).where(ring_contains(F.col("ring"), F.col("x"), F.col("y"))).select(*by, name, "point_id")
     region, hole = pick("region", "shape_id", "ring"), pick("hole", "hole_id", "hole")
-    fits = rings_meet(F.col("ring"), F.col("hole")) if overlap else F.forall("hole", lambda c: ring_contains(F.col("ring"), c["x"], c["y"]))
-    owned = meet(region, hole).where(fits).select(*by, "shape_id", "hole_id")
+    if overlap:
+        owned = boxes_meet(region, hole.withColumnRenamed("hole", "other"), tuple(by)).where(rings_meet(F.col("ring"), F.col("other"))).select(*by, "shape_id", "hole_id")
+    else:
+        corner = hole.select("*", F.get("hole", F.lit(0))["x"].alias("x"), F.get("hole", F.lit(0))["y"].alias("y"))
+        owned = within_boxes(corner, region, tuple(by)).where(F.forall("hole", lambda c: ring_contains(F.col("ring"), c["x"], c["y"]))).select(*by, "shape_id", "hole_id")
     gone = inside(hole, "hole_id", "hole").join(owned, [*by, "hole_id"]).select(*by, "shape_id", "point_id", F.lit(True).alias("gone")).distinct()
     every = inside(region, "shape_id", "ring").join(gone, [*by, "shape_id", "point_id"], "left")
     left = F.sum(F.when(F.col("gone").isNull(), 1).otherwise(0)).over(Window.partitionBy(*by, "shape_id"))
@@ -249,7 +252,7 @@ def parse_svg(files: DataFrame, pt_size: float, palette: list[tuple[float, float
     if mode == "cluster":
         marks = marks.join(dots.select(key, F.col("fill").alias("stroke")).distinct(), [key, "stroke"], "left_semi")
         marks = marks.withColumn("ring", F.when(F.col("role") == "region", pandas_udf(_wider, RING)("ring", F.coalesce("stroke_width", F.lit(0.0)) / 2)).otherwise(F.col("ring")))
-    near = points.select(key, "point_id", "x", "y").join(marks.select(key, "shape_id", "role", "ring", "stroke_width"), key).where(ring_contains(F.col("ring"), F.col("x"), F.col("y")))
+    near = within_boxes(points.select(key, "point_id", "x", "y"), marks.select(key, "shape_id", "role", "ring", "stroke_width"), (key,)).where(ring_contains(F.col("ring"), F.col("x"), F.col("y")))
     gap = ring_distance(F.col("ring"), F.col("x"), F.col("y"))
     if mode == "cluster":
         near = near.where(gap > F.coalesce("stroke_width", F.lit(0.0)) / 4 - 1e-6)
