@@ -63,9 +63,9 @@ def _tokenizer(path: str):
     return t
 
 
-def encoder(path: str, kind: str) -> Encoder:
+def encoder(path: str, kind: str, memory: int = 200_000) -> Encoder:
     """A Python worker's encoder: it lives on from task to task, and with it what it knows."""
-    return worker_memory(("encoder", path, kind), lambda: Encoder(path, kind))
+    return worker_memory(("encoder", path, kind, memory), lambda: Encoder(path, kind, memory))
 
 
 class Encoder:

@@ -40,12 +40,12 @@ def unpack(ids: bytes, length: int) -> np.ndarray:
     return np.frombuffer(ids, "<u2" if len(ids) == 2 * length else "<u4")
 
 
-def cut_documents(docs: DataFrame, path: str, kind: str = "space", length: int = LENGTH, unit: int = UNIT, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
+def cut_documents(docs: DataFrame, path: str, kind: str = "space", length: int = LENGTH, unit: int = UNIT, end_id: int = END_ID, with_ids: bool = False, memory: int = 200_000) -> DataFrame:
     """Pieces of all documents: doc_id, start, length, ids_crc32, doc_tokens, cls, part, rank_in_part (and ids: packed)."""
     fields = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, cls int, part int, rank_in_part long" + ", ids binary" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = worker_encoder(path, kind)
+        encoder = worker_encoder(path, kind, memory)
         kind_of_id = id_type(max(encoder.vocabulary, end_id + 1))
         part = TaskContext.get().partitionId()
         seen = np.zeros(length // unit + 1, np.int64)
@@ -199,16 +199,17 @@ def slots_of(plan: list[tuple[dict[int, int], int]]) -> dict[str, np.ndarray]:
     return {"key": (t[:, 0] << 48) | t[:, 1], "rank": t[:, 1], "each": t[:, 2], "sequence": t[:, 3], "slot": t[:, 4]}
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, kind: str = "space", length: int = LENGTH, unit: int = UNIT, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, kind: str = "space", length: int = LENGTH, unit: int = UNIT, end_id: int = END_ID, with_ids: bool = False, memory: int = 200_000) -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ids if wanted, packed
     as id_type() says (see unpack()).
 
     Null text is empty; every document has at least its end id, so each row of docs, repeated ones too, has a piece.
     Texts of any length are cut at multiples of the sequence length. Null and repeated ids are kept as they are; other
-    columns are ignored; an empty table gives an empty result. Sequences are numbered from 0 without a gap.
+    columns are ignored; an empty table gives an empty result. Sequences are numbered from 0 without a gap. memory: encoded
+    pieces that a worker keeps.
     """
     path = tokenizer or str(public_tokenizers.path(TOKENIZER))
-    pieces = materialize(cut_documents(docs, path, kind, length, unit, end_id, with_ids), "pack-pieces")
+    pieces = materialize(cut_documents(docs, path, kind, length, unit, end_id, with_ids, memory), "pack-pieces")
     per_part = pieces.groupBy("cls", "part").agg(F.count(F.lit(1)).alias("n"))
     demand = {r["cls"]: r["n"] for r in per_part.groupBy("cls").agg(F.sum("n").alias("n")).collect()}  # at most length / unit rows
     table = slots_of(solve_patterns(demand, length // unit))

@@ -69,7 +69,7 @@ def read_container(data: bytes, lo: int = 0, hi: int | None = None) -> np.ndarra
 _STORE = "part int, chunk int, start_in_part long, n_ids long, doc_ids array<long>, doc_lengths array<long>, container binary"
 
 
-def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, kind: str = "word", end_id: int = END_ID, block: int = BLOCK, chunk: int = CHUNK) -> None:
+def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, kind: str = "word", end_id: int = END_ID, block: int = BLOCK, chunk: int = CHUNK, memory: int = 200_000) -> None:
     """Encode every whole text and write the store to path, in ascending doc_id order (null ids first).
 
     Rows of one id are ordered by a hash of their text; equal rows also by where they were read, so that no single id
@@ -78,7 +78,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, kind:
     tokenizer = tokenizer or str(public_tokenizers.path(TOKENIZER))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = worker_encoder(tokenizer, kind)
+        encoder = worker_encoder(tokenizer, kind, memory)
         part, chunks, start = TaskContext.get().partitionId(), 0, 0
         held: list[np.ndarray] = []
         doc_ids: list = []
