@@ -143,7 +143,7 @@ def test_contours_against_a_walk(spark):
 
     r = random.Random(3)
     points = [(i, r.randrange(3), r.gauss(0, 60), r.gauss(0, 60)) for i in range(40)] + [(100, 0, 10.0, 20.0), (101, 1, -30.0, 40.0), (102, 2, -30.0, 40.0)]
-    points += [(200 + k, 4, 500 + 40 * math.cos(k), 500 + 40 * math.sin(k)) for k in range(24)]  # a ring with a hole
+    points += [(200 + k, 4, 500 + 70 * math.cos(k), 500 + 70 * math.sin(k)) for k in range(24)]  # a ring with a hole
     p = spark.createDataFrame(points, "point_id long, type int, x double, y double")
     for step in (5.0, 2.5):
         values = {}
