@@ -58,29 +58,42 @@ class LineIndex:
         n, lines = len(self.vectors), len(self.sorted)
         least, need = min(least, n), math.ceil(threshold * lines)
         lengths = np.sqrt((queries * queries).sum(axis=1))
-        every = np.arange(lines)
+        order, level = list(self.order.astype(np.intp)), 0  # as they are counted
         for lo in range(0, len(queries), 256):
             q = queries[lo : lo + 256]
             at = np.einsum("qd,dl->lq", q * (self.norm / lengths[lo : lo + 256])[:, None], self.axes[:-1])
-            widths, levels = half * self.spread, []
+            levels: dict[int, list] = {}
             for i in range(len(q)):
-                # Misses of each vector: lines on which it lies beyond the window. At first all windows are empty.
-                misses, outside = None, None
-                for level in range(10_000):
-                    if level == len(levels):
-                        levels.append(self.ends(at, widths * factor**level))
-                    low, high = levels[level][0][:, i], levels[level][1][:, i]
+                # Misses of each vector: lines on which it lies beyond the window. Hits only grow with the level, so the
+                # search for the first level with enough of them may begin where the query before ended.
+                misses, window, found = None, None, None
+                while True:
+                    if level not in levels:
+                        levels[level] = [x.T.tolist() for x in self.ends(at, half * self.spread * factor**level)]
+                    low, high = levels[level][0][i], levels[level][1][i]
                     if misses is None:
-                        walked = [self.order[k, : low[k]] for k in every] + [self.order[k, high[k] :] for k in every]
-                        misses = np.bincount(np.concatenate(walked), minlength=n)
+                        misses = self._walked([o[:a] for o, a in zip(order, low, strict=True)] + [o[b:] for o, b in zip(order, high, strict=True)])
+                    elif found is None:
+                        misses -= self._walked([o[a:b] for o, a, b in zip(order, low, window[0], strict=True)] + [o[a:b] for o, a, b in zip(order, window[1], high, strict=True)])
                     else:
-                        walked = [self.order[k, low[k] : outside[0][k]] for k in every] + [self.order[k, outside[1][k] : high[k]] for k in every]
-                        misses -= np.bincount(np.concatenate(walked), minlength=n)
-                    outside = (low, high)
+                        misses += self._walked([o[a:b] for o, a, b in zip(order, window[0], low, strict=True)] + [o[a:b] for o, a, b in zip(order, high, window[1], strict=True)])
+                    narrower = found is not None or window is None
+                    window = (low, high)
                     hit = np.flatnonzero(misses <= lines - need)
                     if len(hit) >= least:
-                        break
-                yield hit
+                        found = hit
+                        if not narrower or not level:
+                            break
+                        level -= 1
+                    else:
+                        level += 1
+                        if found is not None:
+                            break
+                yield found
+
+    def _walked(self, entries: list[np.ndarray]) -> np.ndarray:
+        """How often each vector stands in the entries."""
+        return np.bincount(np.concatenate(entries), minlength=len(self.vectors))
 
 
 def search_block(queries: np.ndarray, vectors: np.ndarray, top: int, share: float, threshold: float, half: float, factor: float, lines: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
