@@ -43,6 +43,10 @@ CELLS = 1 << 18
 OFTEN = 2000
 #: A key is hot if it holds more than one in so many rows.
 HOT = 1000
+#: Bits that stand for a key in the bitmaps of `sifted`, of all keys at most, and of one row.
+KEY_BITS = 16
+MOST_BITS = 1 << 27
+MAP_BITS = 1 << 15
 #: How many darts fall on a unit of area: the distribution with mean 1, cumulated.
 _POISSON = np.cumsum(np.exp(-1.0) / np.array([math.factorial(i) for i in range(18)], float))
 
@@ -171,6 +175,23 @@ def lookup(rows: DataFrame, facts: DataFrame, key: str, how: str = "inner") -> D
     return rows.join(hot, key, "left_anti").join(facts, key, how).unionByName(few)
 
 
+def sifted(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """All rows whose key is among `keys`, and a few others: about one in KEY_BITS, the more the fuller the bitmap gets.
+
+    Places of the keys' hashes in a bitmap of 16 MB at most, which goes by broadcast: rows needn't be shuffled to be
+    dropped. An exact join has to follow.
+    """
+    n = keys.count()
+    bits = min(MOST_BITS, max(MAP_BITS, 1 << (KEY_BITS * n).bit_length()))
+    place = F.pmod(F.xxhash64(key), F.lit(bits))
+    part, bit = F.shiftright("__at", 15).alias("__part"), F.col("__at").bitwiseAND(MAP_BITS - 1).alias("__bit")
+    # Dealt out before they are put together: else each task would make a row of each part.
+    maps = keys.select(place.alias("__at")).select(part, bit).repartition("__part").groupBy("__part").agg(F.bitmap_construct_agg("__bit").alias("__map"))
+    byte = F.conv(F.hex(F.substring("__map", F.shiftright("__bit", 3).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    met = rows.withColumn("__at", place).select(*rows.columns, part, bit).join(F.broadcast(maps), "__part")
+    return met.where(F.getbit(byte, F.col("__bit").bitwiseAND(7).cast("int")) == 1).select(*rows.columns)
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the least node that each node of an edge is connected with.
 
@@ -349,9 +370,10 @@ def classes(docs: DataFrame, words: int = WORDS, least: float = SIMILARITY, band
     # A row for each node and leader, not for each bucket that they share.
     shared = scratch.write(lookup(banded, buckets, "h").select("key", "leader").distinct(), "dup-shared")
     first = shared.where("key != leader").select(F.col("key").alias("a"), F.col("leader").alias("b"))
-    # Equal texts are one row before the shuffle.
-    texts = keyed.select("key", F.coalesce("text", F.lit("")).alias("text")).groupBy("key").agg(F.first("text").alias("text"))
-    texts = scratch.write(texts.join(shared.select("key").distinct(), "key", "left_semi"), "dup-texts")
+    # Only texts that share a bucket are shuffled, equal ones as one row.
+    alike = shared.select("key").distinct()
+    texts = sifted(keyed.select("key", F.coalesce("text", F.lit("")).alias("text")), alike, "key").groupBy("key").agg(F.first("text").alias("text"))
+    texts = scratch.write(texts.join(alike, "key", "left_semi"), "dup-texts")
     links = scratch.write(_check(first, texts, words, least, weighting), "dup-links")
     found = components(links)
     more = _tiled_links(shared, found, texts, words, least, weighting, scratch)
