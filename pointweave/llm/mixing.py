@@ -13,6 +13,7 @@ running sums over all of the source.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,6 +23,8 @@ from .base import WORD, distinct_rows, materialize, uniform
 #: Weights by a source's place in code point order, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
 BLOCK = 48
+#: Rounds in which documents are turned over until a source meets its target.
+SETTLING = 3
 _WHOLE = 1e-9
 
 
@@ -129,55 +132,66 @@ def mix(docs: DataFrame, source: str = "source", weights: tuple[float, ...] = WE
     goals = goal.select(F.col("source").alias("__g"), "source_size", F.col("target").cast("double").alias("target"), "__base")
     rounded = rows.join(taken, on, "left").join(goals, F.col("source").eqNullSafe(F.col("__g")), "left").select("doc_id", "source", "copy_no", "size", "source_size", "target", F.col("__base").cast("long").alias("base"), "take")
     rounded = materialize(rounded, "mix-rounded")
-    flips = _settle(rounded, seed).select(F.col("source").alias("__ts"), F.col("id.doc_id").alias("__td"), F.col("id.size").alias("__tz"), F.col("id.copy_no").alias("__tc"), F.lit(True).alias("flip"))
-    copies = F.col("base") + F.when(F.col("flip"), 1 - F.col("take")).otherwise(F.coalesce(F.col("take"), F.lit(0)))
-    return rounded.join(flips, on, "left").select("doc_id", "size", "source_size", "target", (copies * F.col("size")).cast("long").alias("taken"), "source", "copy_no", copies.cast("long").alias("copies"))
+    settled = _settle(rounded, seed)
+    flip = (F.col("take") == F.col("__wanted")) & (_turned(SETTLING) | ((F.col("size") <= F.col("__left")) & F.coalesce(F.array_contains("__ids", F.struct("doc_id", "size", "copy_no")), F.lit(False))))
+    turning = rounded.withColumns(_order(seed)).join(settled, F.col("source").eqNullSafe(F.col("__g")), "left")
+    copies = F.col("base") + F.when(flip, 1 - F.col("take")).otherwise(F.coalesce(F.col("take"), F.lit(0)))
+    return turning.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).cast("long").alias("taken"), "source", "copy_no", copies.cast("long").alias("copies"))
 
 
-def _settle(rounded: DataFrame, seed: int, rounds: int = 3, most: int = 256) -> DataFrame:
-    """The documents whose last roundings are turned over, so that a source's words meet its target.
+def _order(seed: int) -> dict[str, Column]:
+    """A document's place in random order and its size class."""
+    return {"__u": uniform(seed - 2, F.struct("doc_id", "size", "copy_no")), "__class": F.floor(F.log2("size"))}
+
+
+def _turned(rounds: int) -> Column:
+    """Whether one of the first rounds has turned a document over whose rounding is the one wanted."""
+    now = [(F.col("size") <= F.col(f"__left{k}")) & (F.col("__class") <= F.col(f"__top{k}")) & (F.col("__u") < F.col(f"__cut{k}")) for k in range(rounds)]
+    return reduce(lambda a, b: a | F.coalesce(b, F.lit(False)), now, F.lit(False))
+
+
+def _settle(rounded: DataFrame, seed: int, rounds: int = SETTLING, most: int = 256) -> DataFrame:
+    """Which documents' last roundings are turned over, so that a source's words meet its target: a row for each source.
 
     What the tree leaves is less than one document, but that document may be long. Each round looks at all documents
     of a source that are no longer than the miss: counts by size class give the shortest classes that hold twice the
     miss, and of those, documents are turned in random order as long as their running sum fits. What is left is less
     than one of them, so the next round has shorter ones. At last the longest that fit of `most` more are turned.
+
+    A round is three numbers of each source (__left, __top, __cut, with the round's number), by which any document can
+    tell whether it was turned; __ids are the last ones. So documents meet one small table once in each step, and the
+    driver keeps few broadcast tables.
     """
     miss = rounded.groupBy("source").agg((F.sum((F.col("base") + F.coalesce(F.col("take"), F.lit(0))) * F.col("size")) - F.first("target")).alias("miss"))
-    left = miss.select(F.col("source").alias("__g"), F.when(F.col("miss") > 0, 1).otherwise(0).alias("__wanted"), F.abs("miss").alias("__left"))
-    left = materialize(left, "mix-miss")
-    id_ = F.struct("doc_id", "size", "copy_no")
-    open_ = rounded.where("take is not null and size > 0").select("source", "take", "size", id_.alias("id"), uniform(seed - 2, id_).alias("__u"), F.floor(F.log2("size")).alias("__class"), F.lit(False).alias("__turned"))
+    state = materialize(miss.select(F.col("source").alias("__g"), F.when(F.col("miss") > 0, 1).otherwise(0).alias("__wanted"), F.abs("miss").alias("__left")), "mix-miss")
+    docs = rounded.where("take is not null and size > 0").select("source", "take", "size", F.struct("doc_id", "size", "copy_no").alias("id"), *[c.alias(name) for name, c in _order(seed).items()])
+    bucket = F.floor(F.col("__u") * 4096)
 
-    def fitting(docs: DataFrame, left: DataFrame) -> DataFrame:
+    def fitting(sources: DataFrame, k: int) -> DataFrame:
         same = F.col("source").eqNullSafe(F.col("__g")) & (F.col("take") == F.col("__wanted")) & (F.col("size") <= F.col("__left"))
-        return docs.where(~F.col("__turned")).join(left, same)
-
-    def cut(docs: DataFrame, left: DataFrame, k: int) -> DataFrame:
-        """(__g, __wanted, __left, __top, __cut): documents up to class __top and below __cut in random order are turned."""
-        every = Window.partitionBy("source").orderBy("__class")
-        classes = fitting(docs, left).groupBy("source", "__left", "__class").agg(F.sum("size").alias("n")).withColumn("sum", F.sum("n").over(every))
-        top = classes.groupBy("source").agg(F.coalesce(F.min(F.when(F.col("sum") >= 2 * F.col("__left"), F.col("__class"))), F.max("__class")).alias("__top"))
-        top = materialize(left.join(top, F.col("__g").eqNullSafe(F.col("source"))).drop("source"), f"mix-class{k}")
-        pool = fitting(docs, top).where("__class <= __top").withColumn("__b", F.floor(F.col("__u") * 4096))
-        # Sums by bucket of the random order first; only the bucket in which the miss is reached is sorted.
-        buckets = pool.groupBy("source", "__left", "__b").agg(F.sum("size").alias("n")).withColumn("sum", F.sum("n").over(Window.partitionBy("source").orderBy("__b")))
-        here = buckets.groupBy("source").agg(F.min(F.when(F.col("sum") > F.col("__left"), F.struct("__b", (F.col("sum") - F.col("n")).alias("before")))).alias("c"), F.max("sum").alias("all"))
-        here = materialize(here.select(F.col("source").alias("__h"), F.col("c.__b").alias("__hb"), F.col("c.before").alias("before"), "all"), f"mix-bucket{k}")
-        inside = pool.join(here, F.col("source").eqNullSafe(F.col("__h")) & (F.col("__b") == F.col("__hb"))).withColumn("sum", F.col("before") + F.sum("size").over(Window.partitionBy("source").orderBy("__u", "id")))
-        end = inside.groupBy("source").agg(F.min(F.when(F.col("sum") > F.col("__left"), F.struct("__u", (F.col("sum") - F.col("size")).alias("used")))).alias("e"))
-        found = here.join(end, F.col("__h").eqNullSafe(F.col("source")), "left").select("__h", F.coalesce("e.__u", F.lit(2.0)).alias("__cut"), F.coalesce("e.used", "all").alias("used"))
-        return materialize(top.join(found, F.col("__g").eqNullSafe(F.col("__h"))).drop("__h"), f"mix-cut{k}")
+        return docs.join(sources, same).where(~_turned(k))
 
     for k in range(rounds):
-        c = cut(open_, left, k)
-        limits = c.select(F.col("__g").alias("__c"), F.col("__wanted").alias("__cw"), F.col("__left").alias("__cl"), "__top", "__cut")
-        now = (F.col("take") == F.col("__cw")) & (F.col("size") <= F.col("__cl")) & (F.col("__class") <= F.col("__top")) & (F.col("__u") < F.col("__cut"))
-        open_ = open_.join(limits, F.col("source").eqNullSafe(F.col("__c")), "left").withColumn("__turned", F.col("__turned") | F.coalesce(now, F.lit(False))).drop(*limits.columns)
-        used = c.select(F.col("__g").alias("__c"), "used")
-        left = materialize(left.join(used, F.col("__g").eqNullSafe(F.col("__c")), "left").select("__g", "__wanted", (F.col("__left") - F.coalesce("used", F.lit(0))).alias("__left")), f"mix-left{k}")
+        own = [F.first(c).alias(c) for c in state.columns if c != "__g"]
+        classes = fitting(state, k).groupBy("__g", "__class").agg(F.sum("size").alias("n"), *own).withColumn("sum", F.sum("n").over(Window.partitionBy("__g").orderBy("__class")))
+        top = classes.groupBy("__g").agg(F.coalesce(F.min(F.when(F.col("sum") >= 2 * F.col("__left"), F.col("__class"))), F.max("__class")).alias("__top"), *own)
+        top = materialize(top, f"mix-class{k}")
+        # Sums by bucket of the random order first; only the bucket in which the miss is reached is sorted.
+        own.append(F.first("__top").alias("__top"))
+        buckets = fitting(top, k).where("__class <= __top").groupBy("__g", bucket.alias("__b")).agg(F.sum("size").alias("n"), *own).withColumn("sum", F.sum("n").over(Window.partitionBy("__g").orderBy("__b")))
+        here = buckets.groupBy("__g").agg(F.min(F.when(F.col("sum") > F.col("__left"), F.struct("__b", (F.col("sum") - F.col("n")).alias("before")))).alias("__c"), F.max("sum").alias("__all"), *own)
+        here = materialize(here.withColumns({"__hb": F.col("__c.__b"), "__before": F.col("__c.before")}).drop("__c"), f"mix-bucket{k}")
+        inside = fitting(here, k).where((F.col("__class") <= F.col("__top")) & (bucket == F.col("__hb"))).withColumn("sum", F.col("__before") + F.sum("size").over(Window.partitionBy("__g").orderBy("__u", "id")))
+        end = inside.where("sum > __left").select("__g", F.struct("__u", (F.col("sum") - F.col("size")).alias("used")).alias("__end"))
+        # The rows of a source are put together: a source in which nothing fits has only that of the state.
+        every = state.unionByName(here.select("__g", "__top", "__all"), allowMissingColumns=True).unionByName(end, allowMissingColumns=True)
+        every = every.groupBy("__g").agg(*[F.first(c, True).alias(c) for c in [*state.columns[1:], "__top", "__all"]], F.min("__end").alias("__end"))
+        limits = [F.col("__left").alias(f"__left{k}"), F.col("__top").alias(f"__top{k}"), F.coalesce("__end.__u", F.lit(2.0)).alias(f"__cut{k}")]
+        left = F.col("__left") - F.coalesce("__end.used", "__all", F.lit(0))
+        state = materialize(every.select(*[left.alias(c) if c == "__left" else F.col(c) for c in state.columns], *limits), f"mix-cut{k}")
     # The first `most` of each source in random order: of each of 64 slices of that order's numbers, then of the source.
-    some = fitting(open_, left).withColumn("__slice", F.pmod(F.floor(F.col("__u") * (1 << 20)), F.lit(64)))
-    for keys in (["source", "__slice"], ["source"]):
+    some = fitting(state, rounds).withColumn("__slice", F.pmod(F.floor(F.col("__u") * (1 << 20)), F.lit(64)))
+    for keys in (["__g", "__slice"], ["__g"]):
         some = some.withColumn("__i", F.row_number().over(Window.partitionBy(*keys).orderBy("__u", "id"))).where(F.col("__i") <= most).drop("__i")
     ordered = F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("neg"), "__u", "id")))
     kind = "array<struct<doc_id:bigint,size:bigint,copy_no:bigint>>"
@@ -186,9 +200,10 @@ def _settle(rounded: DataFrame, seed: int, rounds: int = 3, most: int = 256) ->
         fits = acc["left"] >= -x["neg"]
         return F.struct((acc["left"] + F.when(fits, x["neg"]).otherwise(F.lit(0))).alias("left"), F.concat(acc["ids"], F.filter(F.array(x["id"]), lambda _: fits)).cast(kind).alias("ids"))
 
-    folded = some.groupBy("source").agg(ordered.alias("a"), F.first("__left").alias("left"))
-    turned = F.aggregate("a", F.struct(F.col("left").cast("double").alias("left"), F.array().cast(kind).alias("ids")), fit)["ids"]
-    return open_.where("__turned").select("source", "id").unionByName(folded.select("source", F.explode(turned).alias("id")))
+    folded = some.groupBy("__g").agg(ordered.alias("a"), F.first("__left").alias("left"))
+    ids = folded.select("__g", F.aggregate("a", F.struct(F.col("left").cast("double").alias("left"), F.array().cast(kind).alias("ids")), fit)["ids"].alias("__ids"))
+    every = state.unionByName(ids, allowMissingColumns=True).groupBy("__g").agg(*[F.first(c, True).alias(c) for c in [*state.columns[1:], "__ids"]])
+    return materialize(every, "mix-settled")
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:

@@ -196,26 +196,28 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the least node that each node of an edge is connected with.
 
     Large and small stars in turn: every node's greater neighbours, then its lesser ones, are tied to its least
-    neighbour, until nothing changes; labels only fall, so that comes to an end. Nothing is collected; each round is
-    written to the shared folder and the one before deleted. A hub's edges are one key of a plain join, which adaptive
-    execution splits, and are counted or reduced to a minimum before they are shuffled otherwise.
+    neighbour, until all edges run from a node without another edge to its least one, which a further round wouldn't
+    change; labels only fall, so that comes to an end. Nothing is collected; each round is written to the shared folder
+    and the one before deleted. A hub's edges are one key of a plain join, which adaptive execution splits, and are
+    counted or reduced to a minimum before they are shuffled otherwise. No join is by broadcast, at any size: the driver
+    would keep a table for each join of each round.
     """
     scratch = Scratch(edges.sparkSession)
-    e, before, last = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct(), None, None
+    e, last = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct(), None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        large = both.join(least.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         # Small star: all edges run from the greater to the lesser node here.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u != v").distinct()
+        small = large.join(low.hint("merge"), "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u != v").distinct()
         e = scratch.write(small, "components")
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if last is not None:
             scratch.drop(last)
-        if now == before:
+        ends = e.select(F.col("u").alias("x"), F.lit(1).alias("up")).unionByName(e.select(F.col("v").alias("x"), F.lit(None).cast("int").alias("up")))
+        if ends.groupBy("x").agg(F.count("up").alias("up"), F.count(F.lit(1)).alias("n")).where("up > 0 and n > 1").isEmpty():
             return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        before, last = now, e
+        last = e
 
 
 def _check(pairs: DataFrame, texts: DataFrame, words: int, least: float, weighting: str) -> DataFrame:
