@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Words are runs of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes of a row group in intermediate tables (128 MB otherwise, for each task that reads and each that writes).
+ROW_GROUP = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,9 +39,12 @@ def new_path(spark: SparkSession, tag: str) -> str:
 
 
 def materialize(df: DataFrame, tag: str, path: str | None = None) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends here, and a lost executor costs no rework before it."""
+    """Write df to the shared folder and read it back: lineage ends here, and a lost executor costs no rework before it.
+
+    A task that writes holds a row group in its heap, and so does one that reads it, whatever its share of the table is.
+    """
     path = path or new_path(df.sparkSession, tag)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
