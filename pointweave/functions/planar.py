@@ -161,6 +161,11 @@ def ring_distance(ring: Column, x: Column, y: Column) -> Column:
     return F.array_min(F.transform(_turns(ring), lambda e: segment_distance(x, y, e["p"]["x"], e["p"]["y"], e["q"]["x"], e["q"]["y"])))
 
 
+def ring_holds(ring: Column, x: Column, y: Column) -> Column:
+    """ring_contains, but a place on the ring's line, or nearer to it than 1e-9, is on neither side."""
+    return ring_contains(ring, x, y) & (ring_distance(ring, x, y) > 1e-9)
+
+
 def segments_cross(ax, ay, bx, by, cx, cy, dx, dy, inner: float = 0.01) -> Column:
     """Do a-b and c-d cross between the fractions `inner` and 1 - `inner` of both?"""
     den = (bx - ax) * (dy - cy) - (by - ay) * (dx - cx)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from ..functions import booleans
-from ..functions.planar import ring_area, ring_contains, ring_distance, segments_cross
+from ..functions.planar import ring_area, ring_contains, ring_distance, ring_holds, segments_cross
 from ..operators.grids import boxes_meet, within_boxes
 from ..operators.pairs import nearest_color
 from ..plans.storage import cut_lineage
@@ -213,23 +213,25 @@ def drop_contained(members: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     return size.select(*by).join(inside.select(*by), by, "left_anti")
 
 
-def region_members(regions: DataFrame, points: DataFrame, keys: tuple[str, ...] = (), overlap: bool = False) -> DataFrame:
+def region_members(regions: DataFrame, points: DataFrame, keys: tuple[str, ...] = (), overlap: bool = False, held: DataFrame | None = None) -> DataFrame:
     """(keys, shape_id, point_id): points within each region but not in a hole that lies in that region (with
-    overlap=True: that overlaps it). A region that would lose all its points keeps them.
+    overlap=True: that overlaps it). A region that would lose all its points keeps them. What lies on an outline is not
+    within it. held: the points (keys, role, shape_id, point_id) within all regions and holes, where they are known.
     """
     by = list(keys)
     parts = regions.select(*by, F.col("shape_id"), "role", "ring")
-    within = points.select(*by, "point_id", "x", "y")
+    if held is None:
+        held = within_boxes(points.select(*by, "point_id", "x", "y"), parts, keys).where(ring_holds(F.col("ring"), F.col("x"), F.col("y")))
     pick = lambda role, name, ring: parts.where(F.col("role") == role).select(*by, F.col("shape_id").alias(name), F.col("ring").alias(ring))
-    inside = lambda shapes, name, ring: within_boxes(within, shapes.withColumnRenamed(ring, "ring"), tuple(by)).where(ring_contains(F.col("ring"), F.col("x"), F.col("y"))).select(*by, name, "point_id")
+    inside = lambda role, name: held.where(F.col("role") == role).select(*by, F.col("shape_id").alias(name), "point_id")
     region, hole = pick("region", "shape_id", "ring"), pick("hole", "hole_id", "hole")
     if overlap:
         owned = boxes_meet(region, hole.withColumnRenamed("hole", "other"), tuple(by)).where(rings_meet(F.col("ring"), F.col("other"))).select(*by, "shape_id", "hole_id")
     else:
         corner = hole.select("*", F.get("hole", F.lit(0))["x"].alias("x"), F.get("hole", F.lit(0))["y"].alias("y"))
-        owned = within_boxes(corner, region, tuple(by)).where(F.forall("hole", lambda c: ring_contains(F.col("ring"), c["x"], c["y"]))).select(*by, "shape_id", "hole_id")
-    gone = inside(hole, "hole_id", "hole").join(owned, [*by, "hole_id"]).select(*by, "shape_id", "point_id", F.lit(True).alias("gone")).distinct()
-    every = inside(region, "shape_id", "ring").join(gone, [*by, "shape_id", "point_id"], "left")
+        owned = within_boxes(corner, region, tuple(by)).where(F.forall("hole", lambda c: ring_holds(F.col("ring"), c["x"], c["y"]))).select(*by, "shape_id", "hole_id")
+    gone = inside("hole", "hole_id").join(owned, [*by, "hole_id"]).select(*by, "shape_id", "point_id", F.lit(True).alias("gone")).distinct()
+    every = inside("region", "shape_id").join(gone, [*by, "shape_id", "point_id"], "left")
     left = F.sum(F.when(F.col("gone").isNull(), 1).otherwise(0)).over(Window.partitionBy(*by, "shape_id"))
     return every.withColumn("left", left).where("gone is null or left = 0").select(*by, "shape_id", "point_id")
 
@@ -252,15 +254,17 @@ def parse_svg(files: DataFrame, pt_size: float, palette: list[tuple[float, float
     if mode == "cluster":
         marks = marks.join(dots.select(key, F.col("fill").alias("stroke")).distinct(), [key, "stroke"], "left_semi")
         marks = marks.withColumn("ring", F.when(F.col("role") == "region", pandas_udf(_wider, RING)("ring", F.coalesce("stroke_width", F.lit(0.0)) / 2)).otherwise(F.col("ring")))
-    near = within_boxes(points.select(key, "point_id", "x", "y"), marks.select(key, "shape_id", "role", "ring", "stroke_width"), (key,)).where(ring_contains(F.col("ring"), F.col("x"), F.col("y")))
+    held = within_boxes(points.select(key, "point_id", "x", "y"), marks.select(key, "shape_id", "role", "ring", "stroke_width"), (key,)).where(ring_holds(F.col("ring"), F.col("x"), F.col("y")))
     gap = ring_distance(F.col("ring"), F.col("x"), F.col("y"))
+    deep = F.lit(True)
     if mode == "cluster":
-        near = near.where(gap > F.coalesce("stroke_width", F.lit(0.0)) / 4 - 1e-6)
+        deep = gap > F.coalesce("stroke_width", F.lit(0.0)) / 4 - 1e-6
     elif mode == "simple":
-        near = near.where(gap >= pt_size / 2)
-    some = near.select(key, "shape_id", "point_id")
+        deep = gap >= pt_size / 2
+    held = cut_lineage(held.select(key, "shape_id", "role", "point_id", deep.alias("deep")))  # rings are searched once
+    some = held.where("deep").select(key, "shape_id", "point_id")
     kept = marks.join(some.select(key, "shape_id").distinct(), [key, "shape_id"], "left_semi")
-    members = some.join(region_members(kept, points, (key,), mode == "cluster"), [key, "shape_id", "point_id"], "left_semi")
+    members = some.join(region_members(kept, points, (key,), mode == "cluster", held), [key, "shape_id", "point_id"], "left_semi")
     if mode == "cluster":
         both = some.join(kept.select(key, "shape_id"), [key, "shape_id"])
         members = members.join(drop_contained(both, (key,)), [key, "shape_id"], "left_semi")
