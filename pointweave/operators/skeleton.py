@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -148,19 +150,47 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         label = new.select("point_id", "component")
 
 
-def _cross(e, f) -> bool:
-    den = (e[4] - e[2]) * (f[5] - f[3]) - (e[5] - e[3]) * (f[4] - f[2])
-    if den == 0:
-        return False
-    t = ((f[2] - e[2]) * (f[5] - f[3]) - (f[3] - e[3]) * (f[4] - f[2])) / den
-    u = ((f[2] - e[2]) * (e[5] - e[3]) - (f[3] - e[3]) * (e[4] - e[2])) / den
-    return 0.01 < t < 0.99 and 0.01 < u < 0.99
-
-
-def _forest(edges: list[tuple]) -> list[int]:
-    """Places of the edges taken: always one with the fewest crossings left, the first of equals."""
-    meets = [{m for m, f in enumerate(edges) if m != k and _cross(e, f)} for k, e in enumerate(edges)]
+def _meetings(edges: list[tuple], most: int = 500_000) -> tuple[list[int], np.ndarray]:
+    """For each edge the places of those that it crosses: (their numbers, begins). Edges are swept by their left ends."""
+    e = np.array([row[2:6] for row in edges], dtype=float).reshape(-1, 4)
+    low, high = np.minimum(e[:, :2], e[:, 2:]), np.maximum(e[:, :2], e[:, 2:])
+    order = np.argsort(low[:, 0], kind="stable")
+    ahead = np.searchsorted(low[order, 0], high[order, 0], "right") - np.arange(len(e)) - 1
+    ends = np.cumsum(ahead)
+    ones, twos, lo = [], [], 0
+    while lo < len(e):
+        before = int(ends[lo - 1]) if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(ends, before + most, "right")))
+        n = np.repeat(np.arange(lo, hi), ahead[lo:hi])
+        k, m = order[n], order[n + 1 + np.arange(len(n)) - np.repeat(ends[lo:hi] - ahead[lo:hi] - before, ahead[lo:hi])]
+        lo = hi
+        some = (low[m, 1] <= high[k, 1]) & (high[m, 1] >= low[k, 1])
+        k, m = np.minimum(k[some], m[some]), np.maximum(k[some], m[some])
+        one, two = e[k].T, e[m].T
+        den = (one[2] - one[0]) * (two[3] - two[1]) - (one[3] - one[1]) * (two[2] - two[0])
+        with np.errstate(divide="ignore", invalid="ignore"):
+            t = ((two[0] - one[0]) * (two[3] - two[1]) - (two[1] - one[1]) * (two[2] - two[0])) / den
+            u = ((two[0] - one[0]) * (one[3] - one[1]) - (two[1] - one[1]) * (one[2] - one[0])) / den
+        hit = (den != 0) & (t > 0.01) & (t < 0.99) & (u > 0.01) & (u < 0.99)
+        ones.append(k[hit])
+        twos.append(m[hit])
+    one, two = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (ones, twos))
+    a, b = np.concatenate([one, two]), np.concatenate([two, one])
+    by = np.lexsort([b, a])
+    return b[by].tolist(), np.searchsorted(a[by], np.arange(len(e) + 1))
+
+
+def _forest(edges: list[tuple], met: tuple[list[int], np.ndarray] | None = None) -> list[int]:
+    """Places of the edges taken: always one with the fewest crossings left, the first of equals.
+
+    A heap has each edge with its count, again whenever that falls. Of two trees that an edge joins the one with fewer edges
+    is searched for those that would close a cycle now.
+    """
+    numbers, begins = met or _meetings(edges)
+    meets = lambda k: numbers[begins[k] : begins[k + 1]]
+    count, left, taken = np.diff(begins).tolist(), [e[0] != e[1] for e in edges], []
     parent: dict = {}
+    own: dict = {}  # of each tree: the edges at its nodes
 
     def root(v):
         while parent.setdefault(v, v) != v:
@@ -168,23 +198,48 @@ def _forest(edges: list[tuple]) -> list[int]:
             v = parent[v]
         return v
 
-    left, taken = set(range(len(edges))), []
-    while True:
-        left = {k for k in left if root(edges[k][0]) != root(edges[k][1])}
-        if not left:
-            return taken
-        k = min(left, key=lambda k: (len(meets[k] & left), k))
-        parent[root(edges[k][0])] = root(edges[k][1])
-        taken.append(k)
-        left -= meets[k] | {k}
+    for k, e in enumerate(edges):
+        for v in e[:2]:
+            own.setdefault(v, []).append(k)
+    heap: list[tuple[int, int]] = []
 
+    def drop(k: int) -> None:
+        left[k] = False
+        for m in meets(k):
+            if left[m]:
+                count[m] -= 1
+                heapq.heappush(heap, (count[m], m))
 
-def _augmented(edges: list[tuple], taken: list[int]) -> list[int]:
+    for k, e in enumerate(edges):
+        if not left[k]:
+            drop(k)
+    heap += [(c, k) for k, c in enumerate(count) if left[k]]
+    heapq.heapify(heap)
+    while heap:
+        c, k = heapq.heappop(heap)
+        if not left[k] or c != count[k]:
+            continue
+        taken.append(k)
+        for m in [k, *meets(k)]:
+            if left[m]:
+                drop(m)
+        small, large = sorted((root(edges[k][0]), root(edges[k][1])), key=lambda v: len(own[v]))
+        parent[small] = large
+        some = own.pop(small)
+        for m in some:
+            if left[m] and root(edges[m][0]) == root(edges[m][1]):
+                drop(m)
+        own[large] += [m for m in some if left[m]]
+    return taken
+
+
+def _augmented(edges: list[tuple], taken: list[int], met: tuple[list[int], np.ndarray] | None = None) -> list[int]:
     """Further edges, in order, that cross no accepted edge of another type."""
-    accepted, more = list(taken), []
+    numbers, begins = met or _meetings(edges)
+    accepted, more = set(taken), []
     for k, e in enumerate(edges):
-        if k not in accepted and not any(edges[m][6] != e[6] and _cross(e, edges[m]) for m in accepted):
-            accepted.append(k)
+        if k not in accepted and not any(m in accepted and edges[m][6] != e[6] for m in numbers[begins[k] : begins[k + 1]]):
+            accepted.add(k)
             more.append(k)
     return more
 
@@ -198,8 +253,9 @@ def forest(edges: DataFrame, key: str = "dataset_id", augment: bool = False) ->
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["i", "j"]).reset_index(drop=True)
         rows = list(pdf[["i", "j", "ix", "iy", "jx", "jy", "type"]].itertuples(index=False, name=None))
-        taken = _forest(rows)
-        more = _augmented(rows, taken) if augment else []
+        met = _meetings(rows)
+        taken = _forest(rows, met)
+        more = _augmented(rows, taken, met) if augment else []
         out = pdf.loc[taken + more, [key, "type", "i", "j", "length"]]
         return out.assign(step=range(len(out)), augmented=[False] * len(taken) + [True] * len(more))
 
